@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import edited_fingerprints
 from .near_dup import near_duplicates
+from .token_files import read_tokens, write_tokens
+
+
+def vocabulary() -> str:
+    """Place of the public tokenizer file; each executor has its own installed copy."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +24,18 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op6_one_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_one_permutation_fingerprints": op6_one_permutation_fingerprints,
+    "op7_packed_token_ids": op7_packed_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}
