@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .fingerprints import edited_fingerprints
+from .mixing import mix
 from .near_dup import near_duplicates
 from .quality import quality
 from .token_files import read_tokens, write_tokens
+from .toxicity import toxicity
 
 
 def vocabulary() -> str:
@@ -30,6 +33,27 @@ def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: target weights: sources count as domains by the tens of their number; other values weigh 1
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {
+    "domain": {"web": 3.0, "curated": 2.0},
+    "lang": {"en": 4.0, "fr": 2.0, "de": 2.0, "es": 2.0},
+    "source": {"src0": 2.0, "src9": 1.5},
+}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """``domain`` of each source: web for one digit, curated for two, other for the rest."""
+    source = F.coalesce(F.col("source"), F.lit(""))
+    return docs.withColumn(
+        "domain", F.when(source.rlike("^src[0-9]$"), "web").when(source.rlike("^src[0-9]{2}$"), "curated").otherwise("other")
+    )
+
+
+def op3_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(with_domain(table(spark, sf_dir, "documents")), MIX_LEVELS, MIX_WEIGHTS, budget=0.6, max_epochs=2, seed=17)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
@@ -42,12 +66,18 @@ def op7_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_kneser_ney_quality": op2_kneser_ney_quality,
+    "op3_hierarchical_mixing": op3_hierarchical_mixing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_one_permutation_fingerprints": op6_one_permutation_fingerprints,
     "op7_packed_token_ids": op7_packed_token_ids,
+    "op9_toxicity_cnn": op9_toxicity_cnn,
 }
 
 ORACLE_SQL: dict[str, str] = {}
