@@ -12,6 +12,7 @@ from .near_dup import near_duplicates
 from .quality import quality
 from .token_files import read_tokens, write_tokens
 from .toxicity import toxicity
+from .urls import filter_urls
 
 
 def vocabulary() -> str:
@@ -66,6 +67,16 @@ def op7_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+#: given rules of the query: fixed values
+URL_RULES = [
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
+]
+
+
+def op8_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,6 +88,7 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_one_permutation_fingerprints": op6_one_permutation_fingerprints,
     "op7_packed_token_ids": op7_packed_token_ids,
+    "op8_url_association_rules": op8_url_association_rules,
     "op9_toxicity_cnn": op9_toxicity_cnn,
 }
 
