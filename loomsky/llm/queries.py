@@ -13,6 +13,7 @@ from .quality import quality
 from .token_files import read_tokens, write_tokens
 from .toxicity import toxicity
 from .urls import filter_urls
+from .wrappers import extract
 
 
 def vocabulary() -> str:
@@ -81,6 +82,10 @@ def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_kneser_ney_quality": op2_kneser_ney_quality,
@@ -90,6 +95,7 @@ QUERIES = {
     "op7_packed_token_ids": op7_packed_token_ids,
     "op8_url_association_rules": op8_url_association_rules,
     "op9_toxicity_cnn": op9_toxicity_cnn,
+    "op10_html_wrappers": op10_html_wrappers,
 }
 
 ORACLE_SQL: dict[str, str] = {}
