@@ -77,7 +77,7 @@ def from_plane(xi: Column, eta: Column, ra0: float | Column, dec0: float | Colum
     x, y, d0 = F.radians(xi), F.radians(eta), F.radians(dec0)
     down = F.cos(d0) - y * F.sin(d0)
     ra = ra0 + F.degrees(F.atan2(x, down))
-    return F.pmod(ra, F.lit(360.0)), F.degrees(F.atan2((F.sin(d0) + y * F.cos(d0)) * F.cos(F.atan2(x, down)), down))
+    return F.pmod(ra, F.lit(360.0)), F.degrees(F.atan2(F.sin(d0) + y * F.cos(d0), F.sqrt(x * x + down * down)))
 
 
 def optimal_frame(corners: DataFrame, resolution_arcsec: float, pad: int = 0) -> Frame:

@@ -51,7 +51,7 @@ def invalid(df: DataFrame, column: str) -> Column:
     """Whether ``column`` holds no value: NaN among floats, -9999 among integers. Other types are an error. Null counts as none."""
     kind = df.schema[column].dataType
     if isinstance(kind, (DoubleType, FloatType)):
-        return F.coalesce(F.isnan(column), F.lit(True))
+        return F.isnan(column) | F.col(column).isNull()
     if isinstance(kind, (IntegerType, LongType, ShortType)):
         return F.coalesce(F.col(column) == INVALID_INT, F.lit(True))
     raise TypeError(f"{column} is {kind.simpleString()}; an integer or a float is needed")
