@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_up_to(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """``df``, a stored table, marked for broadcast where its rows, counted now, take less than ``limit`` bytes in memory; beyond that it is
+    joined by a shuffle."""
+    wide = [8 * F.size(f.name) for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+    wide += [F.octet_length(f.name) for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    rows, more = df.agg(F.count("*"), sum((F.coalesce(F.sum(w), F.lit(0)) for w in wide), F.lit(0))).first()
+    return F.broadcast(df) if rows * (24 + 16 * len(df.columns)) + more <= limit else df
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): rows (node, component), the smallest node of each.
 

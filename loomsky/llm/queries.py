@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .fingerprints import edited_fingerprints
+from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dup import near_duplicates
 from .quality import quality
@@ -56,6 +57,10 @@ def op3_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(with_domain(table(spark, sf_dir, "documents")), MIX_LEVELS, MIX_WEIGHTS, budget=0.6, max_epochs=2, seed=17)
 
 
+def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_kneser_ney_quality": op2_kneser_ney_quality,
     "op3_hierarchical_mixing": op3_hierarchical_mixing,
+    "op4_fuzzy_line_dedup": op4_fuzzy_line_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_one_permutation_fingerprints": op6_one_permutation_fingerprints,
     "op7_packed_token_ids": op7_packed_token_ids,
