@@ -87,7 +87,7 @@ def fit(texts: list[str], toxic: np.ndarray, *, epochs: int = 6, rate: float = 0
     docs = [word_buckets([plain(t).encode("utf-8", "surrogatepass")])[0] for t in texts]
     y = np.asarray(toxic, np.float64)
     if not len(docs) or not 0 < y.mean() < 1:
-        net.bias = np.float32(4 if len(y) and y.mean() == 1 else -4)
+        net.weights[:], net.bias = 0, np.float32(4 if len(y) and y.mean() == 1 else -4)
         return net
     share = y.mean()
     for k in range(TABLES):
@@ -194,9 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train: int = 4000, seed: in
     chosen = [r for c in (1, 0) for r in known.where(F.col("toxic") == c).orderBy(drawn, "doc_id").limit(max_train // 2).collect()]
     sample = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").toArrow()  # max_train rows
-    order = np.lexsort([np.array(rows["text"].to_pylist(), object).astype(str), rows["doc_id"].to_numpy()])
-    texts, toxic = rows["text"].to_pylist(), rows["toxic"].to_numpy()
-    return fit([texts[i] or "" for i in order], toxic[order], seed=seed)
+    known_rows = sorted(zip(rows["doc_id"].to_pylist(), [t or "" for t in rows["text"].to_pylist()], rows["toxic"].to_pylist()))
+    return fit([text for _, text, _ in known_rows], np.array([label for _, _, label in known_rows]), seed=seed)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, max_train: int = 4000, seed: int = 0) -> DataFrame:
