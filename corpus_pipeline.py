@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsky.llm.common import stored
+from loomsky.llm.common import broadcast_up_to, stored
 from loomsky.llm.decontaminate import contaminated
 from loomsky.llm.mixing import mix
 from loomsky.llm.near_dup import near_duplicates
@@ -27,7 +27,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One document of each group at Jaccard 0.8 of 5-word shingles: the one with the smallest doc_id; of rows that share it,
     one. Rows without a doc_id stay."""
     classes = stored(near_duplicates(docs).select("doc_id", "kept"))
-    gone = classes.where("not kept").select("doc_id").distinct()
+    gone = broadcast_up_to(stored(classes.where("not kept").select("doc_id").distinct()))
     left = docs.join(gone, "doc_id", "left_anti")
     repeated = stored(classes.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not repeated.isEmpty():
@@ -38,7 +38,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark. Rows without a doc_id can't be matched and stay."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    found = broadcast_up_to(stored(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()))
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -48,7 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     taken = mix(with_domain(docs), MIX_LEVELS, MIX_WEIGHTS, budget=0.8, max_epochs=2, seed=17)
     copies = F.col("epochs") + F.when((F.col("last_tokens") == F.col("n_tokens")) & (F.col("n_tokens") > 0), 1).otherwise(0)
     taken = taken.groupBy("doc_id").agg(F.max(copies).cast("int").alias("_copies")).where("_copies > 0")
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return docs.join(broadcast_up_to(stored(taken)), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
