@@ -104,4 +104,35 @@ QUERIES = {
     "op10_html_wrappers": op10_html_wrappers,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _case(column: str, weights: dict[str, float]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{v}' THEN {float(w)!r}::DOUBLE" for v, w in weights.items()) + " ELSE 1e0 END"
+
+
+def _shared(name: str, parent: str, keys: str, weight: str, given: str) -> str:
+    """SQL of a level of the tree: what each node gets of its parent's budget."""
+    join = f"JOIN {given} USING ({parent})" if parent else f"CROSS JOIN {given}"
+    part = f"PARTITION BY {parent}" if parent else ""
+    last = keys.split(", ")[-1]
+    return f"""{name}_n AS (SELECT {keys}, sum(cap) AS cap, any_value({weight}) AS weight FROM caps GROUP BY {keys}),
+{name}_l AS (SELECT {keys}, cap, weight, (budget - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
+  / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {name}_n {join} WINDOW w AS ({part} ORDER BY cap / weight, {last})),
+{name} AS (SELECT {keys}, least(cap, weight * greatest(max(level) OVER ({part}), 0e0)) AS budget FROM {name}_l)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_hierarchical_mixing": rf"""WITH d AS (
+  SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' WHEN regexp_matches(source, '^src[0-9][0-9]$') THEN 'curated' ELSE 'other' END AS domain,
+         coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0) AS BIGINT) AS n_tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
+caps AS (SELECT *, CAST(tokens * 2 AS DOUBLE) AS cap, {_case("domain", MIX_WEIGHTS["domain"])} AS w1, {_case("lang", MIX_WEIGHTS["lang"])} AS w2, {_case("source", MIX_WEIGHTS["source"])} AS w3 FROM leaves),
+whole AS (SELECT 0.6e0 * CAST(sum(tokens) AS DOUBLE) AS budget FROM leaves),
+{_shared("a", "", "domain", "w1", "whole")},
+{_shared("b", "domain", "domain, lang", "w2", "a")},
+{_shared("c", "domain, lang", "domain, lang, source", "w3", "b")},
+plan AS (SELECT domain, lang, source, CAST(floor(budget) AS BIGINT) // nullif(tokens, 0) AS epochs, CAST(floor(budget) AS BIGINT) % nullif(tokens, 0) AS rest FROM leaves JOIN c USING (domain, lang, source)),
+drawn AS (SELECT d.*, coalesce(epochs, 0) AS epochs, coalesce(rest, 0) AS rest FROM d LEFT JOIN plan USING (domain, lang, source)),
+placed AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws('|', 17, epochs, doc_id)), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM drawn),
+ended AS (SELECT *, CAST(greatest(0, least(n_tokens, rest - before)) AS BIGINT) AS last_tokens FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS BIGINT) AS epochs, last_tokens, CAST(epochs * n_tokens + last_tokens AS BIGINT) AS taken FROM ended""",
+}
