@@ -40,14 +40,8 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _norm(v: DataFrame) -> float:
-    return math.sqrt(v.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0)
-
-
-def _combine(p: float, a: DataFrame, q: float, b: DataFrame, key: str) -> DataFrame:
-    """p a + q b, of which either may lack keys."""
-    both = a.select(key, (F.col("v") * p).alias("v")).unionByName(b.select(key, (F.col("v") * q).alias("v")))
-    return both.groupBy(key).agg(F.sum("v").alias("v"))
+def _norm(df: DataFrame, column: str = "v") -> float:
+    return math.sqrt(df.agg(F.sum(F.col(column) * F.col(column))).first()[0] or 0.0)
 
 
 def solve(
@@ -69,137 +63,125 @@ def solve(
     if method not in ("lsqr", "lsmr"):
         raise ValueError(f"method {method!r} is neither lsqr nor lsmr")
     a = a.select("row", "col", F.col("val").cast("double").alias("val"))
-    norms = _kept(column_norms(a)) if precondition else None
-    if norms is not None:
+    norms = _kept(column_norms(a)) if precondition else _kept(a.select("col").distinct().withColumn("norm", F.lit(1.0)))
+    if precondition:
         a = a.join(norms, "col").select("row", "col", (F.col("val") / F.col("norm")).alias("val"))
     by_row = a.repartition("row").persist(StorageLevel.MEMORY_AND_DISK)
     by_col = a.repartition("col").persist(StorageLevel.MEMORY_AND_DISK)
 
     def times(x: DataFrame) -> DataFrame:
-        return by_col.join(x, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("v")).alias("v"))
+        return by_col.join(x, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("v")).alias("av"))
 
     def back(u: DataFrame) -> DataFrame:
-        return by_row.join(u, "row").groupBy("col").agg(F.sum(F.col("val") * F.col("v")).alias("v"))
+        return by_row.join(u, "row").groupBy("col").agg(F.sum(F.col("val") * F.col("u")).alias("atu"))
 
     try:
-        right = b.groupBy("row").agg(F.sum(F.col("val").cast("double")).alias("v"))
-        size = _norm(right)
-        start = None
+        right = b.groupBy("row").agg(F.sum(F.col("val").cast("double")).alias("u"))
+        size = _norm(right, "u")
+        start = norms.select("col", F.lit(0.0).alias("v"))
         if x0 is not None:
-            start = x0.select("col", F.col("value").cast("double").alias("v"))
-            if norms is not None:
-                start = start.join(norms, "col").select("col", (F.col("v") * F.col("norm")).alias("v"))
+            start = norms.join(x0, "col", "left").select("col", (F.coalesce(F.col("value").cast("double"), F.lit(0.0)) * F.col("norm")).alias("v"))
             start = _kept(start)
-            right = _combine(1.0, right, -1.0, times(start), "row")
-        step = _lsqr if method == "lsqr" else _lsmr
-        x, n, trace, ok = step(times, back, _kept(right), size, damp, atol, btol, iterations)
-        if start is not None:
-            x = _combine(1.0, x, 1.0, start, "col")
-        x = x.join(norms, "col").select("col", (F.col("v") / F.col("norm")).alias("value")) if norms is not None else x.withColumnRenamed("v", "value")
+            right = right.join(times(start), "row", "full").select("row", (F.coalesce("u", F.lit(0.0)) - F.coalesce("av", F.lit(0.0))).alias("u"))
+        machine = _Lsqr(damp) if method == "lsqr" else _Lsmr(damp)
+        state, n, trace, ok = _iterate(machine, times, back, _kept(right), size, atol, btol, iterations)
+        x = state.join(start.withColumnRenamed("v", "_start"), "col").join(norms, "col")
+        x = x.select("col", ((F.col("x") + F.col("_start")) / F.col("norm")).alias("value"))
         return Solution(_kept(x), n, trace[-1] if trace else 0.0, trace, ok)
     finally:
         by_row.unpersist()
         by_col.unpersist()
 
 
-def _bidiagonal(times, back, u: DataFrame, v: DataFrame, alpha: float) -> tuple[float, DataFrame, float, DataFrame]:
-    """The next step of Golub and Kahan's bidiagonalisation: beta, u, alpha, v."""
-    u = _kept(_combine(1.0, times(v), -alpha, u, "row"))
-    beta = _norm(u)
-    if beta > 0:
-        u = u.select("row", (F.col("v") / beta).alias("v"))
-        v = _kept(_combine(1.0, back(u), -beta, v, "col"))
-        alpha = _norm(v)
-        if alpha > 0:
-            v = v.select("col", (F.col("v") / alpha).alias("v"))
-    else:
-        alpha = 0.0
-    return beta, u, alpha, v
-
-
-def _begin(back, right: DataFrame) -> tuple[float, DataFrame, float, DataFrame]:
-    beta = _norm(right)
-    u = right.select("row", (F.col("v") / (beta or 1.0)).alias("v"))
-    v = _kept(back(u))
-    alpha = _norm(v)
-    return beta, u, alpha, v.select("col", (F.col("v") / (alpha or 1.0)).alias("v"))
-
-
-def _lsqr(times, back, right, size, damp, atol, btol, limit):
-    beta, u, alpha, v = _begin(back, right)
-    x, w = v.select("col", F.lit(0.0).alias("v")), v
-    phi_bar, rho_bar, trace, frobenius, tail = beta, alpha, [], 0.0, 0.0
-    if alpha * beta == 0:
-        return x, 0, [beta], True
-    for n in range(1, limit + 1):
-        frobenius += alpha**2
-        beta, u, alpha_next, v = _bidiagonal(times, back, u, v, alpha)
-        frobenius += beta**2 + damp**2
-        rho_damped = math.hypot(rho_bar, damp)
-        psi = damp / rho_damped * phi_bar
-        phi_bar = rho_bar / rho_damped * phi_bar
-        rho = math.hypot(rho_damped, beta)
-        c, s = rho_damped / rho, beta / rho
-        theta, rho_bar, phi, phi_bar = s * alpha_next, -c * alpha_next, c * phi_bar, s * phi_bar
-        x = _kept(_combine(1.0, x, phi / rho, w, "col"))
-        w = _kept(_combine(1.0, v, -theta / rho, w, "col"))
-        tail += psi**2
-        residual = math.sqrt(phi_bar**2 + tail)
-        trace.append(residual)
-        gradient = alpha_next * abs(s * phi)
-        alpha = alpha_next
-        if residual <= btol * size + atol * math.sqrt(frobenius) * _norm(x) or gradient <= atol * math.sqrt(frobenius) * max(residual, 1e-300) or alpha == 0:
-            return x, n, trace, True
-    return x, limit, trace, False
-
+def _iterate(machine, times, back, u: DataFrame, size: float, atol: float, btol: float, limit: int):
+    """Golub and Kahan's bidiagonalisation, with a ``machine`` that turns its numbers into the next solution.
 
-def _lsmr(times, back, right, size, damp, atol, btol, limit):
-    beta, u, alpha, v = _begin(back, right)
-    zero = v.select("col", F.lit(0.0).alias("v"))
-    x, h, h_bar = zero, v, zero
+    The state is one table, ``col, v, x`` and the machine's own columns. A round writes two tables: the new u, and the state with
+    what A' u adds to v. Scaling by norms and the machine's updates are projections of what was written."""
+    beta = _norm(u, "u")
+    u = u.select("row", (F.col("u") / (beta or 1.0)).alias("u"))
+    state = _kept(back(u).select("col", F.col("atu").alias("v"), F.lit(0.0).alias("x"), *[F.lit(0.0).alias(c) for c in machine.columns]))
+    alpha = _norm(state)
+    state = machine.begin(state.withColumn("v", F.col("v") / (alpha or 1.0)), alpha, beta)
     if alpha * beta == 0:
-        return x, 0, [beta], True
-    zeta_bar, alpha_bar, rho, rho_bar, c_bar, s_bar = alpha * beta, alpha, 1.0, 1.0, 1.0, 0.0
-    beta_dd, beta_d, rho_d_old, tau_old, theta_tilde, zeta, d = beta, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0
+        return state, 0, [beta], True
     frobenius, trace = alpha**2, []
     for n in range(1, limit + 1):
-        beta, u, alpha, v = _bidiagonal(times, back, u, v, alpha)
-        alpha_hat = math.hypot(alpha_bar, damp)
-        c_hat, s_hat = alpha_bar / alpha_hat, damp / alpha_hat
-        rho_old = rho
-        rho = math.hypot(alpha_hat, beta)
-        c, s = alpha_hat / rho, beta / rho
-        theta_new, alpha_bar = s * alpha, c * alpha
-        rho_bar_old, zeta_old = rho_bar, zeta
-        theta_bar = s_bar * rho
-        rho_temp = c_bar * rho
-        rho_bar = math.hypot(c_bar * rho, theta_new)
-        c_bar, s_bar = rho_temp / rho_bar, theta_new / rho_bar
-        zeta = c_bar * zeta_bar
-        zeta_bar = -s_bar * zeta_bar
-        h_bar = _kept(_combine(1.0, h, -theta_bar * rho / (rho_old * rho_bar_old), h_bar, "col"))
-        x = _kept(_combine(1.0, x, zeta / (rho * rho_bar), h_bar, "col"))
-        h = _kept(_combine(1.0, v, -theta_new / rho, h, "col"))
-        beta_acute, beta_check = c_hat * beta_dd, -s_hat * beta_dd
-        beta_hat = c * beta_acute
-        beta_dd = -s * beta_acute
-        theta_tilde_old = theta_tilde
-        rho_tilde_old = math.hypot(rho_d_old, theta_bar)
-        c_tilde, s_tilde = rho_d_old / rho_tilde_old, theta_bar / rho_tilde_old
-        theta_tilde = s_tilde * rho_bar
-        rho_d_old = c_tilde * rho_bar
-        beta_d = -s_tilde * beta_d + c_tilde * beta_hat
-        tau_old = (zeta_old - theta_tilde_old * tau_old) / rho_tilde_old
-        tau = (zeta - theta_tilde * tau_old) / rho_d_old
-        d += beta_check**2
-        residual = math.sqrt(d + (beta_d - tau) ** 2 + beta_dd**2)
+        u = times(state).join(u, "row", "full").select("row", (F.coalesce("av", F.lit(0.0)) - alpha * F.coalesce("u", F.lit(0.0))).alias("u"))
+        u = _kept(u)
+        beta = _norm(u, "u")
+        u = u.select("row", (F.col("u") / (beta or 1.0)).alias("u"))
+        state = state.join(back(u), "col", "left").withColumn("_v", F.coalesce("atu", F.lit(0.0)) - beta * F.col("v")).drop("atu")
+        state = _kept(state)
+        alpha, x_norm = state.agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))), F.sqrt(F.sum(F.col("x") * F.col("x")))).first()
+        frobenius += alpha**2 + beta**2
+        state, residual, gradient = machine.step(state.withColumn("v", F.col("_v") / (alpha or 1.0)).drop("_v"), alpha, beta)
         trace.append(residual)
-        frobenius += beta**2
         scale = math.sqrt(frobenius)
-        frobenius += alpha**2
-        if residual <= btol * size + atol * scale * _norm(x) or abs(zeta_bar) <= atol * scale * max(residual, 1e-300) or alpha == 0:
-            return x, n, trace, True
-    return x, limit, trace, False
+        if residual <= btol * size + atol * scale * x_norm or gradient <= atol * scale * max(residual, 1e-300) or alpha * beta == 0:
+            return state, n, trace, True
+    return state, limit, trace, False
+
+
+class _Lsqr:
+    columns = ("w",)
+
+    def __init__(self, damp: float):
+        self.damp, self.tail = damp, 0.0
+
+    def begin(self, state: DataFrame, alpha: float, beta: float) -> DataFrame:
+        self.phi_bar, self.rho_bar = beta, alpha
+        return state.withColumn("w", F.col("v"))
+
+    def step(self, state: DataFrame, alpha: float, beta: float) -> tuple[DataFrame, float, float]:
+        damped = math.hypot(self.rho_bar, self.damp)
+        self.tail += (self.damp / damped * self.phi_bar) ** 2
+        phi_bar = self.rho_bar / damped * self.phi_bar
+        rho = math.hypot(damped, beta)
+        c, s = damped / rho, beta / rho
+        theta, phi = s * alpha, c * phi_bar
+        self.rho_bar, self.phi_bar = -c * alpha, s * phi_bar
+        state = state.withColumns({"x": F.col("x") + phi / rho * F.col("w"), "w": F.col("v") - theta / rho * F.col("w")})
+        return state, math.sqrt(self.phi_bar**2 + self.tail), alpha * abs(s * phi)
+
+
+class _Lsmr:
+    columns = ("h", "g")  # g is the paper's h-bar
+
+    def __init__(self, damp: float):
+        self.damp = damp
+
+    def begin(self, state: DataFrame, alpha: float, beta: float) -> DataFrame:
+        self.zeta_bar, self.alpha_bar, self.rho, self.rho_bar, self.c_bar, self.s_bar = alpha * beta, alpha, 1.0, 1.0, 1.0, 0.0
+        self.beta_dd, self.beta_d, self.rho_d, self.tau, self.theta_tilde, self.zeta, self.d = beta, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0
+        return state.withColumn("h", F.col("v"))
+
+    def step(self, state: DataFrame, alpha: float, beta: float) -> tuple[DataFrame, float, float]:
+        hat = math.hypot(self.alpha_bar, self.damp)
+        c_hat, s_hat = self.alpha_bar / hat, self.damp / hat
+        rho_old, rho_bar_old, zeta_old = self.rho, self.rho_bar, self.zeta
+        self.rho = math.hypot(hat, beta)
+        c, s = hat / self.rho, beta / self.rho
+        theta, self.alpha_bar = s * alpha, c * alpha
+        theta_bar, temp = self.s_bar * self.rho, self.c_bar * self.rho
+        self.rho_bar = math.hypot(temp, theta)
+        self.c_bar, self.s_bar = temp / self.rho_bar, theta / self.rho_bar
+        self.zeta, self.zeta_bar = self.c_bar * self.zeta_bar, -self.s_bar * self.zeta_bar
+        g = F.col("h") - theta_bar * self.rho / (rho_old * rho_bar_old) * F.col("g")
+        state = state.withColumn("g", g).withColumns({
+            "x": F.col("x") + self.zeta / (self.rho * self.rho_bar) * F.col("g"), "h": F.col("v") - theta / self.rho * F.col("h"),
+        })
+        # The norm of the residual, by the second rotation of the bidiagonal's triangle.
+        acute, check = c_hat * self.beta_dd, -s_hat * self.beta_dd
+        turned, self.beta_dd = c * acute, -s * acute
+        rho_tilde = math.hypot(self.rho_d, theta_bar)
+        c_tilde, s_tilde, theta_old = self.rho_d / rho_tilde, theta_bar / rho_tilde, self.theta_tilde
+        self.theta_tilde, self.rho_d = s_tilde * self.rho_bar, c_tilde * self.rho_bar
+        self.beta_d = -s_tilde * self.beta_d + c_tilde * turned
+        self.tau = (zeta_old - theta_old * self.tau) / rho_tilde
+        last = (self.zeta - self.theta_tilde * self.tau) / self.rho_d
+        self.d += check**2
+        return state, math.sqrt(self.d + (self.beta_d - last) ** 2 + self.beta_dd**2), abs(self.zeta_bar)
 
 
 def sky_and_offsets(x: DataFrame, nx: int, n_sky: int, n_chunks: int) -> tuple[DataFrame, DataFrame]:
