@@ -60,6 +60,11 @@ class Frame:
         return from_plane(a * dx + b * dy, c * dx + d * dy, *self.crval)
 
 
+def map_pixels(x: Column, y: Column, source: Frame, target: Frame) -> tuple[Column, Column]:
+    """A pixel of one frame in another's pixels."""
+    return target.pixel(*source.sky(x, y))
+
+
 def plane(ra: Column, dec: Column, ra0: float | Column, dec0: float | Column) -> tuple[Column, Column]:
     """Gnomonic (TAN) coordinates about (ra0, dec0); null on the far half of the sphere."""
     ra0, dec0 = (F.lit(v) if not isinstance(v, Column) else v for v in (ra0, dec0))

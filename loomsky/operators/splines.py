@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from .chunks import run_bins
+
 
 def linear(knots: DataFrame, targets: DataFrame, by: Sequence[str], *, x: str = "x", y: str = "y") -> DataFrame:
     """``by, x, y`` at each of ``targets`` (by, x), between the nearest of ``knots`` (by, x, y); beyond the ends, the end's value."""
@@ -147,6 +149,33 @@ def surface(offsets: DataFrame, *, by: Sequence[str] = ("frame",), row: str = "s
     return offsets.groupBy(*by).applyInPandas(spread, out)
 
 
+def radial(offsets: DataFrame, radii: Sequence[float], pixels: DataFrame, *, kind: str = "cubic", r: str = "r") -> DataFrame:
+    """``pixels`` (chunk, r) of every frame with ``value``: offsets (frame, chunk, value) as a smooth function of the distance ``r`` to the
+    arcs' centre, which keeps each chunk's mean. Chunk i lies between radii i - 1 and i, a table of the instrument; the outermost chunks, which
+    have one radius only, and chunks without an offset are left out."""
+    edges = F.array(*[F.lit(float(x)) for x in radii])
+    inside = offsets.where(F.col("chunk").between(1, len(radii) - 1))
+    bins = inside.select(
+        "frame", "chunk", F.get(edges, (F.col("chunk") - 1).cast("int")).alias("low"), F.get(edges, F.col("chunk").cast("int")).alias("high"), F.col("value").alias("mean")
+    )
+    slopes = edge_slopes(bins, ["frame"], kind)
+    return pixels.join(slopes, "chunk").withColumn("value", mean_preserving(F.col(r))).drop("low", "high", "mean", "d0", "d1")
+
+
+def by_runs(series: DataFrame, by: Sequence[str], order: str, value: str, *, kind: str = "pchip") -> DataFrame:
+    """``series`` (by, order: consecutive integers, value) with ``smooth``: its runs of equal values as bins, whose means the function keeps, at the
+    middle of each place. Places of the first and the last run have none."""
+    runs = run_bins(series, by, [order], value).select(
+        *by, F.col("start").cast("double").alias("low"), F.col("end").cast("double").alias("high"), F.col(value).cast("double").alias("mean")
+    )
+    slopes = edge_slopes(runs, by, kind)
+    places = Window.partitionBy(*by).orderBy(order)
+    placed = series.withColumn("_at", F.row_number().over(places) - 0.5)
+    inside = [placed[c] == slopes[c] for c in by] + [(F.col("_at") > F.col("low")) & (F.col("_at") < F.col("high"))]
+    met = placed.join(slopes, inside, "left")
+    return met.select(*[placed[c] for c in series.columns], mean_preserving(F.col("_at")).alias("smooth"))
+
+
 def triangles(points: np.ndarray) -> list[tuple[int, int, int]]:
     """Delaunay triangles of distinct points, by insertion (Bowyer and Watson, 1981); none of collinear ones."""
     n, size = len(points), float(np.ptp(points, axis=0).max()) or 1.0

@@ -146,6 +146,49 @@ def arc_fit_joint(spark, sf_dir):
     return spark.createDataFrame([(int(e), xc, yc, r) for e, r in sorted(radii.items())], "edge int, xc double, yc double, radius double")
 
 
+@query()
+def radial_offsets(spark, sf_dir):
+    """Frames' mean values by arc, smooth in the distance to the arcs' centre, at each raster cell; the tests compare means of arcs."""
+    from ..operators.chunks import arc_chunks
+
+    radii = [float(150 + 8 * i) for i in range(8)]
+    cells = arc_chunks(grid(spark, sf_dir).drop("chunk"), 25, 200, radii)
+    cells = cells.withColumn("r", F.sqrt((F.col("det_x") - 25.0) ** 2 + (F.col("det_y") - 200.0) ** 2)).select("cell", "chunk", "r")
+    means = obs(spark, sf_dir).where("chunk > 0").groupBy("frame", "chunk").agg(F.floor(F.sum("v") / F.count("*")).cast("double").alias("value"))
+    return splines.radial(means, radii, cells, kind="pchip").select("frame", "cell", "value")
+
+
+@query()
+def smoothed_runs(spark, sf_dir):
+    """Raster lines of coarse values, smoothed between runs; the tests compare means of runs."""
+    lines = grid(spark, sf_dir).select("det_y", "det_x", F.expr("chunk div 25").alias("level"))
+    return splines.by_runs(lines, ["det_y"], "det_x", "level")
+
+
+@query("""WITH t AS (SELECT l_suppkey % 6 AS k, CAST(sum(l_quantity) AS DOUBLE) AS s FROM lineitem GROUP BY 1), w AS (SELECT CAST(power(2, k) AS BIGINT) AS workers, s AS seconds FROM t)
+SELECT workers, (SELECT seconds FROM w WHERE workers = 1) / seconds AS speedup, (SELECT seconds FROM w WHERE workers = 1) / seconds / workers AS efficiency FROM w""")
+def scaling(spark, sf_dir):
+    """Speed-up and efficiency by workers, of sums that stand for seconds."""
+    k = F.col("l_suppkey") % 6
+    times = table(spark, sf_dir, "lineitem").groupBy(F.pow(F.lit(2.0), k).cast("bigint").alias("workers")).agg(F.sum("l_quantity").alias("seconds"))
+    one = times.where("workers = 1").select(F.col("seconds").alias("_one"))  # one row
+    speedup = F.col("_one") / F.col("seconds")
+    return times.join(F.broadcast(one)).select("workers", speedup.alias("speedup"), (speedup / F.col("workers")).alias("efficiency"))
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS id, CAST(c_custkey % 50 AS DOUBLE) AS x, CAST(c_custkey % 40 AS DOUBLE) AS y FROM customer)
+SELECT id, {rounded_sql("20e0 + (x - 10e0) * 2e0", 4)} AS x, {rounded_sql("30e0 + (y - 5e0) * 2e0", 4)} AS y FROM p""")
+def map_pixels(spark, sf_dir):
+    """Pixels of a frame in one of half its pixel size about the same place."""
+    source = geometry.Frame((120.0, 10.0), (11.0, 6.0), ((-0.01, 0.0), (0.0, 0.01)), 40, 50)
+    target = geometry.Frame((120.0, 10.0), (21.0, 31.0), ((-0.005, 0.0), (0.0, 0.005)), 80, 100)
+    cells = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50).cast("double").alias("x"), (F.col("c_custkey") % 40).cast("double").alias("y")
+    )
+    x, y = geometry.map_pixels(F.col("x"), F.col("y"), source, target)
+    return cells.select("id", rounded(x, 4).alias("x"), rounded(y, 4).alias("y"))
+
+
 _PLACE = "CAST(c_custkey * 37 % 3600 AS DOUBLE) / 10e0 AS ra, CAST(c_custkey * 11 % 1600 AS DOUBLE) / 10e0 - 80e0 AS dec"
 
 

@@ -171,3 +171,22 @@ def test_shares_of_chunks(spark):
     df = spark.createDataFrame([(0, 0, 0, 0.0, 0.5)], "frame int, ref_y int, ref_x int, map_y double, map_x double")
     cells = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (0, 2, -1)], "det_y long, det_x long, chunk long")
     assert {(r.chunk, r.share) for r in prepare.chunk_shares(df, cells).collect()} == {(0, 0.5), (1, 0.5)}
+
+
+def test_radial_function_keeps_means_of_arcs(spark):
+    offsets = spark.createDataFrame([(1, c, float(v)) for c, v in enumerate([9, 2, 4, 3, 8])], "frame int, chunk int, value double")
+    radii = [10.0, 12.0, 14.0, 16.0]
+    rows = [(c, radii[c - 1] + (i + 0.5) / 100) for c in (1, 2, 3) for i in range(200)]
+    pixels = spark.createDataFrame(rows, "chunk int, r double")
+    for kind in ("pchip", "akima", "cubic"):
+        got = splines.radial(offsets, radii, pixels, kind=kind).groupBy("chunk").agg(F.avg("value").alias("m")).collect()
+        assert {r.chunk: round(r.m, 3) for r in got} == {1: 2.0, 2: 4.0, 3: 3.0}
+
+
+def test_smoothed_runs_keep_their_means(spark):
+    values = [5] * 3 + [1] * 40 + [2] * 30 + [0] * 50 + [7] * 2
+    s = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "g int, i int, v int")
+    got = splines.by_runs(s, ["g"], "i", "v").collect()
+    assert len(got) == len(values) and all((r.smooth is None) == (r.v in (5, 7)) for r in got)
+    for v in (1, 2, 0):
+        assert np.mean([r.smooth for r in got if r.v == v]) == pytest.approx(v, abs=0.01)
