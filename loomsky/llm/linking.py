@@ -5,7 +5,7 @@ to it where they are alike; of what that leaves in different components, only pa
 
 * Both near the centre (within twice the limit of distance). What they share lies in the centre's set or outside it. Inside, it is no more than
   the lesser of what each shares with the centre. If that isn't enough, they must share items that the centre lacks, and
-  are found by those items.
+  are found by the rarest of those.
 * One farther off. Then neither is within the limit, by the triangle inequality of Jaccard distance, and their distances differ by the
   limit at most; they are found by their bucket, and ``close`` may tell by their signatures which can't be alike.
 
@@ -18,6 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, stored
 
@@ -83,10 +84,21 @@ def linked_components(
 
     plain = around.drop("lacking")
     pairs = plain.where("c <> main").join(second(plain, "centre"), "centre").where(differ & F.expr(enough.format(0))).select("rep", "rep2")
-    own = around.select("centre", "rep", "n", "inside", "c", "main", F.explode("lacking").alias("item"))
-    by_item = own.where("c <> main").join(second(own, "centre", "item"), ["centre", "item"]).where(differ)
-    by_item = by_item.groupBy("centre", "rep", "rep2").agg(F.count("*").alias("outside"), *[F.first(c).alias(c) for c in ("n", "n2", "inside", "inside2")])
-    pairs = pairs.union(by_item.where(enough.format("outside")).select("rep", "rep2"))
+    # Of an open set's items outside the centre's, a partner must have at least as many as the set's own share of what both must
+    # share exceeds what lies inside. So it has one of the set's rarest, all but one less than that many.
+    around = around.withColumn("s", F.xxhash64("lacking"))
+    every = around.select("centre", "rep", "s", "n", "c", F.explode("lacking").alias("item"))
+    counts = every.groupBy("centre", "item").agg(F.count("*").alias("having"))
+    needed = F.greatest(F.ceil(F.col("n") * (percent / 100) - 1e-9) - F.col("inside"), F.lit(1))
+    own = around.where("c <> main").withColumn("rarest", F.size("lacking") - needed + 1)
+    own = own.select("centre", "rep", "s", "n", "c", "main", "rarest", F.explode("lacking").alias("item")).join(counts, ["centre", "item"])
+    place = F.row_number().over(Window.partitionBy("centre", "rep", "s").orderBy("having", "item"))
+    own = own.withColumn("place", place).where("place <= rarest and having > 1").drop("place", "rarest", "having")
+    met_again = own.join(second(every, "centre", "item"), ["centre", "item"]).where(differ).select("centre", "rep", "s", "rep2", "s2").distinct()
+    outside = around.select("centre", "rep", "s", "n", "inside", "lacking")
+    met_again = met_again.join(outside, ["centre", "rep", "s"]).join(outside.toDF("centre", "rep2", "s2", "n2", "inside2", "lacking2"), ["centre", "rep2", "s2"])
+    both = "size(array_intersect(lacking, lacking2))"
+    pairs = pairs.union(met_again.where(enough.format(both)).select("rep", "rep2"))
 
     # One farther off.
     distances = first.groupBy(F.col("a").alias("rep"), F.col("b").alias("centre")).agg(F.min("away").alias("away"))

@@ -4,28 +4,29 @@ A document's set is that of its distinct word shingles. Its signature holds ``ch
 values of ``bits`` bits. Two signatures that differ in at most ``chunks * (errors + 1) - 1`` places agree, by
 the pigeonhole principle, in some chunk but for at most ``errors`` places. So every chunk is entered into the
 index once for each way of leaving out ``errors`` places, and all pairs within that distance meet under a
-key; at the default 8 x 5 values and one error that is 15 of 40 places. Pairs farther apart that still meet are
-kept too: a pair at Jaccard 0.8 misses all chunks with probability 0.26 ** 8, about 2e-5.
+key; at the default 9 x 6 values and one error that is 17 of 54 places. Pairs that are farther apart and still meet are
+kept up to the distance ``far``: at Jaccard 0.8 a pair misses all chunks with probability 0.345 ** 9, 7e-5, and is
+farther apart than 25 places with probability 4e-6.
 
-What meets is confirmed on the full sets. A bucket never gives all its pairs: each member is compared with
-the bucket's smallest one (the centre); later only members of *different* components are compared, and of those
-only such as the triangle inequality of Jaccard distance leaves possible, by their distances to the centre.
+What meets is confirmed on the full sets; ``linking`` says how that is done without giving all pairs of a bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import broadcast_up_to, stored
+from .linking import linked_components
 from .words import C1, C2, hash_words, in_chunks, mix, shingles
 
-SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>"
+SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, signature array<long>"
 
 
 def _text_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -43,45 +44,67 @@ def _list_array(parts: list[np.ndarray]) -> pa.Array:
     )
 
 
-def _signer(n: int, chunks: int, width: int, errors: int, bits: int):
+def _signer(n: int, chunks: int, width: int, bits: int):
     places = chunks * width
     flips = mix(np.arange(1, places + 1, dtype=np.uint64) * C1)
     scale = mix(np.arange(1, places + 1, dtype=np.uint64) * C2) | np.uint64(1)
-    kept = list(combinations(range(width), width - errors))
-    #: for each key: the places that it holds
-    index = np.array([[c * width + p for p in k] for c in range(chunks) for k in kept])
-    number = np.arange(len(index), dtype=np.uint64)
     shift = np.uint64(64 - bits)
 
-    def keys_of(hashes: np.ndarray) -> np.ndarray:
+    def signature(hashes: np.ndarray) -> np.ndarray:
         low = np.full(places, np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(hashes), 4096):
             np.minimum(low, ((hashes[i : i + 4096, None] ^ flips) * scale).min(axis=0), out=low)
-        values = mix(low) >> shift
-        key = number
-        for column in index.T:
-            key = (key << np.uint64(bits)) | values[column]
-        return key
+        packed = np.zeros(chunks, np.uint64)
+        for values in (mix(low) >> shift).reshape(chunks, width).T:
+            packed = (packed << np.uint64(bits)) | values
+        return packed
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, one, two, keys = [], [], [], []
+            size, one, two, signatures = [], [], [], []
             for _, hashes in _text_sets(batch, n):
                 size.append(len(hashes))
                 one.append(int(hashes.sum().view(np.int64)))
                 two.append(int(mix(hashes ^ C1).sum().view(np.int64)))
-                keys.append(keys_of(hashes) if len(hashes) else hashes)
+                signatures.append(signature(hashes) if len(hashes) else hashes)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(one, pa.int64()),
-                    pa.array(two, pa.int64()), _list_array(keys),
+                    pa.array(two, pa.int64()), _list_array(signatures),
                 ],
-                ["doc_id", "n_shingles", "fp1", "fp2", "keys"],
+                ["doc_id", "n_shingles", "fp1", "fp2", "signature"],
             )
 
     return sign
 
 
+def _keys(chunks: int, width: int, errors: int, bits: int) -> Column:
+    """The index keys of ``signature``: each chunk without each choice of ``errors`` places, and a number for both."""
+    found = []
+    for chunk in range(chunks):
+        for kept in combinations(range(width), width - errors):
+            mask = sum(((1 << bits) - 1) << (bits * p) for p in kept)
+            number = len(found) << (bits * width)
+            found.append(F.get("signature", F.lit(chunk)).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(number)))
+    return F.array(*found)
+
+
+def _distance(a: str, b: str, width: int, bits: int) -> Column:
+    """Places in which two packed signatures differ."""
+    ones = sum(1 << (bits * p) for p in range(width))
+
+    def differing(x: Column, y: Column) -> Column:
+        both = x.bitwiseXOR(y)
+        step, spread = 1, both
+        while step < bits:  # any bit of a place is carried down to its lowest one
+            by = min(step, bits - step)
+            spread = spread.bitwiseOR(F.shiftrightunsigned(spread, by))
+            step += by
+        return F.bit_count(spread.bitwiseAND(F.lit(ones)))
+
+    return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, d: total + d)
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,26 +116,16 @@ def _sets(n: int):
     return run
 
 
-def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the sizes of their sets and of the sets' intersection."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
-    met = pairs.join(one, "a").join(two, "b")
-    return met.select(
-        "a", "b", F.size("items_a").alias("n_a"), F.size("items_b").alias("n_b"),
-        F.size(F.array_intersect("items_a", "items_b")).alias("common"),
-    )
-
-
 def near_duplicates(
     docs: DataFrame,
     *,
     shingle_words: int = 5,
     percent: int = 80,
-    chunks: int = 8,
-    width: int = 5,
+    chunks: int = 9,
+    width: int = 6,
     errors: int = 1,
-    bits: int = 12,
+    bits: int = 9,
+    far: int = 25,
 ) -> DataFrame:
     """Class of each document: ``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs``.
 
@@ -123,66 +136,31 @@ def near_duplicates(
     Null and empty texts have an empty set, linked with nothing. Rows that share a doc_id are one node with several
     texts. Rows without a doc_id can't be named in a result and are left out. Other columns of ``docs`` are ignored.
 
-    Disk: signatures of all documents, the sets of those that met another in a bucket, and one shuffle of texts.
+    Disk: signatures of all documents, the sets of those that met another in a bucket, and, where these are too many for
+    their ids to be broadcast, one shuffle of texts.
     """
-    if not 0 <= errors < width or bits * (width - errors) + (chunks * width * 16).bit_length() > 63:
+    if not 0 <= errors < width or bits * width + (chunks * comb(width, errors) - 1).bit_length() > 63:
         raise ValueError("a key doesn't fit in 63 bits")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    signed = stored(docs.mapInArrow(_signer(shingle_words, chunks, width, errors, bits), SIGNATURE))
+    signed = stored(docs.mapInArrow(_signer(shingle_words, chunks, width, bits), SIGNATURE))
     full = signed.where("n_shingles > 0")
     #: equal sets go on as one: the smallest doc_id stands for them
-    reps = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    reps = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     reps = stored(reps)
-    entries = reps.select(F.explode("keys").alias("key"), "rep", F.col("n_shingles").alias("n"))
-    centres = (
-        entries.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members"))
-        .where("members > 1").drop("members")
-    )
-    hits = stored(entries.join(centres, "key"))
-
-    ids = hits.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(docs.join(ids, "doc_id").mapInArrow(_sets(shingle_words), "doc_id long, items array<long>"))
-    sizes = hits.select("rep", "n").distinct()
-    first = hits.where("rep <> centre").select("rep", "n", "centre").distinct()
-    first = first.join(sizes.toDF("centre", "n_centre"), "centre").where("10 * least(n, n_centre) >= 6 * greatest(n, n_centre)")
-    first = stored(_shared(first.select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), sets))
-    linked = F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
-    edges = first.where(linked).select("a", "b")
-    found = components(edges)
-
-    # What the centres leave open: pairs of one bucket in different components. Jaccard distance is a metric, so a pair
-    # within the limit t has distances to the centre at most t apart: both are below 2t, or both are above t.
-    limit = 1 - percent / 100
-    away = first.groupBy(F.col("a").alias("rep"), F.col("b").alias("centre")).agg(
-        F.min(1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("away")
-    )
-    open_ = (
-        hits.join(away, ["rep", "centre"], "left")
-        .withColumn("away", F.expr("case when rep = centre then 0D else coalesce(away, 1D) end"))
-        .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "key", "rep", "n", F.coalesce("component", "rep").alias("c"),
-            F.explode(F.expr(f"filter(array(if(away <= {2 * limit + 1e-9}, 0, null), if(away > {limit - 1e-9}, 1, null)), x -> x is not null)")).alias("side"),
-        )
-    )
-    mixed = open_.groupBy("key", "side").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "side")
-    open_ = stored(open_.join(mixed, ["key", "side"]))
-    groups = open_.select("key", "side", "c").distinct()
-    crossing = groups.alias("x").join(groups.withColumnRenamed("c", "c2").alias("y"), ["key", "side"]).where("c < c2")
-    pairs = (
-        crossing.join(open_, ["key", "side", "c"])
-        .select("key", "side", "c2", F.col("rep").alias("a"), F.col("n").alias("n1"))
-        .join(open_.select("key", "side", F.col("c").alias("c2"), F.col("rep").alias("b"), F.col("n").alias("n2")), ["key", "side", "c2"])
-        .where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    more = _shared(pairs, sets).where(linked).select("a", "b")
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    entries = reps.select(F.explode(_keys(chunks, width, errors, bits)).alias("key"), "rep")
+    shared = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    met = stored(entries.join(shared, "key"))
+    ids = stored(met.select(F.col("rep").alias("doc_id")).distinct())
+    sets = docs.join(broadcast_up_to(ids), "doc_id").mapInArrow(_sets(shingle_words), "doc_id long, items array<long>")
+    sets = stored(sets.withColumnRenamed("doc_id", "id"))
+    signatures = reps.select("rep", F.col("n_shingles").alias("n"), "signature")
+    sizes = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
+    close = sizes & (_distance("signature", "signature2", width, bits) <= far)
+    found = linked_components(met, sets, percent, signatures=signatures, close=close)
 
     named = reps.select("fp1", "fp2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return (
-        signed.drop("keys").join(named, ["fp1", "fp2", "n_shingles"], "left")
+        signed.drop("signature").join(named, ["fp1", "fp2", "n_shingles"], "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
         .withColumn("kept", F.expr("doc_id = component_id"))
     )
