@@ -86,15 +86,17 @@ def linked_components(
     pairs = plain.where("c <> main").join(second(plain, "centre"), "centre").where(differ & F.expr(enough.format(0))).select("rep", "rep2")
     # Of an open set's items outside the centre's, a partner must have at least as many as the set's own share of what both must
     # share exceeds what lies inside. So it has one of the set's rarest, all but one less than that many.
-    around = around.withColumn("s", F.xxhash64("lacking"))
-    every = around.select("centre", "rep", "s", "n", "c", F.explode("lacking").alias("item"))
+    # No pair shares more outside than the lesser of what each has there.
+    around = around.withColumns({"s": F.xxhash64("lacking"), "out": F.size("lacking")})
+    every = around.select("centre", "rep", "s", "n", "c", "inside", "out", F.explode("lacking").alias("item"))
     counts = every.groupBy("centre", "item").agg(F.count("*").alias("having"))
     needed = F.greatest(F.ceil(F.col("n") * (percent / 100) - 1e-9) - F.col("inside"), F.lit(1))
     own = around.where("c <> main").withColumn("rarest", F.size("lacking") - needed + 1)
-    own = own.select("centre", "rep", "s", "n", "c", "main", "rarest", F.explode("lacking").alias("item")).join(counts, ["centre", "item"])
+    own = own.select("centre", "rep", "s", "n", "c", "inside", "out", "main", "rarest", F.explode("lacking").alias("item")).join(counts, ["centre", "item"])
     place = F.row_number().over(Window.partitionBy("centre", "rep", "s").orderBy("having", "item"))
     own = own.withColumn("place", place).where("place <= rarest and having > 1").drop("place", "rarest", "having")
-    met_again = own.join(second(every, "centre", "item"), ["centre", "item"]).where(differ).select("centre", "rep", "s", "rep2", "s2").distinct()
+    can = differ & F.expr(enough.format("least(out, out2)"))
+    met_again = own.join(second(every, "centre", "item"), ["centre", "item"]).where(can).select("centre", "rep", "s", "rep2", "s2").distinct()
     outside = around.select("centre", "rep", "s", "n", "inside", "lacking")
     met_again = met_again.join(outside, ["centre", "rep", "s"]).join(outside.toDF("centre", "rep2", "s2", "n2", "inside2", "lacking2"), ["centre", "rep2", "s2"])
     both = "size(array_intersect(lacking, lacking2))"
