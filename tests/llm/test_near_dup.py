@@ -153,3 +153,22 @@ def test_neighbours_across_buckets(spark):
     assert sorted(x.next_text for x in with_next(ties, "doc_id", ["text"]).collect()) == ["a", "b", "c", "n"]
     assert with_next(ties.limit(0), "doc_id", ["text"]).collect() == []
     assert with_next(ties.where("doc_id = 2"), "doc_id", ["text"]).first().next_text == "c"
+
+
+def test_long_and_repeating_lines_meet(spark):
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefgh", k=r.randrange(2, 9))) for _ in range(300)]
+    lines = []
+    for size in (8, 20, 24, 28, 40, 90):  # around the border of the two indexes
+        for _ in range(12):
+            own = r.choices(words, k=size)
+            lines.append(" ".join(own))
+            own[r.randrange(size)] = r.choice(words)
+            lines.append(" ".join(own))
+    phrase = " ".join(r.choices(words, k=12)) + " "
+    lines += [(phrase * k).strip() for k in (1, 2, 3, 9)] + ["x" * 5 + "".join(r.choices("abcdefgh", k=400))]
+    lines.append(lines[-1] + "ab")
+    texts = dict(enumerate(lines))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()}
+    assert got == lines_brute(texts)
