@@ -66,6 +66,32 @@ def test_edited_copies_spans_and_edges(spark):
     assert decontaminate.contaminated(docs.limit(0), tests).collect() == [] and decontaminate.contaminated(docs, tests.limit(0)).collect() == []
 
 
+def test_changed_and_half_copies_are_those_of_smith_waterman(spark):
+    r = random.Random(2)
+    common = [f"c{i}" for i in range(12)]
+    items = [[r.choice(common) if r.random() < 0.4 else f"q{k}x{i}" for i in range(30)] for k in range(12)]
+    docs = []
+    for k, item in enumerate(items):
+        docs.append([w if i % 5 else "changed" for i, w in enumerate(item)])
+        docs += [[w if r.random() > p else "changed" for w in item] for p in (0.2, 0.25, 0.3, 0.35)]
+        docs += [item[:15], item[:16], item[9:24], item[:14]]
+        docs.append([x for i, w in enumerate(item) for x in ([w] if i % 4 else ["added", w, "more"])])
+        docs += [item] * (k % 3 * 2)  # exact copies beside them
+    docs = [r.choices(common, k=9) + d + r.choices(common, k=9) for d in docs] + [r.choices(common, k=60) for _ in range(20)]
+    expected = {}
+    for d, w in enumerate(docs):
+        for i, own in enumerate(items):
+            if set(zip(w, w[1:], w[2:])) & set(zip(own, own[1:], own[2:])) and (best := smith_waterman(own, w)) >= len(own):
+                expected[d, i] = best / 60
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for block_bytes in (1 << 20, 300):
+        got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contaminated(df, tests, block_bytes=block_bytes).collect()}
+        assert got == expected and len(got) > 100
+    alone = decontaminate.contaminated(df.where("doc_id = 0"), tests.where("item_id = 0")).collect()
+    assert [(x.doc_id, x.item_id) for x in alone] == [(0, 0)]
+
+
 # Quality
 
 
