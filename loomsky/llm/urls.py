@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LABEL = "label=block"
-#: longest host or path, in labels or segments, of which endings and starts are looked up
-MOST_TOKENS = 12
 
 
 def host_of(url: Column) -> Column:
@@ -33,10 +31,10 @@ def path_of(url: Column) -> Column:
 def url_tokens(url: Column) -> Column:
     """Distinct tokens: ``host:`` each label, ``end:`` the last two and the last label, ``dir:`` each path segment but numbers,
     ``file:`` the file's ending, ``arg:`` each parameter's name, ``frag:`` where there is a fragment."""
-    labels = F.slice(F.filter(F.split(host_of(url), r"\."), lambda x: x != ""), 1, MOST_TOKENS)
-    segments = F.slice(F.filter(F.split(path_of(url), "/"), lambda x: (x != "") & ~x.rlike(r"^[0-9]+(\.[a-z]+)?$")), 1, MOST_TOKENS)
+    labels = F.filter(F.split(host_of(url), r"\."), lambda x: x != "")
+    segments = F.filter(F.split(path_of(url), "/"), lambda x: (x != "") & ~x.rlike(r"^[0-9]+(\.[a-z]+)?$"))
     query = F.coalesce(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(""))
-    names = F.slice(F.filter(F.transform(F.split(query, "&"), lambda a: F.regexp_extract(a, "^([^=]*)", 1)), lambda a: a != ""), 1, MOST_TOKENS)
+    names = F.filter(F.transform(F.split(query, "&"), lambda a: F.regexp_extract(a, "^([^=]*)", 1)), lambda a: a != "")
     ending = F.regexp_extract(path_of(url), r"\.([A-Za-z0-9]{1,8})$", 1)
 
     def named(kind: str, values: Column) -> Column:
@@ -67,16 +65,32 @@ def given_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
 
 def mine(urls: DataFrame, *, min_support: float, min_count: int, min_confidence: float) -> DataFrame:
     """Blocking rules ``tokens, confidence, support`` from ``urls`` (tokens, blocked), pruned. A small table: each rule needs
-    ``min_support`` of all labelled pages, and ``min_count`` of them. No labelled pages give no rules."""
+    ``min_support`` of all labelled pages, and ``min_count`` of them. No labelled pages give no rules.
+
+    Tokens that lie in the same pages are mined as one, the least of them, and its rules hold for each: sets of several of them
+    would be as many as the subsets of a long URL, and idle all of them."""
     spark = urls.sparkSession
-    baskets = urls.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(LABEL))).otherwise(F.col("tokens")).alias("items"))
     empty = spark.createDataFrame([], "tokens array<string>, confidence double, support double")
-    n = baskets.count()
+    n = urls.count()
     if not n:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(baskets)
+    least = min(1.0, max(min_support, min_count / n))
+    pages = F.sum(F.xxhash64("tokens").cast("decimal(38,0)")).alias("pages")
+    often = urls.select("tokens", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), pages).where(F.col("n") >= least * n - 1e-6)
+    alike = often.groupBy("n", "pages").agg(F.min("token").alias("first"), F.collect_list("token").alias("all"))
+    classes = {r.first: r.all for r in alike.select("first", "all").collect()}  # each has the least support
+    known = F.array_intersect("tokens", F.array(*map(F.lit, classes))) if classes else F.array().cast("array<string>")
+    baskets = urls.select(F.when(F.col("blocked"), F.array_append(known, F.lit(LABEL))).otherwise(known).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.expr(f"consequent = array('{LABEL}')"))
-    rules = rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
+    several = spark.createDataFrame([(k, v) for k, v in classes.items() if len(v) > 1], "first string, all array<string>")
+    for_each = F.map_from_entries(F.collect_list(F.struct("first", "all")))
+    rules = rules.crossJoin(F.broadcast(several.agg(for_each.alias("all"))))
+    named = F.aggregate(
+        "antecedent", F.array(F.array().cast("array<string>")),
+        lambda sets, t: F.flatten(F.transform(sets, lambda s: F.transform(F.coalesce(F.try_element_at("all", t), F.array(t)), lambda m: F.array_append(s, m)))),
+    )
+    rules = rules.select(F.explode(named).alias("tokens"), "confidence", "support").withColumn("tokens", F.sort_array("tokens"))
     shorter = rules.select(F.col("tokens").alias("t2"), F.col("confidence").alias("c2"), F.explode("tokens").alias("first"))
     longer = rules.select("tokens", "confidence", F.explode("tokens").alias("first"))
     idle = longer.join(shorter, "first").where(

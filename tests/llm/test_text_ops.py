@@ -279,6 +279,22 @@ def test_planted_combination_is_mined(spark):
 # Toxicity
 
 
+def test_tokens_count_wherever_they_stand(spark):
+    query = "&".join(f"p{i}={i}" for i in range(25))
+    deep = "/".join(f"s{i}x" for i in range(16))
+    rows = [(i, f"http://a.org/{'same/' * 14}{deep if i % 2 else 'x'}/{'bad' if i % 4 < 2 else 'good'}/?{query}{'&tell=1' if i % 4 == 3 else ''}") for i in range(80)]
+    rows += [(100, "http://b.com/bad/1"), (101, f"http://b.com/{deep}/bad/"), (102, f"http://b.com/{deep}/?{query}&tell"), (103, f"http://b.com/{deep}/?{query}")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 4 != 2 else 1) for i in range(80)], "doc_id long, quality int")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(pages, labels, [], min_confidence=0.95).collect()}
+    assert all((got[i] == "block") == (i % 4 != 2) for i in range(80))
+    assert [got[i] for i in (100, 101, 102, 103)] == ["block", "block", "block", "block"]
+    # s0x ... s15x lie in the same pages, all blocked: each of them is a rule, and no set of them
+    tokens = pages.where("page_id < 100").select(urls.url_tokens(F.col("url")).alias("tokens"), (F.col("page_id") % 4 != 2).alias("blocked"))
+    mined = {tuple(r.tokens) for r in urls.mine(tokens, min_support=0.01, min_count=8, min_confidence=0.95).collect()}
+    assert {("dir:s15x",), ("dir:bad",), ("arg:tell",)} <= mined and not any("dir:s0x" in m and "dir:s1x" in m for m in mined)
+
+
 def test_held_out_accuracy(spark):
     rows = QUERIES["op9_toxicity_cnn"](spark, SF1).join(spark.read.parquet(f"{SF1}/labels.parquet"), "doc_id").where("held_out").collect()
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
