@@ -172,3 +172,24 @@ def test_long_and_repeating_lines_meet(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()}
     assert got == lines_brute(texts)
+
+
+def test_lines_at_the_border_share_a_key(spark):
+    r = random.Random(7)
+    word = lambda a, b: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(a, b)))
+    long = lambda n, a=6, b=14: " ".join(word(a, b) for _ in range(n))[:n]
+    cases = {"contained": [], "short words edited": [], "short": []}
+    for _ in range(1500):
+        line = long(1200)
+        cases["contained"].append((line, line[: 9 + -(-(1200 - 9) * 4 // 5)]))
+        head, tail = long(560), long(560)
+        cases["short words edited"].append(tuple(f"{head} {long(120, 1, 3)} {tail}" for _ in "ab"))
+        size = r.randrange(14, 40)
+        line = long(size)
+        cases["short"].append((line, line[: 9 + -(-(size - 9) * 4 // 5)]))
+    for name, pairs in cases.items():
+        sets = [[{x[i : i + 10] for i in range(len(x) - 9)} for x in p] for p in pairs]
+        assert all(len(a & b) >= 0.8 * len(a | b) for a, b in sets) and sum(len(a & b) <= 0.85 * len(a | b) for a, b in sets) > 1000
+        df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+        apart = df.where(~F.arrays_overlap(line_dedup.bands(F.col("a")), line_dedup.bands(F.col("b")))).count()
+        assert apart <= 1, name
