@@ -7,9 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geometry
+from ..operators.solver import _kept as kept
+from ..operators.system import dense_rows
 from ..schemas import schema
 
 
@@ -50,8 +51,11 @@ def exposure_index(path: Column) -> Column:
 
 
 def numbered(df: DataFrame, path: str = "file_path", name: str = "frame") -> DataFrame:
-    """A list of files numbered from 0 on in the order of their paths. One row for each file: a list of thousands, ordered by one task."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(path)) - 1)
+    """A list of files numbered from 0 on in the order of their paths. Each range of paths is numbered by itself, from the sizes of those before
+    it; the ranges are drawn anew by each run, so they are written to the shared folder once."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(df.repartitionByRange(ranges, path).withColumn("_range", F.spark_partition_id()))
+    return dense_rows(dealt, "_range", [path], name).drop("_range").withColumn(name, F.col(name).cast("int"))
 
 
 def frames(spark: SparkSession, path: str, fields: Sequence[str] | None = None) -> DataFrame:

@@ -97,3 +97,14 @@ def test_windowed_sums_merge(spark):
     df = spark.createDataFrame(rows, "t string, ref_y int, ref_x int, value double, weight double").withColumn("t", F.to_timestamp("t"))
     r = stream.maps(stream.merged(stream.windowed_sums(df, "t", "1 day", "1 hour"))).first()
     assert r.data == 2.0 and r.weight == 3.0
+
+
+def test_several_tasks_number_a_list(spark):
+    paths = [f"/d/{(i * 7919) % 5000:05d}" for i in range(5000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = readers.numbered(spark.createDataFrame([(p,) for p in paths], "file_path string")).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.file_path for r in sorted(got, key=lambda r: r.frame)] == sorted(paths) and sorted(r.frame for r in got) == list(range(5000))
+    assert len({r.task for r in got}) > 1
