@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ from .common import shared_dir, stored
 HEAD = struct.Struct("<4sIIIQ")
 BLOCK = 1 << 16
 #: ids in a shard before the next is begun, and remembered pieces of a worker
-SHARD_IDS, REMEMBERED = 1 << 23, 600_000
+SHARD_IDS, REMEMBERED = 1 << 23, 500_000
+#: text that a writing task takes, about
+PART_BYTES = 256 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -109,17 +112,26 @@ class Shard:
 
 
 #: No token of the byte-level pre-tokenizer spans a place before white space that follows anything else, so the pieces
-#: between such places are encoded alone. In a plain text they lie between single spaces and line ends. In one with a
-#: character of _OPEN, of which the two libraries' notions of white space differ, they aren't sought.
+#: between such places are encoded alone. In a plain text, which prints but for its line ends, they lie between single spaces and line ends.
+#: In one with a character of _OPEN, of which the two libraries' notions of white space differ, they aren't sought.
 _PIECE = re.compile(r"\s*\S+|\s+")
-_NOT_PLAIN = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 _OPEN = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
-#: a line end or none, letters, and marks that are no apostrophe: as many tokens of the pre-tokenizer
-_WORD = re.compile(r"(\n?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII marks but the apostrophe: behind a word of letters, any number of them is one token of the pre-tokenizer
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: words that are encoded together
+_TOGETHER = 2000
+
+
+def plain(text: str) -> bool:
+    """Whether all white space of ``text`` is single spaces and line ends between other characters."""
+    return (
+        text.replace("\n", "").isprintable() and not text[0].isspace() and not text[-1].isspace()
+        and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text
+    )
 
 
 class Encoder:
-    """A tokenizer from a file of the tokenizers library, with a bounded memory of pieces it has encoded."""
+    """A tokenizer from a file of the tokenizers library, with a bounded memory of words and pieces it has encoded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -127,56 +139,64 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        pre = self.tokenizer.pre_tokenizer
         self.added = any(not t.special for t in self.tokenizer.get_added_tokens_decoder().values())
         #: by pieces only where the pre-tokenizer is known to allow it
         self.by_pieces = self.tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and not self.added
         self.memory: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        #: the characters that stand for bytes: those that print stand for themselves, the others follow from 256 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = iter(range(256, 512))
-        self.alphabet = {b: b if b in shown else next(rest) for b in range(256)}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.led = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that begin with a space, as byte-level vocabularies write it
+        self.led[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-    def _one(self, token: str) -> bytes:
-        """The ids of one token of the pre-tokenizer."""
-        if (ids := self.memory.get(token)) is None:
-            mapped = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
-            self.memory[token] = ids
-        return ids
+    def _words(self, words: list[str]) -> None:
+        """Remember the ids of each of ``words``, of letters alone, behind a space: many are encoded as one text and parted where a space leads."""
+        runs = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        for run, raw in zip(runs, self._encode([" " + " ".join(r) for r in runs])):
+            cut = (4 * np.flatnonzero(self.led[np.frombuffer(raw, "<u4")])).tolist()
+            if len(cut) == len(run):
+                self.memory.update(zip(run, [raw[a:b] for a, b in zip(cut, [*cut[1:], len(raw)])]))
+            else:
+                self.memory.update(zip(run, self._encode([" " + w for w in run])))
 
     def _learn(self, pieces: list[str]) -> None:
-        other = []
+        parted, other = [], []
         for p in pieces:
-            if (m := _WORD.fullmatch(p)) and m[2].isalpha():
-                line, word, marks = m.groups()
-                ids = self._one("\n") + self._one(word) if line else self._one(" " + word)
-                if not marks or len(marks) == 1 or "<" not in marks:
-                    self.pieces[p] = ids + (self._one(marks) if marks else b"")
-                    continue
-            other.append(p)
-        self.pieces.update(zip(other, self._encode([p if p[0] == "\n" else " " + p for p in other])))
+            word = p.rstrip(_MARKS)
+            marks = p[len(word) :]
+            if word.isalpha() and (len(marks) < 2 or "<" not in marks):
+                parted.append((p, word, marks))
+            else:
+                other.append(p)
+        new = {w for _, w, _ in parted}.difference(self.memory)
+        marks = {m for _, _, m in parted if m}.difference(self.memory)
+        self._words(list(new))
+        self.memory.update(zip(marks, self._encode(list(marks))))
+        known = self.memory
+        self.pieces.update([(p, known[w] + known[m] if m else known[w]) for p, w, m in parted])
+        self.pieces.update(zip(other, self._encode([p if p[:1] == "\n" else " " + p for p in other])))
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of ``text``, without special tokens."""
         if not text:
             return np.zeros(0, np.uint32)
-        if not self.by_pieces or _OPEN.search(text):
+        if not self.by_pieces:
             return np.frombuffer(self._encode([text])[0], "<u4")
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        if _NOT_PLAIN.search(text):
+        if not plain(text):
+            if _OPEN.search(text):
+                return np.frombuffer(self._encode([text])[0], "<u4")
             pieces = _PIECE.findall(text)
-            if new := list(set(pieces).difference(self.memory)):
-                self.memory.update(zip(new, self._encode(new)))
-            return np.frombuffer(b"".join(map(self.memory.__getitem__, pieces)), "<u4")
+            found: dict[str, bytes] = dict.fromkeys(pieces)
+            found.update(zip(found, self._encode(list(found))))
+            return np.frombuffer(b"".join(map(found.__getitem__, pieces)), "<u4")
         # A line end is put before the text, and its id taken away again.
         pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
         if new := set(pieces).difference(self.pieces):
@@ -184,12 +204,18 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), "<u4")[1:]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's own encoder, which the next task finds with its memory."""
+    return Encoder(path)
+
+
 def _writer(folder: str, tokenizer: str, end_id: int | None, shard_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         size = max(encode.tokenizer.get_vocab_size(), (end_id or 0) + 1)
         bits = max(1, (size - 1).bit_length())
         end = np.array([] if end_id is None else [end_id], np.uint32)
@@ -228,7 +254,8 @@ def write_tokens(
     """Encode every text of ``docs`` and write the ids to shards, in ascending doc_id order.
 
     ``tokenizer`` is the path of a tokenizers file that every executor has; ``end_id`` is appended to each document;
-    ``folder`` is a new folder that all executors share. Runs at once. Returns the list of shards: ``part, piece, path,
+    ``folder`` is a new folder that all executors share; ``parts`` tasks write, by default one for each ``PART_BYTES`` of text, and
+    ``spark.sql.shuffle.partitions`` at least. Runs at once. Returns the list of shards: ``part, piece, path,
     n_docs, n_ids, start``, where ``start`` counts the ids of all shards before.
 
     A null text is an empty one. Rows that share a doc_id follow each other by text; rows without one come first. No
@@ -236,7 +263,9 @@ def write_tokens(
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     shards = stored(ordered.mapInArrow(_writer(folder, tokenizer, end_id, shard_ids), "part int, piece int, path string, n_docs long, n_ids long"))
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
@@ -265,5 +294,6 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                 )
 
     files = shards.select("path", "start")
-    spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards_a_task = 4
+    spread = files.repartition(max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), files.count() // shards_a_task))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
