@@ -1,38 +1,58 @@
 """Components of sets that are alike, from the buckets of an index, without giving all pairs of a bucket.
 
-Each bucket has a centre: the member that meets most others in all its buckets. All members are compared with it, exactly, and linked
-to it where they are alike; of what that leaves in different components, only pairs that can still be alike are compared:
-
-* Both near the centre (within twice the limit of distance). What they share lies in the centre's set or outside it. Inside, it is no more than
-  the lesser of what each shares with the centre. If that isn't enough, they must share items that the centre lacks, and
-  are found by the rarest of those.
-* One farther off. Then neither is within the limit, by the triangle inequality of Jaccard distance, and their distances differ by the
-  limit at most; they are found by their bucket, and ``close`` may tell by their signatures which can't be alike.
-
-So a group of thousands of near copies gives about as many comparisons as it has members, and no link is lost.
+Distance is one less the Jaccard similarity, and sets are alike within a limit of it. Three steps, each on what the ones before left in
+different components:
+
+* **Centres.** Each bucket elects a member that meets most others in all its buckets, and all members are compared with it, exactly. By the triangle
+  inequality a member within the limit can't be alike to one beyond twice the limit. So where some are that far, they and those between
+  into the next round and elect a centre among the far ones. What is still far after the last round takes the empty set for its centre.
+* **Second centres.** All others lie near a centre. The symmetric difference of two sets is that of their differences
+  from the centre, so sets that are alike share a known part of these differences. Ordered from the rarest item, they share one of the
+  first few; each such item is a bucket again, with a centre of its own.
+* **Pairs** that share one of these items, where sizes and the item's places in both leave it possible that enough is shared.
+
+So a group of thousands of near copies, even where few of them are alike to its centre, gives about as many comparisons as it has
+members and items, and no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, stored
+from .common import broadcast_up_to, components, stored
+
+ROUNDS, NOTHING = 2, -(1 << 63)
 
 
-def shared_items(pairs: DataFrame, sets: DataFrame, expand: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``pairs`` (a, b) with ``n_a, n_b, common``: sizes of their sets and of the intersection, and ``lacking``: a's items that b lacks."""
-    one = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    met = pairs.join(one, "a").join(two, "b")
+def compared(pairs: DataFrame, sets: DataFrame, expand: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``pairs`` (a, b) with the sizes of their sets ``n_a, n_b``, what only one of them has, ``apart``, and the distance ``away``."""
+    pairs = stored(pairs)
+    centres = broadcast_up_to(stored(pairs.select("b").distinct()))
+    one = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")).join(broadcast_up_to(pairs), "a")
+    met = one.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")).join(centres, "b"), "b")
     if expand:
         met = met.select("a", "b", expand(F.col("items_a")).alias("items_a"), expand(F.col("items_b")).alias("items_b"))
-    return met.select(
-        "a", "b", F.size("items_a").alias("n_a"), F.size("items_b").alias("n_b"), F.array_except("items_a", "items_b").alias("lacking")
-    ).withColumn("common", F.col("n_a") - F.size("lacking"))
+    met = met.select(
+        "a", "b", F.size("items_a").alias("n_a"), F.size("items_b").alias("n_b"),
+        F.concat(F.array_except("items_a", "items_b"), F.array_except("items_b", "items_a")).alias("apart"),
+    )
+    differ = F.size("apart")
+    return met.withColumn("away", 2 * differ / (F.col("n_a") + F.col("n_b") + differ))
+
+
+def named(df: DataFrame, found: DataFrame) -> DataFrame:
+    """``df`` with the component ``c`` of each ``rep``; itself where it has none."""
+    return df.join(broadcast_up_to(found.withColumnRenamed("node", "rep")), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+
+
+def second(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with a 2 behind all columns but ``keys``."""
+    return df.select(*keys, *[F.col(c).alias(f"{c}2") for c in df.columns if c not in keys])
 
 
 def linked_components(
@@ -41,80 +61,91 @@ def linked_components(
     percent: int,
     *,
     expand: Callable[[Column], Column] | None = None,
-    signatures: DataFrame | None = None,
-    close: Column | None = None,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """``node, component`` of all nodes linked with another.
 
-    ``met`` is ``key, rep, members``: the entries of buckets with at least two members. ``sets`` is ``id, items``: the sets, of distinct items, of
-    all nodes in ``met``; a node may have several. With ``expand``, ``items`` holds what it makes the set from, and only that is shuffled. Nodes are linked where ``percent`` hundredths of the union are shared. ``signatures`` is ``rep`` with columns
-    for ``close``, a condition on them and on the same columns with a 2 behind, which pairs that are alike all but surely meet.
+    ``met`` is ``key, rep, members``: the entries of buckets with at least two members. ``sets`` is ``id, items``: the set, of distinct items, of
+    each node in ``met``. With ``expand``, ``items`` holds what it makes the set from, and only that is shuffled. Nodes are linked where
+    ``percent`` hundredths of the union are shared.
     """
-    linked = F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
-    limit = 1 - percent / 100
+    limit, slight = 1 - percent / 100, 1e-9
     fame = met.groupBy("rep").agg(F.sum("members").alias("fame"))
-    centres = met.join(fame, "rep").groupBy("key").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("centre"))
-    hits = stored(met.select("key", "rep").join(centres, "key"))
-    first = hits.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    away = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    first = shared_items(first, sets, expand).withColumn("away", away)
-    first = stored(first.withColumn("lacking", F.when(F.col("away") <= 2 * limit + 1e-9, F.col("lacking"))))
-    found = stored(components(first.where(linked).select("a", "b")))
-    named = found.withColumnRenamed("node", "rep")
-
-    # Near the centre.
-    around = first.where("lacking is not null").select(
-        F.col("b").alias("centre"), F.col("a").alias("rep"), F.col("n_a").alias("n"), F.col("common").alias("inside"), "lacking"
+    hits = met.select("key", "rep").join(fame, "rep").withColumn("far", F.lit(True))
+    firsts = []
+    for _ in range(rounds):
+        # The centre is one of the far ones, so each round has fewer of them.
+        centres = hits.where("far").groupBy("key").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("centre"))
+        hits = stored(hits.drop("far", "away").join(centres, "key"))
+        first = compared(hits.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), sets, expand)
+        first = stored(first.withColumn("apart", F.when(F.col("away") <= 2 * limit + slight, F.col("apart"))))
+        firsts.append(first)
+        distances = first.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "away")
+        hits = hits.join(distances, ["rep", "centre"]).where(F.col("away") > limit - slight)
+        hits = hits.select("key", "rep", "fame", "away", (F.col("away") > 2 * limit - slight).alias("far"))
+        left = hits.groupBy("key").agg(F.count_if("far").alias("far"), F.count("*").alias("n")).where("far > 0 and n > 1").select("key")
+        hits = stored(hits.join(left, "key"))
+        if hits.isEmpty():
+            break
+    first = reduce(DataFrame.unionByName, firsts)
+    alike = first.where(F.col("away") <= limit + slight).select("a", "b")
+    found = stored(components(alike))
+
+    # Within twice the limit of a centre, or whole.
+    around = first.where("apart is not null").select(F.col("b").alias("centre"), F.col("a").alias("rep"), F.col("n_a").alias("n"), "apart")
+    around = around.dropDuplicates(["centre", "rep"])
+    far = broadcast_up_to(stored(hits.select(F.col("rep").alias("id")).distinct()))
+    whole = expand(F.col("items")) if expand else F.col("items")
+    far = sets.join(far, "id").select(F.lit(NOTHING).alias("centre"), F.col("id").alias("rep"), whole.alias("apart")).withColumn("n", F.size("apart"))
+    around = around.unionByName(far).withColumn("size", F.size("apart"))
+
+    def mixed(around: DataFrame, found: DataFrame) -> DataFrame:
+        """``around`` with components, of centres that have several; ``main`` is the one of most members."""
+        with_own = named(around, found).unionByName(
+            named(around.select("centre", F.col("centre").alias("rep")).distinct(), found), allowMissingColumns=True
+        )  # the centre's component is one of those
+        main = with_own.groupBy("centre", "c").agg(F.count("*").alias("members")).groupBy("centre").agg(
+            F.max_by("c", F.struct("members", "c")).alias("main"), F.count("*").alias("groups")
+        )
+        main = broadcast_up_to(stored(main.where("groups > 1").drop("groups")))
+        return named(around, found).join(main, "centre")
+
+    around = stored(mixed(around, found).drop("c", "main"))
+    entries = around.select("centre", "rep", "n", "size", F.explode("apart").alias("item"))
+    counts = entries.groupBy("centre", "item").agg(F.count("*").alias("having")).where("having > 1")
+    entries = entries.join(counts, ["centre", "item"])
+    mine = Window.partitionBy("centre", "rep")
+    # Items that no other has come first, and need no entry.
+    place = F.row_number().over(mine.orderBy("having", "item")) + F.col("size") - F.count("*").over(mine)
+    most = F.expr(f"floor({100 - percent} * n * (1 + 100 / {percent}) / {100 + percent} + 1e-6)")  # may differ from a set that is alike
+    entries = stored(entries.withColumn("place", place).where(F.col("place") <= most + 1).drop("having"))
+    # What both must share of what they have besides the centre leaves this many places before the first that they share.
+    can = F.expr(
+        f"{percent} * greatest(n, n2) <= 100 * least(n, n2) and"
+        f" {100 + percent} * (2 * (place - 1) - size + size2) <= {100 - percent} * (n + n2) and"
+        f" {100 + percent} * (2 * (place2 - 1) - size2 + size) <= {100 - percent} * (n + n2) and"
+        f" {100 + percent} * (size + size2 - 2 * (1 + least(size - place, size2 - place2))) <= {100 - percent} * (n + n2)"
     )
-    middles = first.select("b", "n_b").distinct().select(
-        F.col("b").alias("centre"), F.col("b").alias("rep"), F.col("n_b").alias("n"), F.col("n_b").alias("inside"), F.array().cast("array<bigint>").alias("lacking")
-    )
-    around = around.unionByName(middles).join(named, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    main = (
-        around.groupBy("centre", "c").agg(F.count("*").alias("members"))
-        .groupBy("centre").agg(F.max_by("c", F.struct("members", "c")).alias("main"), F.count("*").alias("groups"))
-        .where("groups > 1").drop("groups")
-    )
-    around = stored(around.join(main, "centre"))
-    differ = F.expr(f"c <> c2 and (c2 = main or rep < rep2) and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
-    enough = f"{100 + percent} * (least(inside, inside2) + {{}}) >= {percent} * (n + n2)"
-
-    def second(df: DataFrame, *keys: str) -> DataFrame:
-        return df.select(*keys, *[F.col(c).alias(f"{c}2") for c in df.columns if c not in keys and c != "main"])
-
-    plain = around.drop("lacking")
-    pairs = plain.where("c <> main").join(second(plain, "centre"), "centre").where(differ & F.expr(enough.format(0))).select("rep", "rep2")
-    # Of an open set's items outside the centre's, a partner must have at least as many as the set's own share of what both must
-    # share exceeds what lies inside. So it has one of the set's rarest, all but one less than that many.
-    # No pair shares more outside than the lesser of what each has there.
-    around = around.withColumns({"s": F.xxhash64("lacking"), "out": F.size("lacking")})
-    every = around.select("centre", "rep", "s", "n", "c", "inside", "out", F.explode("lacking").alias("item"))
-    counts = every.groupBy("centre", "item").agg(F.count("*").alias("having"))
-    needed = F.greatest(F.ceil(F.col("n") * (percent / 100) - 1e-9) - F.col("inside"), F.lit(1))
-    own = around.where("c <> main").withColumn("rarest", F.size("lacking") - needed + 1)
-    own = own.select("centre", "rep", "s", "n", "c", "inside", "out", "main", "rarest", F.explode("lacking").alias("item")).join(counts, ["centre", "item"])
-    place = F.row_number().over(Window.partitionBy("centre", "rep", "s").orderBy("having", "item"))
-    own = own.withColumn("place", place).where("place <= rarest and having > 1").drop("place", "rarest", "having")
-    can = differ & F.expr(enough.format("least(out, out2)"))
-    met_again = own.join(second(every, "centre", "item"), ["centre", "item"]).where(can).select("centre", "rep", "s", "rep2", "s2").distinct()
-    outside = around.select("centre", "rep", "s", "n", "inside", "lacking")
-    met_again = met_again.join(outside, ["centre", "rep", "s"]).join(outside.toDF("centre", "rep2", "s2", "n2", "inside2", "lacking2"), ["centre", "rep2", "s2"])
-    both = "size(array_intersect(lacking, lacking2))"
-    pairs = pairs.union(met_again.where(enough.format(both)).select("rep", "rep2"))
-
-    # One farther off.
-    distances = first.groupBy(F.col("a").alias("rep"), F.col("b").alias("centre")).agg(F.min("away").alias("away"))
-    far = hits.join(distances, ["rep", "centre"]).where(F.col("away") > limit - 1e-9).join(named, "rep", "left")
-    far = far.select("key", "rep", "away", F.coalesce("component", "rep").alias("c"))
-    mixed = far.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("away").alias("most"))
-    far = far.join(mixed.where((F.col("lo") != F.col("hi")) & (F.col("most") > 2 * limit)).select("key"), "key")
-    apart = F.expr("c <> c2 and rep < rep2") & (F.abs(F.col("away") - F.col("away2")) <= limit + 1e-9) & (F.greatest("away", "away2") > 2 * limit)
-    if signatures is not None:
-        far = far.join(signatures, "rep")
-        apart = apart & close
-    far = stored(far)
-    pairs = pairs.union(far.join(second(far, "key"), "key").where(apart).select("rep", "rep2"))
-
-    pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    more = shared_items(pairs, sets, expand).where(linked).select("a", "b")
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    parts = around.select("centre", "rep", "n", "apart")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (centre, rep, rep2) that are alike."""
+        both = pairs.join(parts, ["centre", "rep"]).join(second(parts, "centre"), ["centre", "rep2"])
+        differ = "size(array_except(apart, apart2)) + size(array_except(apart2, apart))"
+        return stored(both.where(f"{100 + percent} * ({differ}) <= {100 - percent} * (n + n2)").select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
+
+    seats = stored(mixed(around.select("centre", "rep"), found)).select("centre", "rep", "c")
+    best = entries.groupBy("centre", "item").agg(F.min(F.struct("size", "rep", "n", "place")).alias("best"))
+    to_best = entries.join(best, ["centre", "item"]).select("*", F.col("best.rep").alias("rep2"), F.col("best.n").alias("n2"), F.col("best.size").alias("size2"), F.col("best.place").alias("place2"))
+    to_best = to_best.where(can & F.expr("rep <> rep2")).select("centre", "rep", "rep2").distinct()
+    to_best = to_best.join(seats, ["centre", "rep"]).join(second(seats, "centre"), ["centre", "rep2"]).where("c <> c2").select("centre", "rep", "rep2")
+    more = links(to_best)
+    if not more.isEmpty():
+        found = stored(components(found.toDF("a", "b").union(more)))
+
+    seats = stored(mixed(around.select("centre", "rep"), found))
+    every = stored(entries.join(seats, ["centre", "rep"]))
+    pairs = every.where("c <> main").join(second(every.drop("main"), "centre", "item"), ["centre", "item"])
+    pairs = pairs.where(can & F.expr("c <> c2 and (c2 = main or rep < rep2)")).select("centre", "rep", "rep2").distinct()
+    more = links(pairs)
+    return found if more.isEmpty() else components(found.toDF("a", "b").union(more))

@@ -4,9 +4,8 @@ A document's set is that of its distinct word shingles. Its signature holds ``ch
 values of ``bits`` bits. Two signatures that differ in at most ``chunks * (errors + 1) - 1`` places agree, by
 the pigeonhole principle, in some chunk but for at most ``errors`` places. So every chunk is entered into the
 index once for each way of leaving out ``errors`` places, and all pairs within that distance meet under a
-key; at the default 9 x 6 values and one error that is 17 of 54 places. Pairs that are farther apart and still meet are
-kept up to the distance ``far``: at Jaccard 0.8 a pair misses all chunks with probability 0.345 ** 9, 7e-5, and is
-farther apart than 25 places with probability 4e-6.
+key; at the default 9 x 6 values and one error that is 17 of 54 places. Most pairs that
+are farther apart meet too: at Jaccard 0.8 a pair misses all chunks with probability 0.345 ** 9, 7e-5.
 
 What meets is confirmed on the full sets; ``linking`` says how that is done without giving all pairs of a bucket.
 """
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_up_to, stored
+from .common import broadcast_up_to, components, stored
 from .linking import linked_components
 from .words import C1, C2, hash_words, in_chunks, mix, shingles
 
@@ -37,6 +36,11 @@ def _text_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]
             yield start + i, np.unique(shingles(words[bounds[i] : bounds[i + 1]], n))
 
 
+def _prints(hashes: np.ndarray) -> tuple[int, int]:
+    """Two numbers by which sets are told apart."""
+    return int(hashes.sum(dtype=np.uint64).view(np.int64)), int(mix(hashes ^ C1).sum(dtype=np.uint64).view(np.int64))
+
+
 def _list_array(parts: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     return pa.ListArray.from_arrays(
@@ -64,8 +68,8 @@ def _signer(n: int, chunks: int, width: int, bits: int):
             size, one, two, signatures = [], [], [], []
             for _, hashes in _text_sets(batch, n):
                 size.append(len(hashes))
-                one.append(int(hashes.sum().view(np.int64)))
-                two.append(int(mix(hashes ^ C1).sum().view(np.int64)))
+                for column, value in zip((one, two), _prints(hashes)):
+                    column.append(value)
                 signatures.append(signature(hashes) if len(hashes) else hashes)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -89,29 +93,12 @@ def _keys(chunks: int, width: int, errors: int, bits: int) -> Column:
     return F.array(*found)
 
 
-def _distance(a: str, b: str, width: int, bits: int) -> Column:
-    """Places in which two packed signatures differ."""
-    ones = sum(1 << (bits * p) for p in range(width))
-
-    def differing(x: Column, y: Column) -> Column:
-        both = x.bitwiseXOR(y)
-        step, spread = 1, both
-        while step < bits:  # any bit of a place is carried down to its lowest one
-            by = min(step, bits - step)
-            spread = spread.bitwiseOR(F.shiftrightunsigned(spread, by))
-            step += by
-        return F.bit_count(spread.bitwiseAND(F.lit(ones)))
-
-    return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, d: total + d)
-
-
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [hashes for _, hashes in _text_sets(batch, n)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), _list_array(parts)], ["doc_id", "items"]
-            )
+            prints = [pa.array([p[k] for p in map(_prints, parts)], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *prints, _list_array(parts)], ["node", "fp1", "fp2", "items"])
 
     return run
 
@@ -125,7 +112,6 @@ def near_duplicates(
     width: int = 6,
     errors: int = 1,
     bits: int = 9,
-    far: int = 25,
 ) -> DataFrame:
     """Class of each document: ``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs``.
 
@@ -142,25 +128,30 @@ def near_duplicates(
     if not 0 <= errors < width or bits * width + (chunks * comb(width, errors) - 1).bit_length() > 63:
         raise ValueError("a key doesn't fit in 63 bits")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    signed = stored(docs.mapInArrow(_signer(shingle_words, chunks, width, bits), SIGNATURE))
-    full = signed.where("n_shingles > 0")
-    #: equal sets go on as one: the smallest doc_id stands for them
-    reps = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
-    reps = stored(reps)
-    entries = reps.select(F.explode(_keys(chunks, width, errors, bits)).alias("key"), "rep")
-    shared = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    met = stored(entries.join(shared, "key"))
-    ids = stored(met.select(F.col("rep").alias("doc_id")).distinct())
-    sets = docs.join(broadcast_up_to(ids), "doc_id").mapInArrow(_sets(shingle_words), "doc_id long, items array<long>")
-    sets = stored(sets.withColumnRenamed("doc_id", "id"))
-    signatures = reps.select("rep", F.col("n_shingles").alias("n"), "signature")
-    sizes = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
-    close = sizes & (_distance("signature", "signature2", width, bits) <= far)
-    found = linked_components(met, sets, percent, signatures=signatures, close=close)
-
-    named = reps.select("fp1", "fp2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    signed = stored(docs.mapInArrow(_signer(shingle_words, chunks, width, bits), SIGNATURE).withColumn("node", F.xxhash64("fp1", "fp2", "n_shingles")))
+    #: equal sets are one node, for which the document of the smallest doc_id stands
+    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"))
+    nodes = stored(nodes)
+    entries = nodes.select(F.explode(_keys(chunks, width, errors, bits)).alias("key"), F.col("node").alias("rep")).repartition("key")
+    shared = entries.groupBy("key").agg(F.count("rep").alias("members")).where("members > 1")
+    met = stored(entries.join(shared.hint("shuffle_hash"), "key"))
+    ids = met.select(F.col("rep").alias("node")).distinct()
+    ids = broadcast_up_to(stored(nodes.select("node", F.col("least").alias("doc_id")).join(ids, "node")))
+    sets = docs.join(ids, "doc_id").select("doc_id", "node", "text").mapInArrow(_sets(shingle_words), "node long, fp1 long, fp2 long, items array<long>")
+    #: a document that has several texts stands for one of their sets at a time
+    sets = sets.where(F.col("node") == F.xxhash64("fp1", "fp2", F.size("items").cast("long"))).select(F.col("node").alias("id"), "items")
+    found = linked_components(met, stored(sets.dropDuplicates(["id"])), percent)
+
+    # Texts that share a doc_id are one document.
+    several = signed.where("n_shingles > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all"))
+    several = stored(several.where("a <> b").select("a", F.explode("all").alias("b")).where("a <> b"))
+    if not several.isEmpty():
+        found = components(found.toDF("a", "b").union(several))
+    named = nodes.select("node", "least").join(stored(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")).where("nodes > 1").drop("nodes")
+    named = named.join(broadcast_up_to(stored(least)), "component", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     return (
-        signed.drop("signature").join(named, ["fp1", "fp2", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+        .select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id"))
         .withColumn("kept", F.expr("doc_id = component_id"))
     )

@@ -76,11 +76,6 @@ def test_edges_of_input(spark):
         near_dup.near_duplicates(df, bits=20)
 
 
-def test_distance_of_packed_signatures(spark):
-    df = spark.createDataFrame([([0b001_010_011], [0b001_110_000]), ([5, 7], [5, 7])], "a array<long>, b array<long>")
-    assert [r[0] for r in df.select(near_dup._distance("a", "b", 3, 3)).collect()] == [2, 0]
-
-
 def test_components_of_chains_and_stars(spark):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(5, 5), (None, 3)]
@@ -143,6 +138,25 @@ def test_lines_edges_of_input(spark):
     assert line_dedup.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_linking_where_few_are_alike_to_the_centre(spark):
+    r = random.Random(9)
+    base, sets = list(range(60)), {}
+    for i in range(150):  # variants of variants, and sets that share a third with all others
+        s = set(base) - set(r.sample(base, r.choice([0, 2, 8, 9]))) | {100 + r.randrange(12) for _ in range(r.choice([0, 3, 6]))}
+        sets[i] = sorted(s)
+    for i in range(150, 230):
+        sets[i] = sorted({*base[:20], *r.sample(range(200, 260), 40)} if i % 4 else {*base[:20], *range(200 + i % 3, 238 + i % 3)})
+    met = spark.createDataFrame([(k, i, 115) for i in sets for k in (i % 2, 2)], "key long, rep long, members long")
+    table = spark.createDataFrame(list(sets.items()), "id long, items array<long>")
+    s = {i: set(v) for i, v in sets.items()}
+    links = [(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    expected = closure(s, links)
+    assert 10 < len(set(expected.values())) < 220
+    for rounds in (1, 2, 5):
+        got = {x.node: x.component for x in linked_components(met, table, 80, rounds=rounds).collect()}
+        assert {i: got.get(i, i) for i in s} == expected
+
+
 def test_neighbours_across_buckets(spark):
     r = np.random.default_rng(0)
     ids = sorted({int(x) for x in np.concatenate([r.integers(0, 50, 20), r.integers(10**12, 10**12 + 5000, 900)])})
@@ -190,6 +204,7 @@ def test_lines_at_the_border_share_a_key(spark):
     for name, pairs in cases.items():
         sets = [[{x[i : i + 10] for i in range(len(x) - 9)} for x in p] for p in pairs]
         assert all(len(a & b) >= 0.8 * len(a | b) for a, b in sets) and sum(len(a & b) <= 0.85 * len(a | b) for a, b in sets) > 1000
-        df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
-        apart = df.where(~F.arrays_overlap(line_dedup.bands(F.col("a")), line_dedup.bands(F.col("b")))).count()
+        df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "rep long, a string, b string").repartition(4)
+        one, two = (line_dedup.band_keys(df.select("rep", F.col(c).alias("line"))) for c in "ab")
+        apart = len(pairs) - one.join(two, ["rep", "key"]).select("rep").distinct().count()
         assert apart <= 1, name
