@@ -1,88 +1,118 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney n-gram model of characters.
 
-The model is trained on trusted text. Its symbols are the most frequent characters there; all others are one unknown symbol. So
-an n-gram is a number below ``symbols ** order``. Spark counts the n-grams, shuffled by number, and joins the counts of n-grams,
-of their contexts and of their shorter forms shard by shard into discounted probabilities and back-off weights. The joined table
-has a proven bound, ``symbols ** order`` numbers, whatever the corpus: 64 MB at the default, which every task holds. Documents
-are scored as they lie, and no text is shuffled for it.
+The model is trained on trusted text, of any alphabet. Spark counts its n-grams and joins counts, contexts and shorter n-grams, shuffled by
+n-gram, so nothing of the model is ever held whole. Documents are scored by joins too: each block of rows names its distinct n-grams, these are joined
+with the model order by order, from the shortest, and what they cost goes back to the block. So text isn't shuffled,
+and an n-gram is looked up once however often it occurs. A task holds the n-grams of the block that it scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_up_to, stored
+from .common import broadcast_up_to, shared_dir, stored
+from .words import C1, mix
 
-SYMBOLS, ORDER = 64, 4
+ORDER = 5
+#: rows of a file that form a block, and characters that are looked at together
+BLOCK_ROWS, AT_ONCE = 1 << 17, 1 << 20
+#: one trusted document in so many is kept from training, to set thresholds
+FOLDS = 5
+BLOCK, SCORE = "_block_of_rows", "_perplexity"
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _joined(texts: list[str | None], order: int, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _chunks(texts: list[str | None], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, code points, text lengths) of runs of texts, each led by ``order - 1`` line ends."""
     start, held, size = 0, [], 0
     lead = "\n" * (order - 1)
+
+    def points() -> np.ndarray:
+        return np.frombuffer("".join(held).encode("utf-32-le", "replace"), np.uint32)
+
     for i, t in enumerate(texts):
-        t = lead + (t or "").lower()
-        if held and size + len(t) > limit:
-            yield start, _codes("".join(held)), np.array([len(x) for x in held])
+        t = lead + (t or "").lower().replace("\0", "�")
+        if held and size + len(t) > AT_ONCE:
+            yield start, points(), np.array([len(x) for x in held])
             start, held, size = i, [], 0
         held.append(t)
         size += len(t)
     if held:
-        yield start, _codes("".join(held)), np.array([len(x) for x in held])
-
+        yield start, points(), np.array([len(x) for x in held])
 
-class Alphabet:
-    """Numbers of the symbols; 0 is every character that isn't among them."""
 
-    def __init__(self, points: list[int]):
-        self.table = np.zeros(0x110000, np.uint8)
-        self.table[points] = np.arange(1, len(points) + 1)
-        self.size = len(points) + 1
+def hashed(windows: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit number for each row of ``windows``, the code points at each place."""
+    total = np.zeros(len(windows[0]), np.uint64)
+    for points in windows:
+        total = (total ^ points) * C1
+        total ^= total >> np.uint64(29)
+    return mix(total)
 
-    def __reduce__(self):
-        return Alphabet, ([int(i) for i in np.argsort(self.table, kind="stable")[-(self.size - 1) :]] if self.size > 1 else [],)
 
-    def grams(self, codes: np.ndarray, lengths: np.ndarray, order: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the n-grams that end at each character, and how many each text has."""
-        got = self.table[codes].astype(np.int32)
-        full = got[order - 1 :].copy()
-        for k in range(1, order):
-            full += got[order - 1 - k : len(got) - k] * symbols**k
-        own = lengths - (order - 1)
-        ends = np.cumsum(lengths)
-        inside = np.ones(len(full), bool)  # n-grams that end in the line ends that lead a text aren't its own
-        for e in ends[:-1]:
-            inside[e - order + 1 : e] = False
-        return full[inside], own
+def grams(points: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the n-grams that end at each text's own characters begin, and their numbers."""
+    ends = np.cumsum(lengths)
+    inside = np.ones(max(0, len(points) - order + 1), bool)
+    for e in ends[:-1]:
+        inside[e - order + 1 : e] = False
+    number = hashed([points[k : k + len(inside)] for k in range(order)])
+    return np.flatnonzero(inside), number[inside]
 
 
-def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, codes, _ in _joined(batch.column("text").to_pylist(), 2):
-            one, n = np.unique(codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int32)), pa.array(n, pa.int64())], ["point", "n"])
+def spelled(points: np.ndarray, at: np.ndarray, order: int) -> pa.Array:
+    """The n-grams that begin at ``at``, as strings."""
+    flat = np.ascontiguousarray(points[at[:, None] + np.arange(order)])
+    return pa.array(flat.view(f"<U{order}").ravel().tolist(), pa.string())
 
 
-def _gram_counter(alphabet, order: int, symbols: int):
+def _counter(order: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, codes, lengths in _joined(batch.column("text").to_pylist(), order):
-                one, n = np.unique(alphabet.value.grams(codes, lengths, order, symbols)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
+            for _, points, lengths in _chunks(batch.column("text").to_pylist(), order):
+                at, number = grams(points, lengths, order)
+                _, first, n = np.unique(number, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([spelled(points, at[first], order), pa.array(n, pa.int64())], ["gram", "n"])
 
     return count
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(block, rows) of a batch."""
+    block = batch.column(BLOCK).to_numpy(zero_copy_only=False)
+    cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    for a, b in zip(cut, cut[1:]):
+        if b > a:
+            yield int(block[a]), batch.slice(a, b - a)
+
+
+def _lister(order: int):
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for block, rows in _runs(batch):
+                if block != now:
+                    now, seen = block, np.zeros(0, np.uint64)
+                for _, points, lengths in _chunks(rows.column("text").to_pylist(), order):
+                    at, number = grams(points, lengths, order)
+                    number, first = np.unique(number, return_index=True)
+                    if len(seen):
+                        new = seen[np.minimum(np.searchsorted(seen, number), len(seen) - 1)] != number
+                        number, first = number[new], first[new]
+                    seen = np.union1d(seen, number)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block), pa.int64()), spelled(points, at[first], order)], [BLOCK, "gram"])
+
+    return distinct
+
+
 def _discounts(counts: DataFrame) -> list[float]:
     """Modified Kneser-Ney discounts of counts 1, 2, and 3 or more (Chen and Goodman, 1998)."""
     row = counts.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
@@ -91,125 +121,134 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
 
 
-def _joined_counts(counts: DataFrame, symbols: int) -> DataFrame:
-    """``gram, alpha, context, gamma``: the discounted share of each n-gram in its context, and what the context leaves
-    to shorter ones."""
-    d = _discounts(counts)
-
-    def off(n: Column) -> Column:
-        return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-
-    keyed = counts.withColumn("context", F.expr(f"gram div {symbols}"))
-    contexts = keyed.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off(F.col("n"))).alias("left"))
-    return keyed.join(contexts, "context").select(
-        "gram", ((F.col("n") - off(F.col("n"))) / F.col("total")).alias("alpha"), "context", (F.col("left") / F.col("total")).alias("gamma")
-    )
-
-
-class Model:
-    """Interpolated modified Kneser-Ney probabilities: ``bits[n-gram]`` is -log2 p(last symbol | the symbols before)."""
-
-    def __init__(self, alphabet: Alphabet, order: int, symbols: int, bits: np.ndarray):
-        self.alphabet, self.order, self.symbols, self.bits = alphabet, order, symbols, bits
-
-
-def train(trusted: DataFrame, *, order: int = ORDER, symbols: int = SYMBOLS) -> Model:
-    """The model of all texts of ``trusted``. Without any, every symbol is as likely."""
-    spark = trusted.sparkSession
-    texts = trusted.select("text").where("text is not null")
-    seen = texts.mapInArrow(_points, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    alphabet = Alphabet([r.point for r in seen.orderBy(F.desc("n"), "point").limit(symbols - 1).collect()])
-    sent = spark.sparkContext.broadcast(alphabet)
-    counts = texts.mapInArrow(_gram_counter(sent, order, symbols), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    levels = [stored(counts)]
-    for m in range(order - 1, 0, -1):  # a shorter n-gram counts as often as different symbols precede it
-        levels.append(stored(levels[-1].groupBy(F.expr(f"gram % {symbols**m}").alias("gram")).agg(F.count("*").alias("n"))))
-    p = np.full(1, 1 / alphabet.size, np.float32)
-    for m, level in enumerate(reversed(levels), 1):
-        rows = _joined_counts(level, symbols).toArrow()  # symbols ** m at most
-        gamma = np.ones(symbols ** (m - 1), np.float32)
-        gamma[rows["context"].to_numpy()] = rows["gamma"].to_numpy()
-        # One new table, whose contexts' first symbol doesn't matter to the shorter n-grams.
-        shorter = p.reshape(1, -1, symbols) if m > 1 else np.broadcast_to(p, (1, 1, symbols))
-        p = (gamma.reshape(-1, shorter.shape[1], 1) * shorter).ravel()
-        p[rows["gram"].to_numpy()] += rows["alpha"].to_numpy().astype(np.float32)
-    np.negative(np.log2(p, out=p), out=p)
-    return Model(alphabet, order, symbols, p)
-
-
-def _perplexities(m: Model, texts: list[str | None]) -> list[float | None]:
-    found: list[float | None] = []
-    for _, codes, lengths in _joined(texts, m.order):
-        grams, own = m.alphabet.grams(codes, lengths, m.order, m.symbols)
-        total = np.concatenate([[0.0], np.cumsum(m.bits[grams], dtype=np.float64)])
-        ends = np.cumsum(own)
-        ppl = np.exp2((total[ends] - total[ends - own]) / np.maximum(own, 1))
-        found += [float(p) if n else None for p, n in zip(ppl, own)]
+def _off(n: Column, d: list[float]) -> Column:
+    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
+def train(trusted: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """Counts ``gram, n`` of the n-grams of all texts of ``trusted``, for each order from 1: those of the longest are how often it occurs,
+    those of a shorter one how many different characters precede it."""
+    counts = trusted.where("text is not null").select("text").mapInArrow(_counter(order), "gram string, n long")
+    levels = [stored(counts.groupBy("gram").agg(F.sum("n").alias("n")))]
+    for _ in range(order - 1):
+        levels.append(stored(levels[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))))
+    return levels[::-1]
+
+
+def probabilities(levels: list[DataFrame], wanted: DataFrame) -> DataFrame:
+    """``gram, p`` of each of ``wanted`` (gram), distinct n-grams of the highest order: the probability of its last character after the others."""
+    order = len(levels)
+    d = _discounts(levels[0])
+    n = F.col("n")
+    symbols, total, left = levels[0].agg(F.count("*"), F.sum("n"), F.sum(_off(n, d))).first()
+    uniform = 1 / (symbols + 1)  # one more for what no trusted text has
+    found = wanted.select(F.expr(f"substring(gram, {order})").alias("gram")).distinct()
+    found = found.join(levels[0], "gram", "left")
+    share = F.coalesce((n - _off(n, d)) / F.lit(total or 1), F.lit(0.0)) + (left / total if total else 1.0) * uniform
+    found = stored(found.select("gram", share.alias("p")))
+    for m in range(2, order + 1):
+        counts = levels[m - 1]
+        d = _discounts(counts)
+        keyed = counts.withColumn("context", F.expr(f"left(gram, {m - 1})"))
+        contexts = keyed.groupBy("context").agg(F.sum("n").alias("total"), F.sum(_off(n, d)).alias("left"))
+        these = wanted.select(F.expr(f"substring(gram, {order - m + 1})").alias("gram")).distinct()
+        these = these.select("gram", F.expr(f"left(gram, {m - 1})").alias("context"), F.expr("substring(gram, 2)").alias("rest"))
+        these = these.join(found.withColumnRenamed("gram", "rest"), "rest").join(contexts, "context", "left").join(counts, "gram", "left")
+        own = F.coalesce((n - _off(n, d)) / F.col("total"), F.lit(0.0))
+        found = stored(these.select("gram", (own + F.coalesce(F.col("left") / F.col("total"), F.lit(1.0)) * F.col("p")).alias("p")))
     return found
 
 
-def _scorer(model):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()), batch.column("lang").cast(pa.string()),
-                    pa.array(_perplexities(model.value, batch.column("text").to_pylist()), pa.float64()),
-                ],
-                ["doc_id", "lang", "perplexity"],
-            )
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` with the number of each row's block: rows that follow each other in a file. What isn't read from files is stored first."""
 
-    return score
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.select("*", F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {BLOCK_ROWS}")).alias(BLOCK))
 
+    try:
+        return numbered(docs)
+    except AnalysisException:
+        return numbered(stored(docs))
 
-def perplexities(docs: DataFrame, sent: Broadcast) -> DataFrame:
-    """``doc_id, lang, perplexity`` of each row of ``docs``, by a broadcast model; null for a null or empty text."""
-    return docs.select("doc_id", "lang", "text").mapInArrow(_scorer(sent), "doc_id long, lang string, perplexity double")
 
+@lru_cache(maxsize=1)
+def _costs(folder: str, block: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a block's n-grams, ascending, and their bits; the table is kept until the next block."""
+    store, root = fs.FileSystem.from_uri(folder)
+    table = pq.read_table(f"{root}/block={block}", filesystem=store, columns=["gram", "bits"])
+    points = np.array(table["gram"].to_pylist(), f"<U{order}").view(np.uint32).reshape(-1, order)
+    number = hashed(list(points.T))
+    by = np.argsort(number)
+    return number[by], table["bits"].to_numpy()[by]
 
-def judge(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.95, slack: float = 1.5, order: int = ORDER, symbols: int = SYMBOLS):
-    """The broadcast model, the scores ``doc_id, lang, perplexity`` of ``docs``, the thresholds ``lang, threshold``, and that of all languages."""
-    good = broadcast_up_to(stored(labels.where("quality = 1").select("doc_id").distinct()))
-    model = train(docs.join(good, "doc_id", "left_semi"), order=order, symbols=symbols)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    del model
-    scored = stored(perplexities(docs, sent))
-    trusted = scored.join(good, "doc_id", "left_semi").where("perplexity is not null")
-    at = (F.percentile_approx("perplexity", quantile, 10000) * slack).alias("threshold")
-    overall = trusted.agg(at).first()[0]
-    by_lang = stored(trusted.where("lang is not null").groupBy("lang").agg(at))
-    return sent, scored, by_lang, overall if overall is not None else float("inf")
 
+def _scorer(folder: str, order: int, kept: list[str]):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in _runs(batch):
+                found: list[float | None] = []
+                for _, points, lengths in _chunks(rows.column("text").to_pylist(), order):
+                    _, number = grams(points, lengths, order)
+                    own = lengths - (order - 1)
+                    total = np.zeros(1)
+                    if len(number):
+                        known, bits = _costs(folder, block, order)
+                        total = np.concatenate([total, np.cumsum(bits[np.searchsorted(known, number)], dtype=np.float64)])
+                    ends = np.cumsum(own)
+                    with np.errstate(over="ignore"):
+                        ppl = np.exp2((total[ends] - total[ends - own]) / np.maximum(own, 1))
+                    found += [float(p) if n else None for p, n in zip(ppl, own)]
+                columns = [rows.column(c) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], [*kept, SCORE])
 
-def quality(
-    docs: DataFrame, labels: DataFrame, *, quantile: float = 0.95, slack: float = 1.5, order: int = ORDER, symbols: int = SYMBOLS
-) -> DataFrame:
+    return score
+
+
+def scores(docs: DataFrame, levels: list[DataFrame], kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of each row of ``docs`` with its perplexity; null for a null or empty text."""
+    order = len(levels)
+    placed = in_blocks(docs.select(*dict.fromkeys([*kept, "text"])))
+    listed = stored(placed.select(BLOCK, "text").mapInArrow(_lister(order), f"{BLOCK} long, gram string"))
+    known = probabilities(levels, listed.select("gram").distinct())
+    costs = listed.distinct().join(known, "gram").select(F.col(BLOCK).alias("block"), "gram", (-F.log2("p")).cast("float").alias("bits"))
+    folder = shared_dir(docs.sparkSession)
+    costs.repartition("block").write.partitionBy("block").parquet(folder)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*kept).schema.fields)
+    return placed.mapInArrow(_scorer(folder, order, kept), f"{schema}, {SCORE} double")
+
+
+def judged(docs: DataFrame, labels: DataFrame, kept: list[str], *, quantile: float, slack: float, order: int) -> DataFrame:
+    """The columns ``kept``, ``_perplexity`` and ``threshold`` of each row of ``docs``."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good = broadcast_up_to(stored(good.withColumn("spared", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)) == 0)))
+    taught = good.where("not spared")
+    trusted = docs.select("doc_id", "text").join(good if taught.isEmpty() else taught, "doc_id", "left_semi")
+    scored = stored(scores(docs, train(trusted, order), kept))
+    known = scored.select("doc_id", "lang", SCORE).where(F.col(SCORE).isNotNull()).join(good, "doc_id")
+    at = (F.percentile_approx(SCORE, quantile, 10000) * slack).alias("threshold")
+    spared = known.where("spared")
+    overall = spared.agg(at).first()[0] or known.agg(at).first()[0] or float("inf")
+    by_lang = broadcast_up_to(stored(spared.where("lang is not null").groupBy("lang").agg(at)))
+    return scored.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall)))
+
+
+def quality(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.98, slack: float = 1.5, order: int = ORDER) -> DataFrame:
     """Judge each document: ``doc_id, lang, perplexity, threshold, kept``, one row for each row of ``docs``.
 
-    Trusted texts are those of documents that ``labels`` gives quality 1. A language's threshold is ``slack`` times the
-    ``quantile`` of the perplexities of its trusted documents; a language without any, or a null one, has that of all. A
-    document is kept up to its threshold.
+    Trusted texts are those of documents that ``labels`` gives quality 1; one in five of the documents is kept from training, unless none were left. A language's
+    threshold is ``slack`` times the ``quantile`` of the perplexities of those; a language without any, or a null one, has that of
+    all (of all trusted documents, where none was kept from training). A document is kept up to its threshold.
 
     Null and empty texts have no perplexity and aren't kept. Rows without a doc_id are judged like others. Rows that share a
     doc_id share a label. A null label is none; if there are no trusted texts, nothing is rejected that has text. Other
     columns are ignored.
     """
-    _, scored, by_lang, overall = judge(docs, labels, quantile=quantile, slack=slack, order=order, symbols=symbols)
-    return scored.join(by_lang, "lang", "left").select(
-        "doc_id", "lang", "perplexity", F.coalesce("threshold", F.lit(overall)).alias("threshold"),
-    ).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
-
+    found = judged(docs.select("doc_id", "lang", "text"), labels, ["doc_id", "lang"], quantile=quantile, slack=slack, order=order)
+    found = found.select(F.col("doc_id").cast("long"), "lang", F.col(SCORE).alias("perplexity"), "threshold")
+    return found.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns. Texts are scored where they lie a second time, and not
-    joined with their scores: that would shuffle all of them."""
-    sent, _, by_lang, overall = judge(docs, labels, **options)
-    limits = {r.lang: r.threshold for r in by_lang.collect()}  # a row for each language
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _perplexities(sent.value, batch.column("text").to_pylist())
-            langs = batch.column("lang").to_pylist()
-            yield batch.filter(pa.array([p is not None and p <= limits.get(lang, overall) for p, lang in zip(found, langs)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+def keep_good(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.98, slack: float = 1.5, order: int = ORDER) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns."""
+    found = judged(docs, labels, docs.columns, quantile=quantile, slack=slack, order=order)
+    return found.where(F.col(SCORE) <= F.col("threshold")).select(*docs.columns)

@@ -2,9 +2,10 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,23 +96,27 @@ def test_changed_and_half_copies_are_those_of_smith_waterman(spark):
 # Quality
 
 
+def probabilities(spark, corpus, order, wanted):
+    levels = quality.train(spark.createDataFrame([(t,) for t in corpus], "text string"), order)
+    return {r.gram: r.p for r in quality.probabilities(levels, spark.createDataFrame([(g,) for g in wanted], "gram string")).collect()}
+
+
 def test_perplexity_is_of_a_distribution_that_sums_to_one(spark):
-    texts = spark.createDataFrame([("abracadabra",), ("banana bandana",), (None,)], "text string")
-    m = quality.train(texts, order=3, symbols=16)
-    p = np.exp2(-m.bits).reshape(-1, 16)
-    seen = p[:, : m.alphabet.size].sum(1)
-    assert np.allclose(seen[seen > 0.99], 1, atol=1e-3) and np.allclose(seen, 1, atol=1e-3)
+    corpus = ["abracadabra", "banana bandana", "日本語 ясно", None]
+    symbols = sorted({c for t in corpus if t for c in t}) + ["?"]
+    contexts = ["ab", "an", "日本", "\n\n", "xz", "zz"]
+    got = probabilities(spark, corpus, 3, [c + x for c in contexts for x in symbols])
+    for c in contexts:
+        assert sum(got[c + x] for x in symbols) == pytest.approx(1)
+    assert got["日本語"] > got["日本a"] > got["日本?"] > 0
 
 
 def test_kneser_ney_equals_a_direct_count(spark):
     corpus = ["the cat sat", "the dog sat on the mat"]
-    m = quality.train(spark.createDataFrame([(t,) for t in corpus], "text string"), order=2, symbols=32)
-    a = m.alphabet
     pairs = defaultdict(int)
     for t in corpus:
-        s = a.table[np.frombuffer(("\n" + t).encode("utf-32-le"), np.uint32)]
-        for x, y in zip(s, s[1:]):
-            pairs[int(x), int(y)] += 1
+        for x, y in zip("\n" + t, t):
+            pairs[x, y] += 1
 
     def discounts(counts):
         n = [max(1, sum(c == i for c in counts)) for i in (1, 2, 3, 4)]
@@ -121,18 +126,44 @@ def test_kneser_ney_equals_a_direct_count(spark):
     uni = defaultdict(int)
     for _, y in pairs:
         uni[y] += 1
+    symbols = [*uni, "#"]
     d1, d2 = discounts(uni.values()), discounts(pairs.values())
     off = lambda d, c: d[min(c, 3) - 1]
     total = sum(uni.values())
     g = sum(off(d1, c) for c in uni.values()) / total
-    p1 = {y: (max(uni[y] - off(d1, uni[y]), 0) / total if y in uni else 0) + g / a.size for y in range(a.size)}
-    for x in {x for x, _ in pairs}:
+    p1 = {y: (max(uni[y] - off(d1, uni[y]), 0) / total if y in uni else 0) + g / len(symbols) for y in symbols}
+    contexts = {x for x, _ in pairs}
+    model = probabilities(spark, corpus, 2, [x + y for x in contexts | {"#"} for y in symbols])
+    assert all(model["#" + y] == pytest.approx(p1[y]) for y in symbols)
+    expected = {}
+    for x in contexts:
         own = {y: c for (q, y), c in pairs.items() if q == x}
         t = sum(own.values())
         gamma = sum(off(d2, c) for c in own.values()) / t
-        for y in range(a.size):
-            p = ((own[y] - off(d2, own[y])) / t if y in own else 0) + gamma * p1[y]
-            assert 2.0 ** -m.bits[x * 32 + y] == pytest.approx(p, rel=1e-4)
+        for y in symbols:
+            expected[x + y] = ((own[y] - off(d2, own[y])) / t if y in own else 0) + gamma * p1[y]
+            assert model[x + y] == pytest.approx(expected[x + y])
+    # Documents, of several blocks, are scored with these.
+    levels = quality.train(spark.createDataFrame([(t,) for t in corpus], "text string"), 2)
+    docs = spark.createDataFrame([(1, "the cat"), (2, "THE#"), (3, ""), (4, None), (5, "at\nmat")], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r._perplexity for r in quality.scores(docs, levels, ["doc_id"]).collect()}
+    for d, t in ((1, "the cat"), (2, "the#")):
+        assert got[d] == pytest.approx(np.prod([expected[x + y] for x, y in zip("\n" + t, t)]) ** (-1 / len(t)), rel=1e-5)
+    assert got[3] is None and got[4] is None and got[5] > 1
+
+
+def test_what_is_counted_and_listed_is_whatever_the_chunks(spark, monkeypatch):
+    texts = ["some words, some", "", "more words of all sorts " * 30, "日本" * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 8, 8]), pa.array(texts)], [quality.BLOCK, "text"])
+    expected = [[("\n\n\n" + t)[i : i + 4] for i in range(len(t))] for t in texts]
+    for at_once in (1, 50, 1 << 20):
+        monkeypatch.setattr(quality, "AT_ONCE", at_once)
+        counted = Counter()
+        for b in quality._counter(4)(iter([batch])):
+            counted.update(dict(zip(b["gram"].to_pylist(), b["n"].to_pylist())))
+        assert counted == Counter(g for e in expected for g in e)
+        listed = [r for b in quality._lister(4)(iter([batch])) for r in zip(b[quality.BLOCK].to_pylist(), b["gram"].to_pylist())]
+        assert sorted(listed) == sorted({(7, g) for e in expected[:2] for g in e} | {(8, g) for e in expected[2:] for g in e})
 
 
 def test_junk_goes_and_clean_stays(spark):
