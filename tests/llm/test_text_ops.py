@@ -375,12 +375,42 @@ def test_main_text():
 
 
 def test_folding_and_alignment():
-    streams = [wrappers.stream(page(n, f"a body that is long enough to tell the pages from each other {n * 7919}")) for n in range(4)]
-    assert any(i[0] == "R" for i in wrappers.folded(streams[3]))
-    w = wrappers.infer([page(n, f"a body that is long enough to tell the pages from each other {n * 7919}") for n in range(4)])
+    pages = [page(n, f"a body that is long enough to tell the pages from each other {n * 7919}") for n in range(4)]
+    groups = wrappers.folded(wrappers.blocks(pages[3]))
+    assert any(len(members) > 1 for _, members in groups) and sum(len(m) for _, m in groups) == len(wrappers.blocks(pages[3]))
+    (w,) = wrappers.infer(pages)
     assert w.pages == 4 and "We use cookies" in w.fixed() and "Share it" in w.fixed() and not any("body" in t for t in w.fixed())
-    assert any(i[0] == "T" and i[2] is None for i, _ in w.items) and any(i[0] == "R" for i, _ in w.items)
-    assert wrappers.infer([page(1)] * 5) is None
+    assert w.article() == "/html/body/article" and "'We use cookies')" in w.expression() and "*)" in w.expression()
+    assert wrappers.infer([page(1)] * 5) == []
+    pair = [wrappers.Block(path, False, False) for path in ("/dt", "/dd", "/dt", "/dd", "/p", "/dt", "/dd")]
+    assert [g[0] for g in wrappers.folded(pair)] == [("/dt", "/dd"), ("/p",), ("/dt", "/dd")]
+
+
+def neutral(n):
+    text = f"story {n} " + " ".join(f"w{n * n + i}" for i in range(12))
+    more = "".join(f"<p>{text} more {i}</p>" for i in range(n % 3))
+    return (
+        f"<html><body><div class=a><p>Welcome to our fine site</p><p>{n} guests are here today</p></div><div class=b><h2>Head {n}</h2><div class=c><p>{text}</p>{more}"
+        f"<p>Join our mailing list</p></div></div><div class=d><p>Printed by us</p><p>seen {n * 31} times</p></div></body></html>"
+    )
+
+
+def test_wrappers_find_articles_that_nothing_names(spark):
+    rows = [(n, f"http://h.net/{n}", neutral(n)) for n in range(14)]
+    rows += [(100 + n, f"http://h.net/{n}", f"<html><body><table><tr><td>{'list ' * 9}{n}</td></tr></table></body></html>") for n in range(1)] + [(200, "http://h.net/e", ""), (201, "http://h.net/f", None)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(14):
+        text = f"story {n} " + " ".join(f"w{n * n + i}" for i in range(12))
+        assert got[n] == "\n".join([f"Head {n}", text, *[f"{text} more {i}" for i in range(n % 3)]])
+        assert got[n] != wrappers.main_text(neutral(n))  # without the wrapper it is another text
+    assert got[100] == "list " * 9 + "0" and got[200] == got[201] == ""
+
+
+def test_names_that_only_look_like_those_of_other_places():
+    for name in ("social-science", "side effects", "related-work", "share-price", "comment-on-law", "form-of-government", "header-image-caption"):
+        assert wrappers.main_text(f"<main><p>a</p><div class='{name}'>kept</div></main>") == "a\nkept"
+    for name in ("sidebar", "comments", "comment-list", "post-comments", "ad", "share-buttons", "social", "related-posts", "x sidebar-left", "cookie-notice", "nav main-nav"):
+        assert wrappers.main_text(f"<main><p>a</p><div class='{name}'>gone</div></main>") == "a"
 
 
 def test_template_text_outside_an_article_goes(spark):
