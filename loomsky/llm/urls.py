@@ -14,7 +14,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_up_to, stored
+
 LABEL = "label=block"
+#: tokens of a mined rule at most: longer ones say more of the pages that they were mined from than of others
+MOST_TOKENS = 4
 
 
 def host_of(url: Column) -> Column:
@@ -54,7 +58,7 @@ def url_tokens(url: Column) -> Column:
 
 def given_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The rule that fits, as (rule, verdict); null if none does. ``rules`` are (``host/path``, ``allow`` or ``block``), a list that
-    a user writes; a rule fits its host and all subdomains where the path starts with the rule's. The longest wins, of equals the first."""
+    a user writes; a rule fits its host and all subdomains where the path starts with the rule's. The longest wins, of equals the last."""
     best = F.lit(None).cast("struct<rule:string,verdict:string>")
     for rule, verdict in sorted(rules, key=lambda r: len(r[0])):  # the longest is asked first
         name, slash, start = rule.partition("/")
@@ -63,9 +67,9 @@ def given_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return best
 
 
-def mine(urls: DataFrame, *, min_support: float, min_count: int, min_confidence: float) -> DataFrame:
+def mine(urls: DataFrame, *, min_support: float, min_count: int, min_confidence: float, max_tokens: int = MOST_TOKENS) -> DataFrame:
     """Blocking rules ``tokens, confidence, support`` from ``urls`` (tokens, blocked), pruned. A small table: each rule needs
-    ``min_support`` of all labelled pages, and ``min_count`` of them. No labelled pages give no rules.
+    ``min_support`` of all labelled pages, and ``min_count`` of them, and up to ``max_tokens`` tokens. No labelled pages give no rules.
 
     Tokens that lie in the same pages are mined as one, the least of them, and its rules hold for each: sets of several of them
     would be as many as the subsets of a long URL, and idle all of them."""
@@ -82,7 +86,7 @@ def mine(urls: DataFrame, *, min_support: float, min_count: int, min_confidence:
     known = F.array_intersect("tokens", F.array(*map(F.lit, classes))) if classes else F.array().cast("array<string>")
     baskets = urls.select(F.when(F.col("blocked"), F.array_append(known, F.lit(LABEL))).otherwise(known).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.expr(f"consequent = array('{LABEL}')"))
+    rules = model.associationRules.where(F.expr(f"consequent = array('{LABEL}') and size(antecedent) <= {max_tokens}"))
     several = spark.createDataFrame([(k, v) for k, v in classes.items() if len(v) > 1], "first string, all array<string>")
     for_each = F.map_from_entries(F.collect_list(F.struct("first", "all")))
     rules = rules.crossJoin(F.broadcast(several.agg(for_each.alias("all"))))
@@ -107,6 +111,7 @@ def filter_urls(
     min_support: float = 0.002,
     min_count: int = 8,
     min_confidence: float = 0.6,
+    max_tokens: int = MOST_TOKENS,
 ) -> DataFrame:
     """Judge the ``url`` of each page: ``page_id, host, path, rule, verdict, confidence``, one row for each row of ``pages``.
 
@@ -121,7 +126,7 @@ def filter_urls(
     pages = pages.select(F.col("page_id").cast("long"), "url")
     known = labels.where("quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("blocked"))
     labelled = pages.join(known, "page_id").select(url_tokens(url).alias("tokens"), "blocked")
-    mined = mine(labelled, min_support=min_support, min_count=min_count, min_confidence=min_confidence)
+    mined = stored(mine(labelled, min_support=min_support, min_count=min_count, min_confidence=min_confidence, max_tokens=max_tokens))
 
     # URLs with the same tokens are matched once.
     tokens = pages.select(url_tokens(url).alias("tokens")).distinct()
@@ -136,7 +141,7 @@ def filter_urls(
         .groupBy("tokens").agg(F.max("confidence").alias("confidence"))
     )
     judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("tokens"))
-    judged = judged.withColumn("given", given_rule(F.col("host"), F.col("path"), rules)).join(matched, "tokens", "left")
+    judged = judged.withColumn("given", given_rule(F.col("host"), F.col("path"), rules)).join(broadcast_up_to(stored(matched)), "tokens", "left")
     return judged.select(
         "page_id", "host", "path", F.col("given.rule").alias("rule"),
         F.coalesce("given.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence",

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -307,6 +308,38 @@ def test_planted_combination_is_mined(spark):
     assert mined and all({"host:spam", "dir:promo"} <= set(m.tokens) | {"end:spam.net"} or "end:spam.net" in m.tokens for m in mined)
 
 
+def test_rules_and_matches_equal_all_subsets(spark):
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(240):
+        host = ".".join(r.sample(["a", "b", "c"], r.randrange(1, 3)) + ["net"])
+        path = "/".join(r.sample(["x", "y", "z", "w"], r.randrange(0, 4)))
+        rows.append((i, f"http://{host}/{path}{r.choice(['', '/p.html', '?q=1&s=2', '?q#top'])}"))
+        if i % 3:
+            labels.append((i, int(not ("x" in path and r.random() < 0.9 or host.startswith("b") and r.random() < 0.6))))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    tokens = {x.page_id: frozenset(x.t) for x in pages.select("page_id", urls.url_tokens(F.col("url")).alias("t")).collect()}
+    bad = {i: q == 0 for i, q in labels}
+    for most in (2, 4):
+        sets = {frozenset(c) for i in bad if bad[i] for k in range(1, most + 1) for c in combinations(sorted(tokens[i]), k)}
+        rules = {}
+        for s in sets:
+            met = [bad[i] for i in bad if s <= tokens[i]]
+            if sum(met) >= 8 and sum(met) >= 0.7 * len(met):
+                rules[s] = sum(met) / len(met)
+        expected = {i: max((c for s, c in rules.items() if s <= t), default=None) for i, t in tokens.items()}
+        found = urls.filter_urls(pages, spark.createDataFrame(labels, "doc_id long, quality int"), [], min_confidence=0.7, max_tokens=most).collect()
+        assert {x.page_id: x.confidence for x in found} == pytest.approx(expected) and all((x.verdict == "block") == (x.confidence is not None) for x in found)
+        assert 5 < sum(c is not None for c in expected.values()) < 235
+
+
+def test_given_rules_and_ties(spark):
+    df = spark.createDataFrame([("http://a.b.org/en/x",), ("HTTP://B.ORG/e",), ("x",), (None,)], "url string")
+    rule = urls.given_rule(urls.host_of(F.col("url")), urls.path_of(F.col("url")), [("b.org/e", "allow"), ("org/en/", "block")])
+    got = [r[0] and tuple(r[0]) for r in df.select(rule).collect()]
+    assert got == [("org/en/", "block"), ("b.org/e", "allow"), None, None]
+
+
 # Toxicity
 
 
