@@ -89,29 +89,18 @@ def linked_components(
             break
     first = reduce(DataFrame.unionByName, firsts)
     alike = first.where(F.col("away") <= limit + slight).select("a", "b")
-    found = stored(components(alike))
 
-    # Within twice the limit of a centre, or whole.
-    around = first.where("apart is not null").select(F.col("b").alias("centre"), F.col("a").alias("rep"), F.col("n_a").alias("n"), "apart")
-    around = around.dropDuplicates(["centre", "rep"])
+    # Within twice the limit of a centre, of which some aren't alike to it, or whole.
+    lone = F.col("away") > limit + slight
+    mixed = broadcast_up_to(stored(first.groupBy("b").agg(F.count_if(lone).alias("lone")).where("lone > 0").select("b")))
+    around = first.where("apart is not null").join(mixed, "b")
+    around = around.select(F.col("b").alias("centre"), F.col("a").alias("rep"), F.col("n_a").alias("n"), "apart", lone.alias("lone")).dropDuplicates(["centre", "rep"])
     far = broadcast_up_to(stored(hits.select(F.col("rep").alias("id")).distinct()))
     whole = expand(F.col("items")) if expand else F.col("items")
-    far = sets.join(far, "id").select(F.lit(NOTHING).alias("centre"), F.col("id").alias("rep"), whole.alias("apart")).withColumn("n", F.size("apart"))
-    around = around.unionByName(far).withColumn("size", F.size("apart"))
-
-    def mixed(around: DataFrame, found: DataFrame) -> DataFrame:
-        """``around`` with components, of centres that have several; ``main`` is the one of most members."""
-        with_own = named(around, found).unionByName(
-            named(around.select("centre", F.col("centre").alias("rep")).distinct(), found), allowMissingColumns=True
-        )  # the centre's component is one of those
-        main = with_own.groupBy("centre", "c").agg(F.count("*").alias("members")).groupBy("centre").agg(
-            F.max_by("c", F.struct("members", "c")).alias("main"), F.count("*").alias("groups")
-        )
-        main = broadcast_up_to(stored(main.where("groups > 1").drop("groups")))
-        return named(around, found).join(main, "centre")
-
-    around = stored(mixed(around, found).drop("c", "main"))
-    entries = around.select("centre", "rep", "n", "size", F.explode("apart").alias("item"))
+    far = sets.join(far, "id").select(F.lit(NOTHING).alias("centre"), F.col("id").alias("rep"), whole.alias("apart"), F.lit(True).alias("lone"))
+    around = stored(around.unionByName(far.withColumn("n", F.size("apart"))).withColumn("size", F.size("apart")))
+
+    entries = around.select("centre", "rep", "n", "size", "lone", F.explode("apart").alias("item"))
     counts = entries.groupBy("centre", "item").agg(F.count("*").alias("having")).where("having > 1")
     entries = entries.join(counts, ["centre", "item"])
     mine = Window.partitionBy("centre", "rep")
@@ -134,17 +123,16 @@ def linked_components(
         differ = "size(array_except(apart, apart2)) + size(array_except(apart2, apart))"
         return stored(both.where(f"{100 + percent} * ({differ}) <= {100 - percent} * (n + n2)").select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
 
-    seats = stored(mixed(around.select("centre", "rep"), found)).select("centre", "rep", "c")
-    best = entries.groupBy("centre", "item").agg(F.min(F.struct("size", "rep", "n", "place")).alias("best"))
-    to_best = entries.join(best, ["centre", "item"]).select("*", F.col("best.rep").alias("rep2"), F.col("best.n").alias("n2"), F.col("best.size").alias("size2"), F.col("best.place").alias("place2"))
-    to_best = to_best.where(can & F.expr("rep <> rep2")).select("centre", "rep", "rep2").distinct()
-    to_best = to_best.join(seats, ["centre", "rep"]).join(second(seats, "centre"), ["centre", "rep2"]).where("c <> c2").select("centre", "rep", "rep2")
-    more = links(to_best)
-    if not more.isEmpty():
-        found = stored(components(found.toDF("a", "b").union(more)))
-
-    seats = stored(mixed(around.select("centre", "rep"), found))
-    every = stored(entries.join(seats, ["centre", "rep"]))
+    best = entries.groupBy("centre", "item").agg(F.min(F.struct("size", "rep", "n", "place", "lone")).alias("best"))
+    to_best = entries.join(best, ["centre", "item"]).select("*", *[F.col(f"best.{c}").alias(f"{c}2") for c in ("rep", "n", "size", "place", "lone")])
+    to_best = to_best.where(can & F.expr("rep <> rep2 and (lone or lone2)")).select("centre", "rep", "rep2").distinct()
+    found = stored(components(alike.union(links(to_best))))
+
+    # Those that aren't of the largest component around their centre, which holds the centre where any is alike to it.
+    seats = named(around.select("centre", "rep"), found)
+    main = seats.groupBy("centre", "c").agg(F.count("*").alias("members")).groupBy("centre").agg(F.max_by("c", F.struct("members", "c")).alias("main"))
+    seats = seats.join(broadcast_up_to(stored(main)), "centre")
+    every = stored(entries.drop("lone").join(broadcast_up_to(stored(seats)), ["centre", "rep"]))
     pairs = every.where("c <> main").join(second(every.drop("main"), "centre", "item"), ["centre", "item"])
     pairs = pairs.where(can & F.expr("c <> c2 and (c2 = main or rep < rep2)")).select("centre", "rep", "rep2").distinct()
     more = links(pairs)
