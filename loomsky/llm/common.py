@@ -45,6 +45,18 @@ def broadcast_up_to(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if rows * (24 + 16 * len(df.columns)) + more <= limit else df
 
 
+def gathered(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, a stored table of a few numbers a row, in one partition where it has up to ``rows`` rows, counted now: joins and groups of so few
+    aren't worth shuffles. Beyond that, as it is."""
+    return df.coalesce(1) if df.count() <= rows else df
+
+
+def _pairs(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) of each of ``pairs`` of columns, where they differ."""
+    each = F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs])
+    return df.select(F.explode(each).alias("e")).select("e.u", "e.v").where("u <> v")
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): rows (node, component), the smallest node of each.
 
@@ -53,31 +65,20 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     the shuffle, so a node with very many neighbours costs no more than its edges.
     Self-loops and null ends are ignored; no edges give no rows.
     """
-    cur = stored(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
+    cur = stored(_pairs(edges, ("a", "b")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
-        both = cur.union(cur.select("v", "u"))
+        cur = gathered(cur)
+        both = _pairs(cur, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v")
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = (
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        cur = stored(small)
+        cur = stored(_pairs(large.join(low, "u"), ("v", "m"), ("u", "m")).distinct())
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark or now[0] == 0:
             break
         mark = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
-        cur.select("v", "v").distinct().toDF("node", "component")
-    )
+    every = F.explode(F.array(F.struct(F.col("u").alias("node"), "v"), F.struct(F.col("v").alias("node"), "v"))).alias("e")
+    return gathered(cur).select(every).groupBy(F.col("e.node").alias("node")).agg(F.min("e.v").alias("component"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_up_to, components, stored
+from .common import broadcast_up_to, components, gathered, stored
 
 ROUNDS, NOTHING = 2, -(1 << 63)
 
@@ -76,7 +76,7 @@ def linked_components(
     for _ in range(rounds):
         # The centre is one of the far ones, so each round has fewer of them.
         centres = hits.where("far").groupBy("key").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("centre"))
-        hits = stored(hits.drop("far", "away").join(centres, "key"))
+        hits = gathered(stored(hits.drop("far", "away").join(centres, "key")))
         first = compared(hits.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), sets, expand)
         first = stored(first.withColumn("apart", F.when(F.col("away") <= 2 * limit + slight, F.col("apart"))))
         firsts.append(first)
@@ -84,7 +84,7 @@ def linked_components(
         hits = hits.join(distances, ["rep", "centre"]).where(F.col("away") > limit - slight)
         hits = hits.select("key", "rep", "fame", "away", (F.col("away") > 2 * limit - slight).alias("far"))
         left = hits.groupBy("key").agg(F.count_if("far").alias("far"), F.count("*").alias("n")).where("far > 0 and n > 1").select("key")
-        hits = stored(hits.join(left, "key"))
+        hits = gathered(stored(hits.join(left, "key")))
         if hits.isEmpty():
             break
     first = reduce(DataFrame.unionByName, firsts)
