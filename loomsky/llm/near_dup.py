@@ -133,7 +133,8 @@ def near_duplicates(
     nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"))
     nodes = stored(nodes)
     entries = nodes.select(F.explode(_keys(chunks, width, errors, bits)).alias("key"), F.col("node").alias("rep")).repartition("key")
-    shared = entries.groupBy("key").agg(F.count("rep").alias("members")).where("members > 1")
+    # The ends are asked for so that both branches deal the same columns, and share one exchange.
+    shared = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").drop("low", "high")
     met = stored(entries.join(shared.hint("shuffle_hash"), "key"))
     ids = met.select(F.col("rep").alias("node")).distinct()
     ids = broadcast_up_to(stored(nodes.select("node", F.col("least").alias("doc_id")).join(ids, "node")))
