@@ -2,7 +2,8 @@
 
 Vectors are tables keyed by row or column; an iteration is two join-aggregations and two norms, the only numbers that reach the driver.
 Vectors are written to the shared folder (``spark.checkpoint.dir``) in each iteration, so that plans stay short and lost executors
-cost no more than the current step. A is kept twice, dealt by row and by column, so that only vectors are shuffled.
+cost no more than the current step. Where the unknowns, counted first, are few enough to broadcast, A is dealt by row alone and products stay where
+they are; beyond that it is kept twice, dealt by row and by column, so that only vectors are shuffled.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ import math
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .system import column_norms
@@ -30,14 +32,43 @@ class Solution:
     converged: bool
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        df.sparkSession.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: unknowns up to which a vector is broadcast: 16 bytes of numbers each, some 64 MB as a hash table
+SMALL = 1_000_000
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
+class _Store:
+    """Tables of one solution in the shared folder. Only a session on one machine, as in tests, may name none."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        self.root = (root or _own_folder()).rstrip("/")
+
+    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """``df`` written and read again. The table that had this ``name`` before is deleted, as nothing reads it any more."""
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if name:
+            self.drop(name)
+            self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for path in filter(None, (self.paths.pop(n, None) for n in names)):
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again; nothing deletes it."""
+    return _Store(df.sparkSession).keep(df)
 
 
 def _norm(df: DataFrame, column: str = "v") -> float:
@@ -63,44 +94,53 @@ def solve(
     if method not in ("lsqr", "lsmr"):
         raise ValueError(f"method {method!r} is neither lsqr nor lsmr")
     a = a.select("row", "col", F.col("val").cast("double").alias("val"))
-    norms = _kept(column_norms(a)) if precondition else _kept(a.select("col").distinct().withColumn("norm", F.lit(1.0)))
+    store = _Store(a.sparkSession)
+    norms = store.keep(column_norms(a) if precondition else a.select("col").distinct().withColumn("norm", F.lit(1.0)), "norms")
+    small = norms.count() <= SMALL
     if precondition:
-        a = a.join(norms, "col").select("row", "col", (F.col("val") / F.col("norm")).alias("val"))
+        a = a.join(F.broadcast(norms) if small else norms, "col").select("row", "col", (F.col("val") / F.col("norm")).alias("val"))
     by_row = a.repartition("row").persist(StorageLevel.MEMORY_AND_DISK)
-    by_col = a.repartition("col").persist(StorageLevel.MEMORY_AND_DISK)
+    by_col = by_row if small else a.repartition("col").persist(StorageLevel.MEMORY_AND_DISK)
 
     def times(x: DataFrame) -> DataFrame:
-        return by_col.join(x, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("v")).alias("av"))
+        return by_col.join(F.broadcast(x) if small else x, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("v")).alias("av"))
 
     def back(u: DataFrame) -> DataFrame:
         return by_row.join(u, "row").groupBy("col").agg(F.sum(F.col("val") * F.col("u")).alias("atu"))
 
     try:
         right = b.groupBy("row").agg(F.sum(F.col("val").cast("double")).alias("u"))
-        size = _norm(right, "u")
-        start = norms.select("col", F.lit(0.0).alias("v"))
-        if x0 is not None:
+        if x0 is None:
+            start = norms.select("col", F.lit(0.0).alias("v"))
+            right = store.keep(right, "u")
+            size = _norm(right, "u")
+        else:
             start = norms.join(x0, "col", "left").select("col", (F.coalesce(F.col("value").cast("double"), F.lit(0.0)) * F.col("norm")).alias("v"))
-            start = _kept(start)
-            right = right.join(times(start), "row", "full").select("row", (F.coalesce("u", F.lit(0.0)) - F.coalesce("av", F.lit(0.0))).alias("u"))
+            start = store.keep(start, "start")
+            right = right.join(times(start), "row", "full")
+            right = store.keep(right.select("row", "u", (F.coalesce("u", F.lit(0.0)) - F.coalesce("av", F.lit(0.0))).alias("left")), "u")
+            size = _norm(right, "u")
+            right = right.select("row", F.col("left").alias("u"))
         machine = _Lsqr(damp) if method == "lsqr" else _Lsmr(damp)
-        state, n, trace, ok = _iterate(machine, times, back, _kept(right), size, atol, btol, iterations)
+        state, n, trace, ok = _iterate(machine, times, back, store, right, size, atol, btol, iterations)
         x = state.join(start.withColumnRenamed("v", "_start"), "col").join(norms, "col")
         x = x.select("col", ((F.col("x") + F.col("_start")) / F.col("norm")).alias("value"))
-        return Solution(_kept(x), n, trace[-1] if trace else 0.0, trace, ok)
+        return Solution(store.keep(x), n, trace[-1] if trace else 0.0, trace, ok)
     finally:
+        store.drop("norms", "start", "u", "state")
         by_row.unpersist()
-        by_col.unpersist()
+        if by_col is not by_row:
+            by_col.unpersist()
 
 
-def _iterate(machine, times, back, u: DataFrame, size: float, atol: float, btol: float, limit: int):
+def _iterate(machine, times, back, store: _Store, u: DataFrame, size: float, atol: float, btol: float, limit: int):
     """Golub and Kahan's bidiagonalisation, with a ``machine`` that turns its numbers into the next solution.
 
     The state is one table, ``col, v, x`` and the machine's own columns. A round writes two tables: the new u, and the state with
-    what A' u adds to v. Scaling by norms and the machine's updates are projections of what was written."""
+    what A' u adds to v; those before them are deleted. Scaling by norms and the machine's updates are projections of what was written."""
     beta = _norm(u, "u")
     u = u.select("row", (F.col("u") / (beta or 1.0)).alias("u"))
-    state = _kept(back(u).select("col", F.col("atu").alias("v"), F.lit(0.0).alias("x"), *[F.lit(0.0).alias(c) for c in machine.columns]))
+    state = store.keep(back(u).select("col", F.col("atu").alias("v"), F.lit(0.0).alias("x"), *[F.lit(0.0).alias(c) for c in machine.columns]), "state")
     alpha = _norm(state)
     state = machine.begin(state.withColumn("v", F.col("v") / (alpha or 1.0)), alpha, beta)
     if alpha * beta == 0:
@@ -108,11 +148,11 @@ def _iterate(machine, times, back, u: DataFrame, size: float, atol: float, btol:
     frobenius, trace = alpha**2, []
     for n in range(1, limit + 1):
         u = times(state).join(u, "row", "full").select("row", (F.coalesce("av", F.lit(0.0)) - alpha * F.coalesce("u", F.lit(0.0))).alias("u"))
-        u = _kept(u)
+        u = store.keep(u, "u")
         beta = _norm(u, "u")
         u = u.select("row", (F.col("u") / (beta or 1.0)).alias("u"))
         state = state.join(back(u), "col", "left").withColumn("_v", F.coalesce("atu", F.lit(0.0)) - beta * F.col("v")).drop("atu")
-        state = _kept(state)
+        state = store.keep(state, "state")
         alpha, x_norm = state.agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))), F.sqrt(F.sum(F.col("x") * F.col("x")))).first()
         frobenius += alpha**2 + beta**2
         state, residual, gradient = machine.step(state.withColumn("v", F.col("_v") / (alpha or 1.0)).drop("_v"), alpha, beta)

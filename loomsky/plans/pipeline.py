@@ -194,7 +194,7 @@ class Mosaicker:
                     F.lit(unit).alias("unit"), mean_offset.alias("mean_offset"),
                 )
                 maps = record if maps is None else maps.unionByName(record)
-            self.maps = solver._kept(maps)
+            self.maps = solver.kept(maps)
         finally:
             kept.unpersist()
         return self.maps

@@ -96,15 +96,46 @@ def spmv_t(spark, sf_dir):
     return system.transposed_times(a, b.select("row", (F.col("val") % 1000).alias("val")))
 
 
-def _solved(spark, sf_dir, method):
+def _step_sql(n: int) -> str:
+    """Step ``n`` of LSQR: u, v and w of the step before it, and the numbers k, to those after it."""
+    return f"""
+y{n} AS MATERIALIZED (SELECT row, av - alpha * u AS u FROM (SELECT row, sum(val * v) AS av FROM p JOIN t{n - 1} USING (col) GROUP BY row) JOIN u{n - 1} USING (row), k{n - 1}),
+s{n} AS MATERIALIZED (SELECT sqrt(sum(u * u)) AS beta FROM y{n}),
+u{n} AS MATERIALIZED (SELECT row, u / beta AS u FROM y{n}, s{n}),
+r{n} AS MATERIALIZED (SELECT col, atu - beta * v AS v, w, x FROM (SELECT col, sum(val * u) AS atu FROM p JOIN u{n} USING (row) GROUP BY col) JOIN t{n - 1} USING (col), s{n}),
+g{n} AS MATERIALIZED (SELECT k.rho_bar, k.phi_bar, s.beta, sqrt(k.rho_bar * k.rho_bar + s.beta * s.beta) AS rho, (SELECT sqrt(sum(v * v)) FROM r{n}) AS alpha FROM k{n - 1} k, s{n} s),
+k{n} AS MATERIALIZED (SELECT alpha, rho, beta / rho * alpha AS theta, rho_bar / rho * phi_bar AS phi, -rho_bar / rho * alpha AS rho_bar, beta / rho * phi_bar AS phi_bar FROM g{n}),
+t{n} AS MATERIALIZED (SELECT col, v / alpha AS v, v / alpha - theta / rho * w AS w, x + phi / rho * w AS x FROM r{n}, k{n})"""
+
+
+@query(f"""WITH {_ROWS}, {_A}, {_B}, norms AS MATERIALIZED (SELECT col, sqrt(CAST(sum(val * val) AS DOUBLE)) AS norm FROM a GROUP BY col),
+p AS MATERIALIZED (SELECT row, col, val / norm AS val FROM a JOIN norms USING (col)),
+s0 AS MATERIALIZED (SELECT sqrt(sum(CAST(val AS DOUBLE) * CAST(val AS DOUBLE))) AS beta FROM b), u0 AS MATERIALIZED (SELECT row, val / beta AS u FROM b, s0),
+r0 AS MATERIALIZED (SELECT col, sum(val * u) AS v FROM p JOIN u0 USING (row) GROUP BY col),
+k0 AS MATERIALIZED (SELECT sqrt(sum(v * v)) AS alpha, sqrt(sum(v * v)) AS rho_bar, (SELECT beta FROM s0) AS phi_bar FROM r0),
+t0 AS MATERIALIZED (SELECT col, v / alpha AS v, v / alpha AS w, 0e0 AS x FROM r0, k0),{",".join(map(_step_sql, (1, 2, 3)))}
+SELECT CASE WHEN col < n_sky THEN 'sky' ELSE 'offset' END AS part, CASE WHEN col < n_sky THEN col // {WIDTH} ELSE (col - n_sky) // {CHUNKS} END AS i,
+CASE WHEN col < n_sky THEN col % {WIDTH} ELSE (col - n_sky) % {CHUNKS} END AS j, CAST(round(x / norm) AS BIGINT) AS cents FROM t3 JOIN norms USING (col), size""")
+def lsqr_3_iters(spark, sf_dir):
+    """Three steps of LSQR from 0, to the cent."""
     a, b, n_sky = _system(spark, sf_dir)
-    found = solver.solve(a, b, method=method, x0=system.first_guess(a, b, n_sky), damp=1e-3, atol=1e-6, btol=1e-6, iterations=12)
+    found = solver.solve(a, b, method="lsqr", atol=0.0, btol=0.0, iterations=3)
+    return _parts(found, n_sky).select("part", "i", "j", F.round("value").cast("bigint").alias("cents"))
+
+
+def _parts(found, n_sky):
     sky, offsets = solver.sky_and_offsets(found.x, WIDTH, n_sky, CHUNKS)
     return sky.select(F.lit("sky").alias("part"), F.col("ref_y").alias("i"), F.col("ref_x").alias("j"), "value").union(
         offsets.select(F.lit("offset"), "frame", "chunk", "value")
     )
 
 
+def _solved(spark, sf_dir, method):
+    a, b, n_sky = _system(spark, sf_dir)
+    found = solver.solve(a, b, method=method, x0=system.first_guess(a, b, n_sky), damp=1e-3, atol=1e-6, btol=1e-6, iterations=12)
+    return _parts(found, n_sky)
+
+
 @query()
 def lsqr_full(spark, sf_dir):
     """The sky and the offsets after at most 12 steps of LSQR; compared with a dense solution in the tests."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators.solver import _kept as kept
+from ..operators.solver import kept
 from ..operators.system import dense_rows
 from ..schemas import schema
 
