@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cube(maps: DataFrame, *, keys: Sequence[str] = ("ref_y", "ref_x"), layer: str = "layer") -> DataFrame:
@@ -36,9 +37,21 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, *,
 
 def edge_rows(band: DataFrame, edges: DataFrame, *, y: str = "det_y", x: str = "det_x", wave: str = "bc", edge: str = "edge") -> DataFrame:
     """``edge, x, y``: for each wavelength edge and column the row whose wavelength is nearest; of equally near ones the first. The edges
-    are a table of the instrument."""
-    met = band.join(F.broadcast(edges.select(edge)))
-    return met.groupBy(edge, x).agg(F.min_by(y, F.struct(F.abs(F.col(wave) - F.col(edge)), y)).alias(y))
+    are a table of the instrument. Cells without a wavelength don't count.
+
+    Cells and edges of a column are sorted together, so an edge looks at the wavelengths before and after it only, not at every cell."""
+    w = F.col(wave)
+    cells = band.where(w.isNotNull() & ~F.isnan(w.cast("double"))).groupBy(x, w.alias("_w")).agg(F.min(y).alias("_y"))
+    sought = cells.select(x).distinct().join(F.broadcast(edges.select(edge).distinct()))
+    cell = F.struct(F.col("_w").alias("w"), F.col("_y").alias("y"))
+    both = cells.select(x, "_w", F.lit(0).alias("_kind"), cell.alias("_cell"), F.lit(None).cast(edges.schema[edge].dataType).alias(edge)).unionByName(
+        sought.select(x, F.col(edge).alias("_w"), F.lit(1).alias("_kind"), F.lit(None).cast(cells.select(cell.alias("c")).schema["c"].dataType).alias("_cell"), edge)
+    )
+    up, down = (Window.partitionBy(x).orderBy(o, "_kind").rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_w"), F.desc("_w")))
+    ends = [F.last("_cell", ignorenulls=True).over(o) for o in (up, down)]
+    near = both.withColumns({"_before": ends[0], "_after": ends[1]}).where("_kind = 1")
+    far = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.w") - F.col(edge)).alias("d"), F.col(f"{c}.y").alias("y"))) for c in ("_before", "_after")]
+    return near.select(edge, x, F.least(*far)["y"].alias(y))
 
 
 def channel_edges(table: DataFrame, band: int) -> list[float]:

@@ -22,11 +22,11 @@ def outliers(obs: DataFrame, threshold: float, *, by: Sequence[str] = ("frame",)
     """``obs`` with ``median, mad, is_outlier``: farther from its frame's median than ``threshold`` times 1.4826 times the median of such
     distances. NaN and null values count for neither and are no outliers. Medians are exact; a frame's values must fit one task."""
     v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
-    middle = obs.groupBy(*by).agg(F.median(v).alias("median"))
-    near = obs.join(middle, list(by))
-    spread = near.groupBy(*by).agg(F.median(F.abs(v - F.col("median"))).alias("mad"))
+    frame = Window.partitionBy(*by)
+    near = obs.withColumn("median", F.median(v).over(frame))
+    near = near.withColumn("mad", F.median(F.abs(v - F.col("median"))).over(frame))
     far = F.abs(v - F.col("median")) > F.lit(float(threshold)) * F.lit(MAD_TO_STD) * F.col("mad")
-    return near.join(spread, list(by)).withColumn("is_outlier", F.coalesce(far, F.lit(False)))
+    return near.withColumn("is_outlier", F.coalesce(far, F.lit(False)))
 
 
 def dense_rows(obs: DataFrame, group: str, order: Sequence[str], name: str = "row") -> DataFrame:
