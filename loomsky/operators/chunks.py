@@ -103,3 +103,11 @@ def cumulative2d(raster: DataFrame, amount: Column, *, y: str = "det_y", x: str
     across = Window.partitionBy(*by, y).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*by, x).orderBy(y).rowsBetween(Window.unboundedPreceding, 0)
     return raster.withColumn("_row", F.sum(amount).over(across)).withColumn(name, F.sum("_row").over(down)).drop("_row")
+
+
+def chunk_edges(shape: DataFrame, chunk_ny: int, chunk_nx: int) -> DataFrame:
+    """``axis, edge``: where chunks of ``chunk_ny`` by ``chunk_nx`` cells begin on a detector of ``shape`` (``ny, nx``), and its end where they fill it."""
+    def along(axis: str, step: int) -> DataFrame:
+        return shape.select(F.lit(axis).alias("axis"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n{axis}"), F.lit(step).cast("bigint"))).alias("edge"))
+
+    return along("y", chunk_ny).unionByName(along("x", chunk_nx))

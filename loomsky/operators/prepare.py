@@ -11,6 +11,8 @@ from ..functions import masks
 from .resample import bilinear, chunk_contributions
 
 Hook = Callable[[DataFrame], DataFrame]
+#: from a chunk map and ``frame, chunk, value`` to a surface, ``frame, det_y, det_x, raster``
+SurfaceHook = Callable[[DataFrame | None, DataFrame | None], DataFrame]
 
 
 def prepare(
@@ -19,7 +21,8 @@ def prepare(
     ignore_bits: Iterable[int | str] = (),
     bit_names: dict[str, int] | None = None,
     offsets: DataFrame | None = None,
-    offset_surface: DataFrame | None = None,
+    offset_surface: DataFrame | SurfaceHook | None = None,
+    chunk_map: DataFrame | None = None,
     grid_weight: DataFrame | None = None,
     oversample: int = 1,
     inverse_square: str | None = None,
@@ -31,7 +34,7 @@ def prepare(
 
     Weight begins at 1. ``preprocess`` takes and gives a DataFrame with ``value`` and ``weight``. Flagged pixels get weight 0. The offset is, of a
     ``offset_surface`` (frame, det_y, det_x, raster), what bilinear interpolation gives, or of ``offsets`` (frame, chunk, value) that of ``obs``'s chunk; where
-    there is none it is 0. ``grid_weight`` (det_y, det_x, weight) is interpolated at ``oversample`` times the detector's places and multiplied, as is 1 / x ** 2 of the
+    there is none it is 0. A function given as ``offset_surface`` makes one of ``chunk_map`` and ``offsets``. ``grid_weight`` (det_y, det_x, weight) is interpolated at ``oversample`` times the detector's places and multiplied, as is 1 / x ** 2 of the
     column ``inverse_square``. After ``postprocess``, NaN values become 0 with weight 0."""
     df = obs if "weight" in obs.columns else obs.withColumn("weight", F.lit(1.0))
     if preprocess:
@@ -42,6 +45,8 @@ def prepare(
     if oversample != 1:
         df = df.withColumns({"_gy": F.col("map_y") * oversample, "_gx": F.col("map_x") * oversample})
     y, x = ("_gy", "_gx") if oversample != 1 else ("map_y", "map_x")
+    if callable(offset_surface):
+        offset_surface = offset_surface(chunk_map, offsets)
     if offset_surface is not None:
         four = bilinear_by(df, offset_surface, keys, ["frame"], y=y, x=x)
         df = df.join(four.withColumnRenamed("raster", "_offset"), list(keys), "left")

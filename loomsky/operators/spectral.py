@@ -54,6 +54,14 @@ def edge_rows(band: DataFrame, edges: DataFrame, *, y: str = "det_y", x: str = "
     return near.select(edge, x, F.least(*far)["y"].alias(y))
 
 
+def edge_samples(band: DataFrame, edges: DataFrame, *, size: int, margin: int = 650, y: str = "det_y", x: str = "det_x", wave: str = "bc", edge: str = "edge") -> DataFrame:
+    """``edge_rows`` of a detector ``size`` cells wide, without the middle of the greatest edge: its columns over ``margin`` and below ``size - margin``."""
+    last = edges.agg(F.max(edge).alias("_last"))
+    found = edge_rows(band, edges, y=y, x=x, wave=wave, edge=edge).join(F.broadcast(last))
+    middle = (F.col(edge) == F.col("_last")) & (F.col(x) > margin) & (F.col(x) < size - margin)
+    return found.where(~middle).drop("_last")
+
+
 def channel_edges(table: DataFrame, band: int) -> list[float]:
     """Lower ends of a band's channels in order, and the upper end of the last."""
     rows = table.where(F.col("band") == band).select("lmin", "lmax").orderBy("lmin").collect()  # 17 channels
@@ -108,3 +116,10 @@ def fit_arcs(points: DataFrame, start: tuple[float, float], *, edge: str = "edge
         raise RuntimeError(f"the arcs' centre did not settle in {rounds} rounds")
     finally:
         points.unpersist()
+
+
+def fit_lvf(band: DataFrame, edges: DataFrame, start: tuple[float, float], *, size: int, margin: int = 650, **names: str) -> dict[str, object]:
+    """Parameters of a linear variable filter, ``xc, yc, R, wave_edges``: the arcs fitted to the samples of its edges, radii in the order of the edges."""
+    (xc, yc), radii = fit_arcs(edge_samples(band, edges, size=size, margin=margin, **names), start, x=names.get("x", "det_x"), y=names.get("y", "det_y"), edge=names.get("edge", "edge"))
+    order = sorted(radii)
+    return {"xc": xc, "yc": yc, "R": [radii[e] for e in order], "wave_edges": order}

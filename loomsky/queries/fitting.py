@@ -125,6 +125,13 @@ def edge_argmin(spark, sf_dir):
     return spectral.edge_rows(grid(spark, sf_dir), edges, wave="raster")
 
 
+@query(f"""WITH {GRID_SQL}, e AS (SELECT unnest([95000, 120000, 140000]) AS edge), r AS (SELECT edge, det_x, det_y, row_number() OVER (PARTITION BY edge, det_x ORDER BY abs(raster - edge), det_y) AS k FROM grid CROSS JOIN e)
+SELECT CAST(edge AS BIGINT) AS edge, det_x, det_y FROM r WHERE k = 1 AND NOT (edge = 140000 AND det_x > 12 AND det_x < 38)""")
+def edge_samples(spark, sf_dir):
+    edges = spark.createDataFrame([(95000,), (120000,), (140000,)], "edge long")
+    return spectral.edge_samples(grid(spark, sf_dir), edges, size=50, margin=12, wave="raster")
+
+
 @query(f"""WITH {GRID_SQL}, p AS (SELECT chunk % 5 AS edge, det_x AS x, (det_y % 20) AS y FROM grid),
 s AS (SELECT edge, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * x + y * y) AS DOUBLE) AS sz, CAST(sum(x * x) AS DOUBLE) AS sxx, CAST(sum(x * y) AS DOUBLE) AS sxy,
 CAST(sum(y * y) AS DOUBLE) AS syy, CAST(sum(x * (x * x + y * y)) AS DOUBLE) AS sxz, CAST(sum(y * (x * x + y * y)) AS DOUBLE) AS syz FROM p GROUP BY edge),
@@ -264,6 +271,12 @@ def path_parse(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), found["exp"].alias("exp"), found["det"].alias("det"))
 
 
+@query("SELECT DISTINCT CAST(o_orderkey % 53 AS INTEGER) AS week FROM orders")
+def week_numbers(spark, sf_dir):
+    name = F.format_string("/run/level2_2025W%02d_%d_1.fits", F.col("o_orderkey") % 53, F.col("o_orderkey"))
+    return readers.week_numbers(table(spark, sf_dir, "orders").select(name.alias("file_path")))
+
+
 @query("""WITH f AS (SELECT DISTINCT concat('/d/', c_name) AS file_path FROM customer WHERE NOT (c_name LIKE '%1%' AND c_name LIKE '%2%'))
 SELECT concat('/nvme/', substr(file_path, 4)) AS file_path, CAST(row_number() OVER (ORDER BY file_path) - 1 AS INTEGER) AS frame FROM f""")
 def reindex_frames(spark, sf_dir):

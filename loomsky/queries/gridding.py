@@ -156,6 +156,13 @@ def cum_volume_2d(spark, sf_dir):
     return chunks.cumulative2d(grid(spark, sf_dir), F.col("raster")).select("cell", "volume")
 
 
+@query(f"""WITH {GRID_SQL}, s AS (SELECT max(det_y) + 1 AS ny, max(det_x) + 1 AS nx FROM grid)
+SELECT 'y' AS axis, unnest(range(0, ny + 1, 8)) AS edge FROM s UNION ALL SELECT 'x', unnest(range(0, nx + 1, 10)) FROM s""")
+def chunk_edges(spark, sf_dir):
+    shape = grid(spark, sf_dir).agg((F.max("det_y") + 1).alias("ny"), (F.max("det_x") + 1).alias("nx"))
+    return chunks.chunk_edges(shape, 8, 10)
+
+
 @query("""WITH e AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS a FROM part), n AS (SELECT a, lead(a) OVER (ORDER BY a) AS b FROM e)
 SELECT a + (b - a) * i / 4e0 AS edge FROM n CROSS JOIN (SELECT unnest(range(4)) AS i) WHERE b IS NOT NULL UNION ALL SELECT a FROM n WHERE b IS NULL""")
 def edge_refine(spark, sf_dir):

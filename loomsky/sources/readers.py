@@ -50,6 +50,12 @@ def exposure_index(path: Column) -> Column:
     return F.struct(exp.cast("int").alias("exp"), det.cast("int").alias("det"))
 
 
+def week_numbers(df: DataFrame, path: str = "file_path") -> DataFrame:
+    """``week``: the weeks that paths name, like ``_2025W17_``, each once. Paths without one are left out."""
+    week = F.regexp_extract(F.col(path), r"_[0-9]{4}W([0-9]+)_", 1)
+    return df.where(week != "").select(week.cast("int").alias("week")).distinct()
+
+
 def numbered(df: DataFrame, path: str = "file_path", name: str = "frame") -> DataFrame:
     """A list of files numbered from 0 on in the order of their paths. Each range of paths is numbered by itself, from the sizes of those before
     it; the ranges are drawn anew by each run, so they are written to the shared folder once."""

@@ -24,7 +24,7 @@ def write_frames(obs: DataFrame, path: str, *, replace_existing: bool = False) -
 
 
 def write_cache(obs: DataFrame, path: str, *, weight: str = "weight") -> DataFrame:
-    """Observations of weight other than 0, dealt by pixel rows, read back: what all passes of a mosaic share."""
+    """Observations of weight other than 0, read back: what all passes of a mosaic share. The box that they lie in is ``resample.bounds``'."""
     obs.where(F.col(weight) != 0).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return obs.sparkSession.read.parquet(path)
 
