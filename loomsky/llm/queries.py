@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated
 from .fingerprints import edited_fingerprints
 from .line_dedup import dedup_lines
+from .merkle import manifest, tampered
 from .mixing import mix
 from .near_dup import near_duplicates
+from .oracles import MERKLE_SQL, SEARCH_SQL
 from .quality import quality
+from .search import search, write_index
+from .token_counts import token_counts
 from .token_files import read_tokens, write_tokens
 from .toxicity import toxicity
 from .urls import filter_urls
@@ -91,6 +95,18 @@ def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(write_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"), tampered(F.col("doc_id"), F.col("text")))
+
+
+def op13_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary(), limit=512)
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_kneser_ney_quality": op2_kneser_ney_quality,
@@ -102,6 +118,9 @@ QUERIES = {
     "op8_url_association_rules": op8_url_association_rules,
     "op9_toxicity_cnn": op9_toxicity_cnn,
     "op10_html_wrappers": op10_html_wrappers,
+    "op11_block_max_search": op11_block_max_search,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_bpe_token_counts": op13_bpe_token_counts,
 }
 
 def _case(column: str, weights: dict[str, float]) -> str:
@@ -120,6 +139,8 @@ def _shared(name: str, parent: str, keys: str, weight: str, given: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_block_max_search": SEARCH_SQL,
+    "op12_merkle_manifest": MERKLE_SQL,
     "op3_hierarchical_mixing": rf"""WITH d AS (
   SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' WHEN regexp_matches(source, '^src[0-9][0-9]$') THEN 'curated' ELSE 'other' END AS domain,
          coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0) AS BIGINT) AS n_tokens
