@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masks
-from .resample import bilinear, chunk_contributions
+from . import tiles
 
 Hook = Callable[[DataFrame], DataFrame]
 #: from a chunk map and ``frame, chunk, value`` to a surface, ``frame, det_y, det_x, raster``
@@ -48,15 +48,14 @@ def prepare(
     if callable(offset_surface):
         offset_surface = offset_surface(chunk_map, offsets)
     if offset_surface is not None:
-        four = bilinear_by(df, offset_surface, keys, ["frame"], y=y, x=x)
-        df = df.join(four.withColumnRenamed("raster", "_offset"), list(keys), "left")
+        df = tiles.interpolated(df, offset_surface, name="_offset", by=["frame"], y=y, x=x)
     elif offsets is not None:
         df = df.join(offsets.select("frame", "chunk", F.col("value").alias("_offset")), ["frame", "chunk"], "left")
     if "_offset" in df.columns:
         df = df.withColumn("value", F.col("value") - F.coalesce("_offset", F.lit(0.0))).drop("_offset")
     if grid_weight is not None:
-        at = bilinear(df, grid_weight.withColumnRenamed("weight", "raster"), keys, y=y, x=x)
-        df = df.join(at.withColumnRenamed("raster", "_w"), list(keys)).withColumn("weight", F.col("weight") * F.col("_w")).drop("_w")
+        df = tiles.interpolated(df, grid_weight, "weight", name="_w", y=y, x=x)
+        df = df.withColumn("weight", F.col("weight") * F.col("_w")).drop("_w")
     if inverse_square:
         df = df.withColumn("weight", F.col("weight") * masks.inverse_square_weight(F.col(inverse_square)))
     if postprocess:
@@ -64,15 +63,7 @@ def prepare(
     return masks.nan_to_zero(df).drop("_gy", "_gx")
 
 
-def bilinear_by(df: DataFrame, raster: DataFrame, keys: Sequence[str], by: Sequence[str], *, y: str, x: str) -> DataFrame:
-    """``bilinear`` of a raster that each of ``by`` has for itself; ``by`` are among ``keys``."""
-    from .resample import corners
-
-    met = corners(df.select(*keys, y, x), y=y, x=x).join(raster, [*by, "det_y", "det_x"], "left")
-    return met.groupBy(*keys).agg(F.coalesce(F.sum(F.col("w") * F.col("raster")), F.lit(0.0)).alias("raster"))
-
-
-def chunk_shares(obs: DataFrame, chunk_map: DataFrame, *, oversample: int = 1, keys: Sequence[str] = ("frame", "ref_y", "ref_x")) -> DataFrame:
+def chunk_shares(obs: DataFrame, chunk_map: DataFrame, *, oversample: int = 1) -> DataFrame:
     """``obs``, a row for each chunk that shares in a pixel, with ``chunk, share``."""
-    scaled = obs.select(*keys, (F.col("map_y") * oversample).alias("map_y"), (F.col("map_x") * oversample).alias("map_x"))
-    return obs.drop("chunk").join(chunk_contributions(scaled, chunk_map, keys), list(keys))
+    scaled = obs.withColumns({"_gy": F.col("map_y") * oversample, "_gx": F.col("map_x") * oversample})
+    return tiles.shares(scaled, chunk_map, y="_gy", x="_gx").drop("_gy", "_gx")

@@ -7,49 +7,22 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.masks import WORD
-
-
-def corners(targets: DataFrame, *, y: str = "map_y", x: str = "map_x", scale: int = 1) -> DataFrame:
-    """``targets``, four rows each: the raster cell (``det_y, det_x``) at each corner and its bilinear weight ``w``.
-
-    ``scale`` over 1 takes coordinates as integers in parts of a cell; the weights then are integers that sum to scale ** 2. A target with
-    a null or NaN coordinate keeps one row, with nulls."""
-    cy, cx = F.col(y), F.col(x)
-    y0, x0 = F.floor(cy / scale), F.floor(cx / scale)
-    fy, fx = cy - y0 * scale, cx - x0 * scale
-    known = cy.isNotNull() & cx.isNotNull() & ~F.isnan(cy.cast("double")) & ~F.isnan(cx.cast("double"))
-    four = F.array(
-        F.struct(y0.alias("det_y"), x0.alias("det_x"), ((scale - fy) * (scale - fx)).alias("w")),
-        F.struct(y0.alias("det_y"), (x0 + 1).alias("det_x"), ((scale - fy) * fx).alias("w")),
-        F.struct((y0 + 1).alias("det_y"), x0.alias("det_x"), (fy * (scale - fx)).alias("w")),
-        F.struct((y0 + 1).alias("det_y"), (x0 + 1).alias("det_x"), (fy * fx).alias("w")),
-    )
-    exploded = targets.withColumn("_corner", F.explode_outer(F.when(known, F.filter(four, lambda c: c.w != 0))))
-    return exploded.select(*targets.columns, "_corner.det_y", "_corner.det_x", "_corner.w")
+from . import tiles
 
 
 def bilinear(targets: DataFrame, raster: DataFrame, keys: Sequence[str], *, value: str = "raster", y: str = "map_y", x: str = "map_x", scale: int = 1) -> DataFrame:
-    """``keys, value``: the raster (``det_y, det_x, value``) at each target. Corners outside the raster are left out and the others aren't
-    scaled up; a target without any, or without coordinates, is 0."""
-    met = corners(targets.select(*keys, y, x), y=y, x=x, scale=scale).join(raster.select("det_y", "det_x", value), ["det_y", "det_x"], "left")
-    total = F.coalesce(F.sum(F.col("w") * F.col(value)), F.lit(0)) / (scale * scale)
-    return met.groupBy(*keys).agg(total.alias(value))
+    """``keys, value``: the raster (``det_y, det_x, value``) at each target, a row each."""
+    return tiles.interpolated(targets.select(*keys, y, x), raster, value, y=y, x=x, scale=scale).select(*keys, value)
 
 
 def chunk_contributions(targets: DataFrame, chunk_map: DataFrame, keys: Sequence[str], *, y: str = "map_y", x: str = "map_x", scale: int = 1) -> DataFrame:
     """``keys, chunk, share``: the bilinear weight of each chunk (0 and up) at each target, where it is over 0."""
-    met = corners(targets.select(*keys, y, x), y=y, x=x, scale=scale).join(chunk_map.select("det_y", "det_x", "chunk").where("chunk >= 0"), ["det_y", "det_x"])
-    return met.groupBy(*keys, "chunk").agg((F.sum("w") / (scale * scale)).alias("share"))
+    return tiles.shares(targets.select(*keys, y, x), chunk_map, y=y, x=x, scale=scale).select(*keys, "chunk", "share")
 
 
 def resampled_mask(targets: DataFrame, raster: DataFrame, keys: Sequence[str], *, dq: str = "dq", threshold: float = 0.01, scale: int = 1, y: str = "map_y", x: str = "map_x") -> DataFrame:
-    """``keys, dq``: a bit is set where the bilinear weight of cells that have it is over ``threshold``. Only set bits make rows."""
-    bits = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda b: F.expr(f"{dq} & {WORD}").bitwiseAND(F.lit(1).cast("bigint") * F.pow(F.lit(2.0), b).cast("bigint")) != 0)
-    set_ = raster.where(F.col(dq).bitwiseAND(F.lit(WORD)) != 0).select("det_y", "det_x", F.explode(bits).alias("bit"))
-    spread = corners(targets.select(*keys, y, x), y=y, x=x, scale=scale).join(set_, ["det_y", "det_x"]).groupBy(*keys, "bit").agg(F.sum("w").alias("w"))
-    word = spread.where(F.col("w") > threshold * scale * scale).groupBy(*keys).agg(F.sum(F.pow(F.lit(2.0), "bit").cast("bigint")).alias(dq))
-    return targets.select(*keys).distinct().join(word, list(keys), "left").withColumn(dq, F.coalesce(dq, F.lit(0)))
+    """``keys, dq``: a bit is set where the bilinear weight of cells that have it is over ``threshold``."""
+    return tiles.mask(targets.select(*keys, y, x), raster, dq, threshold=threshold, y=y, x=x, scale=scale).select(*keys, dq)
 
 
 def gather_chunks(grid: DataFrame, values: DataFrame, *, chunk: str = "chunk") -> DataFrame:

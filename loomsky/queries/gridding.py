@@ -10,28 +10,29 @@ from . import query
 
 POINT = ["frame", "ord", "line", "pix"]
 
+#: observations are targets each by itself, also where two share a key
 _CORNERS = """corner AS (
-  SELECT frame, ord, line, pix, map_y // 100 + a AS det_y, map_x // 100 + b AS det_x,
+  SELECT r, frame, ord, line, pix, map_y // 100 + a AS det_y, map_x // 100 + b AS det_x,
          (CASE WHEN a = 1 THEN map_y % 100 ELSE 100 - map_y % 100 END) * (CASE WHEN b = 1 THEN map_x % 100 ELSE 100 - map_x % 100 END) AS k
-  FROM obs CROSS JOIN (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b))"""
+  FROM (SELECT row_number() OVER () AS r, * FROM obs) CROSS JOIN (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b))"""
 
 
 @query(f"""WITH {OBS_SQL}, {GRID_SQL}, {_CORNERS}
-SELECT frame, ord, line, pix, CAST(sum(coalesce(k * raster, 0)) AS DOUBLE) / 10000e0 AS raster FROM corner LEFT JOIN grid USING (det_y, det_x) GROUP BY ALL""")
+SELECT frame, ord, line, pix, CAST(sum(coalesce(k * raster, 0)) AS DOUBLE) / 10000e0 AS raster FROM corner LEFT JOIN grid USING (det_y, det_x) GROUP BY r, frame, ord, line, pix""")
 def bilinear_resample(spark, sf_dir):
     return resample.bilinear(obs(spark, sf_dir), grid(spark, sf_dir), POINT, scale=100)
 
 
 @query(f"""WITH {OBS_SQL}, {GRID_SQL}, {_CORNERS}
-SELECT frame, ord, line, pix, chunk, CAST(sum(k) AS DOUBLE) / 10000e0 AS share FROM corner JOIN grid USING (det_y, det_x) WHERE k > 0 GROUP BY ALL""")
+SELECT frame, ord, line, pix, chunk, CAST(sum(k) AS DOUBLE) / 10000e0 AS share FROM corner JOIN grid USING (det_y, det_x) WHERE k > 0 GROUP BY r, frame, ord, line, pix, chunk""")
 def chunk_contrib(spark, sf_dir):
     return resample.chunk_contributions(obs(spark, sf_dir), grid(spark, sf_dir), POINT, scale=100)
 
 
 @query(f"""WITH {OBS_SQL}, {GRID_SQL}, {_CORNERS}, bits AS (SELECT det_y, det_x, b FROM grid CROSS JOIN (SELECT unnest(range(6)) AS b) WHERE ((chunk >> b) & 1) = 1),
-s AS (SELECT frame, ord, line, pix, b, sum(k) AS k FROM corner JOIN bits USING (det_y, det_x) GROUP BY ALL),
-m AS (SELECT frame, ord, line, pix, CAST(sum(1 << b) AS BIGINT) AS dq FROM s WHERE k > 100 GROUP BY ALL)
-SELECT o.frame, o.ord, o.line, o.pix, coalesce(m.dq, 0) AS dq FROM (SELECT DISTINCT frame, ord, line, pix FROM obs) o LEFT JOIN m USING (frame, ord, line, pix)""")
+s AS (SELECT r, b, sum(k) AS k FROM corner JOIN bits USING (det_y, det_x) GROUP BY r, b),
+m AS (SELECT r, CAST(sum(1 << b) AS BIGINT) AS dq FROM s WHERE k > 100 GROUP BY r)
+SELECT o.frame, o.ord, o.line, o.pix, coalesce(m.dq, 0) AS dq FROM (SELECT DISTINCT r, frame, ord, line, pix FROM corner) o LEFT JOIN m USING (r)""")
 def interp_dq(spark, sf_dir):
     flags = grid(spark, sf_dir).withColumnRenamed("chunk", "dq")
     return resample.resampled_mask(obs(spark, sf_dir), flags, POINT, scale=100)

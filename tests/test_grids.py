@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomsky.functions import geometry
-from loomsky.operators import chunks, prepare, reproject, resample, spectral, splines
+from loomsky.operators import chunks, prepare, reproject, resample, spectral, splines, tiles
 
 
 def raster(spark, values):
@@ -24,8 +24,8 @@ def test_bilinear_inside_on_the_edge_and_outside(spark):
 
 def test_corner_weights_sum_to_one(spark):
     t = spark.createDataFrame([(i, 0.1 * i, 0.37 * i) for i in range(9)], "id int, map_y double, map_x double")
-    sums = resample.corners(t).groupBy("id").agg(F.sum("w").alias("w")).collect()
-    assert all(r.w == pytest.approx(1) for r in sums)
+    met = tiles.corners(t, raster(spark, np.ones((3, 4))), ["raster"])
+    assert all(r.w == pytest.approx(1) for r in met.rows.select(sum(met.weights).alias("w")).collect())
 
 
 def test_upscaling_keeps_corners(spark):
