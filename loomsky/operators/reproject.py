@@ -1,20 +1,29 @@
-"""Reprojection of exposures onto the reference frame: bilinear, or exact by areas of overlap.
+"""Reprojection of exposures onto the reference frame: bilinear, exact by areas of overlap, or adaptive by a kernel of the mapping's shape.
 
-The detector's and the reference frame's tangent planes are the geometry. An exposure is a row of placement parameters; its pixels are a long
-table. Coordinates are column expressions; only the areas of overlap are numpy, in batches of pixels.
+The detector's and the reference frame's planes are tangent planes, so what takes a pixel of one to the other is a homography: three linear forms
+and two divisions, with no angles. Each exposure's is worked out once. A detector pixel then gives to the reference pixels about it that need it, all in
+column expressions, and one aggregation by reference pixel adds up: nothing is joined but a row for each exposure.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Frame, from_plane, plane
 
+#: bytes of exposures' rows, counted first, up to which they are broadcast
+SMALL = 64 << 20
+#: areas of overlap under this part of a pixel are rounding
+SLIVER = 1e-9
+#: of the adaptive kernel: where its Gaussian falls to exp(-2), and where it ends, in pixels of the larger of the two rasters
+KERNEL_WIDTH, KERNEL_REACH = 1.3, 2.0
+
+Matrix = list[list[Column]]
+
 
 def _apply(cd: tuple[str, str, str, str], a: Column, b: Column) -> tuple[Column, Column]:
     m = [F.col(c) for c in cd]
@@ -39,73 +48,226 @@ def to_detector(targets: DataFrame, frame: Frame, *, y: str = "ref_y", x: str =
     return targets.withColumns({out[0]: dy + F.col("py"), out[1]: dx + F.col("px")})
 
 
-def targets(exposures: DataFrame, frame: Frame, width: int) -> DataFrame:
-    """``frame`` and placement of each exposure with the reference pixels of a square of ``width`` about its centre, inside the reference frame."""
-    ra, dec = F.col("ra0"), F.col("dec0")
-    cx, cy = frame.pixel(ra, dec)
-    placed = exposures.withColumns({"_y": (cy - width // 2).cast("int"), "_x": (cx - width // 2).cast("int")})
-    rows = placed.withColumn("ref_y", F.explode(F.sequence(F.greatest("_y", F.lit(0)), F.least(F.col("_y") + width - 1, F.lit(frame.ny - 1)))))
-    cells = rows.withColumn("ref_x", F.explode(F.sequence(F.greatest("_x", F.lit(0)), F.least(F.col("_x") + width - 1, F.lit(frame.nx - 1)))))
-    return cells.where("ref_y >= _y and ref_x >= _x and ref_y < _y + {0} and ref_x < _x + {0}".format(width)).drop("_y", "_x")
-
-
-def interpolated(exposures: DataFrame, pixels: DataFrame, frame: Frame, width: int, *, values: tuple[str, ...] = ("value",), dq: str | None = "dq", threshold: float = 0.01) -> DataFrame:
-    """``frame, ref_y, ref_x, map_y, map_x, values, dq`` by bilinear interpolation; pixels outside the detector are left out. A mask's bit is set where
-    the weight of flagged cells is over ``threshold``. ``pixels`` are ``frame, det_y, det_x`` and the values and masks."""
-    at = to_detector(targets(exposures, frame, width), frame).select("frame", "ref_y", "ref_x", "map_y", "map_x")
-    fy, fx = F.col("map_y") - F.floor("map_y"), F.col("map_x") - F.floor("map_x")
-    four = F.array(*[
-        F.struct((F.floor("map_y") + a).alias("det_y"), (F.floor("map_x") + b).alias("det_x"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w"))
-        for a in (0, 1) for b in (0, 1)
-    ])
-    spread = at.withColumn("c", F.explode(F.filter(four, lambda c: c.w > 0))).select("frame", "ref_y", "ref_x", "map_y", "map_x", "c.*")
-    met = spread.join(pixels, ["frame", "det_y", "det_x"])
-    bits = [F.when(F.sum(F.when(F.getbit(F.col(dq).cast("bigint"), F.lit(b)) == 1, F.col("w")).otherwise(0.0)) > threshold, 1 << b).otherwise(0) for b in range(32)] if dq else []
-    mask = [sum(bits[1:], bits[0]).cast("bigint").alias(dq)] if dq else []
-    return met.groupBy("frame", "ref_y", "ref_x", "map_y", "map_x").agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values], *mask)
-
-
-def overlap(quad: np.ndarray, y: int, x: int) -> float:
-    """Area of a convex quadrilateral (4, 2: y, x) inside the unit cell about (y, x)."""
-    poly = [tuple(p) for p in quad]
-    for axis, edge, sign in ((0, y - 0.5, 1), (0, y + 0.5, -1), (1, x - 0.5, 1), (1, x + 0.5, -1)):
-        out = []
-        for p, q in zip(poly, poly[1:] + poly[:1]):
-            a, b = sign * (p[axis] - edge), sign * (q[axis] - edge)
-            if a >= 0:
-                out.append(p)
-            if (a > 0 > b) or (a < 0 < b):
-                t = a / (a - b)
-                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        poly = out
-        if not poly:
-            return 0.0
-    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(poly, poly[1:] + poly[:1]))) / 2
-
-
-def exact(exposures: DataFrame, pixels: DataFrame, frame: Frame, *, value: str = "value") -> DataFrame:
-    """``frame, ref_y, ref_x, value, foot``: means of the detector pixels weighed by their areas in each reference pixel; ``foot`` is the area covered."""
-    placed = pixels.join(exposures, "frame")
-    corner = []
-    for k, (dy, dx) in enumerate(((-0.5, -0.5), (-0.5, 0.5), (0.5, 0.5), (0.5, -0.5))):
-        shifted = placed if k == 0 else placed
-        placed = to_reference(shifted.withColumns({"_cy": F.col("det_y") + dy, "_cx": F.col("det_x") + dx}), frame, y="_cy", x="_cx", out=(f"_y{k}", f"_x{k}"))
-        corner += [f"_y{k}", f"_x{k}"]
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for f, v, *c in pdf.itertuples(index=False):
-                q = np.array(c, float).reshape(4, 2)
-                if not np.isfinite(q).all():
-                    continue
-                lo, hi = np.floor(q.min(0) + 0.5).astype(int), np.floor(q.max(0) + 0.5).astype(int)
-                for yy in range(max(0, lo[0]), min(frame.ny - 1, hi[0]) + 1):
-                    for xx in range(max(0, lo[1]), min(frame.nx - 1, hi[1]) + 1):
-                        if (a := overlap(q, yy, xx)) > 0:
-                            rows.append((f, yy, xx, a, a * v))
-            yield pd.DataFrame(rows, columns=["frame", "ref_y", "ref_x", "_a", "_av"])
-
-    kind = dict(pixels.dtypes)["frame"]
-    parts = placed.select("frame", F.col(value).cast("double"), *corner).mapInPandas(spread, f"frame {kind}, ref_y int, ref_x int, _a double, _av double")
-    return parts.groupBy("frame", "ref_y", "ref_x").agg((F.sum("_av") / F.sum("_a")).alias(value), F.sum("_a").alias("foot"))
+def _product(a: Sequence[Sequence], b: Sequence[Sequence]) -> list[list]:
+    return [[a[i][0] * b[0][j] + a[i][1] * b[1][j] + a[i][2] * b[2][j] for j in range(3)] for i in range(3)]
+
+
+def _axes(ra: float, dec: float) -> list[list[float]]:
+    """East, north and outward at a place on the sphere."""
+    a, d = math.radians(ra), math.radians(dec)
+    return [
+        [-math.sin(a), math.cos(a), 0.0], [-math.sin(d) * math.cos(a), -math.sin(d) * math.sin(a), math.cos(d)],
+        [math.cos(d) * math.cos(a), math.cos(d) * math.sin(a), math.sin(d)],
+    ]
+
+
+def placements(exposures: DataFrame, frame: Frame, width: int | None = None) -> DataFrame:
+    """``frame``, the homography from reference pixels to detector pixels ``h0`` to ``h8``, its inverse ``g0`` to ``g8``, and the first pixels
+    ``_oy, _ox`` of the square of ``width`` about the exposure's centre."""
+    (a, b), (c, d) = frame.cd
+    x0, y0 = frame.crpix[0] - 1, frame.crpix[1] - 1
+    r = math.pi / 180
+    to_plane = [[a * r, b * r, -(a * x0 + b * y0) * r], [c * r, d * r, -(c * x0 + d * y0) * r], [0.0, 0.0, 1.0]]
+    east, north, out = _axes(*frame.crval)
+    sky = _product([[east[i], north[i], out[i]] for i in range(3)], to_plane)  # a reference pixel's direction
+    ra, dec = F.radians("ra0"), F.radians("dec0")
+    zero = F.lit(0.0)
+    axes = [
+        [-F.sin(ra), F.cos(ra), zero], [-F.sin(dec) * F.cos(ra), -F.sin(dec) * F.sin(ra), F.cos(dec)],
+        [F.cos(dec) * F.cos(ra), F.cos(dec) * F.sin(ra), F.sin(dec)],
+    ]
+    turned = exposures.withColumns({f"_m{3 * i + j}": v for i, row in enumerate(_product(axes, [[F.lit(v) for v in row] for row in sky])) for j, v in enumerate(row)})
+    det = (F.col("cd11") * F.col("cd22") - F.col("cd12") * F.col("cd21")) * r
+    forms = {}
+    for j in range(3):
+        xi, eta, w = (F.col(f"_m{3 * i + j}") for i in range(3))
+        forms[f"h{j}"] = (F.col("cd22") * xi - F.col("cd12") * eta) / det + F.col("px") * w
+        forms[f"h{3 + j}"] = (F.col("cd11") * eta - F.col("cd21") * xi) / det + F.col("py") * w
+        forms[f"h{6 + j}"] = w
+    placed = turned.withColumns(forms)
+    h = _matrix("h")
+    minor = [[h[(j + 1) % 3][(i + 1) % 3] * h[(j + 2) % 3][(i + 2) % 3] - h[(j + 1) % 3][(i + 2) % 3] * h[(j + 2) % 3][(i + 1) % 3] for j in range(3)] for i in range(3)]
+    whole = h[0][0] * minor[0][0] + h[0][1] * minor[1][0] + h[0][2] * minor[2][0]
+    placed = placed.withColumns({f"g{3 * i + j}": minor[i][j] / whole for i in range(3) for j in range(3)})
+    cx, cy = frame.pixel(F.col("ra0"), F.col("dec0"))
+    half = width // 2 if width else 0
+    origin = [(cy - half).cast("int").alias("_oy"), (cx - half).cast("int").alias("_ox")]
+    return placed.select("frame", *[f"h{i}" for i in range(9)], *[f"g{i}" for i in range(9)], *origin)
+
+
+def _matrix(name: str) -> Matrix:
+    return [[F.col(f"{name}{3 * i + j}") for j in range(3)] for i in range(3)]
+
+
+def _mapped(m: Matrix, y: Column, x: Column) -> tuple[Column, Column]:
+    """(y, x) through a homography; null where it is beyond the horizon."""
+    w = m[2][0] * x + m[2][1] * y + m[2][2]
+    w = F.when(w > 0, w)
+    return (m[1][0] * x + m[1][1] * y + m[1][2]) / w, (m[0][0] * x + m[0][1] * y + m[0][2]) / w
+
+
+def _derivatives(m: Matrix, y: Column, x: Column, to_y: Column, to_x: Column) -> tuple[Column, Column, Column, Column]:
+    """dy'/dy, dy'/dx, dx'/dy, dx'/dx of a homography at (y, x), which it takes to (to_y, to_x)."""
+    w = m[2][0] * x + m[2][1] * y + m[2][2]
+    return (
+        (m[1][1] - to_y * m[2][1]) / w, (m[1][0] - to_y * m[2][0]) / w, (m[0][1] - to_x * m[2][1]) / w, (m[0][0] - to_x * m[2][0]) / w,
+    )
+
+
+def _few(exposures: DataFrame, frame: Frame, width: int | None) -> DataFrame:
+    """The exposures' placements, broadcast while they are few: then neither pixels nor targets are shuffled for them."""
+    rows = placements(exposures, frame, width)
+    return F.broadcast(rows) if exposures.count() * 16 * len(rows.columns) <= SMALL else rows
+
+
+def _about(placed: DataFrame, frame: Frame, width: int | None, y_from: Column, y_to: Column, x_from: Column, x_to: Column) -> DataFrame:
+    """A row for each reference pixel from ``y_from`` to ``y_to`` and ``x_from`` to ``x_to``, inside the frame and the exposure's square."""
+    low_y, low_x, high_y, high_x = F.lit(0), F.lit(0), F.lit(frame.ny - 1), F.lit(frame.nx - 1)
+    if width:
+        low_y, low_x = F.greatest(low_y, "_oy"), F.greatest(low_x, "_ox")
+        high_y, high_x = F.least(high_y, F.col("_oy") + width - 1), F.least(high_x, F.col("_ox") + width - 1)
+    box = placed.withColumns({
+        "_y1": F.greatest(F.ceil(y_from), low_y), "_y2": F.least(F.floor(y_to), high_y), "_x1": F.greatest(F.ceil(x_from), low_x), "_x2": F.least(F.floor(x_to), high_x),
+    }).where("_y1 <= _y2 and _x1 <= _x2")
+    rows = box.withColumn("ref_y", F.explode(F.sequence("_y1", "_y2")))
+    return rows.withColumn("ref_x", F.explode(F.sequence("_x1", "_x2"))).drop("_y1", "_y2", "_x1", "_x2")
+
+
+def _bounded(points: Sequence[tuple[Column, Column]]) -> tuple[Column, Column, Column, Column]:
+    ys, xs = zip(*points)
+    return F.least(*ys), F.greatest(*ys), F.least(*xs), F.greatest(*xs)
+
+
+_CORNERS = ((-1, -1), (-1, 1), (1, 1), (1, -1))
+
+
+def _bilinear(placed: DataFrame, frame: Frame, width: int | None) -> DataFrame:
+    """``placed`` pixels, a row for each reference pixel that interpolates with them, with their weight ``_w``."""
+    g = _matrix("g")
+    box = _bounded([_mapped(g, F.col("det_y") + a, F.col("det_x") + b) for a, b in _CORNERS])
+    near = _about(placed, frame, width, *box)
+    y, x = _mapped(_matrix("h"), F.col("ref_y"), F.col("ref_x"))
+    near = near.withColumns({"_v": 1 - F.abs(y - F.col("det_y")), "_u": 1 - F.abs(x - F.col("det_x"))}).where("_v > 0 and _u > 0")
+    return near.withColumn("_w", F.col("_v") * F.col("_u"))
+
+
+def _masks(placed: DataFrame, frame: Frame, width: int | None, dq: str, threshold: float) -> DataFrame:
+    """``frame, ref_y, ref_x, dq`` where a flag's interpolated weight is over ``threshold``; only flags that are set make rows."""
+    word = F.col(dq).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda b: F.getbit(word, b) == 1)
+    flagged = _bilinear(placed.where(word != 0), frame, width).select("frame", "ref_y", "ref_x", "_w", F.explode(bits).alias("_bit"))
+    heavy = flagged.groupBy("frame", "ref_y", "ref_x", "_bit").agg(F.sum("_w").alias("_w")).where(F.col("_w") > threshold)
+    return heavy.groupBy("frame", "ref_y", "ref_x").agg(F.bit_or(F.pow(F.lit(2.0), "_bit").cast("bigint")).alias(dq))
+
+
+def _finished(found: DataFrame, rows: DataFrame, placed: DataFrame, frame: Frame, width: int | None, dq: str | None, threshold: float) -> DataFrame:
+    """``found`` with the detector's places and the mask."""
+    y, x = _mapped(_matrix("h"), F.col("ref_y"), F.col("ref_x"))
+    out = found.join(rows, "frame").withColumns({"map_y": y, "map_x": x}).select(*found.columns, "map_y", "map_x")
+    if dq:
+        out = out.join(_masks(placed, frame, width, dq, threshold), ["frame", "ref_y", "ref_x"], "left").withColumn(dq, F.coalesce(dq, F.lit(0).cast("bigint")))
+    return out
+
+
+def interpolated(
+    exposures: DataFrame, pixels: DataFrame, frame: Frame, width: int | None = None, *, values: tuple[str, ...] = ("value",), dq: str | None = "dq", threshold: float = 0.01
+) -> DataFrame:
+    """``frame, ref_y, ref_x, values, foot, map_y, map_x, dq`` by bilinear interpolation; pixels outside the detector, or outside a square of ``width``
+    about the exposure's centre, are left out.
+
+    ``exposures`` are as ``to_reference`` says, with ``frame``; ``pixels`` are ``frame, det_y, det_x`` and the values and masks. ``foot`` is the weight of
+    the detector pixels that there are, of 1. Pixels without a column ``dq`` give no masks. A mask's bit is set where the weight of flagged cells is over ``threshold``. A value that is NaN makes all NaN that it
+    has weight in."""
+    dq = dq if dq in pixels.columns else None
+    rows = _few(exposures, frame, width)
+    placed = pixels.join(rows, "frame")
+    parts = _bilinear(placed, frame, width)
+    found = parts.groupBy("frame", "ref_y", "ref_x").agg(*[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values], F.sum("_w").alias("foot"))
+    return _finished(found, rows, placed, frame, width, dq, threshold)
+
+
+def overlap(quad: Sequence[tuple[Column, Column]]) -> Column:
+    """Area of a quadrilateral, corners (y, x) in order, inside the cell about (``ref_y, ref_x``): under each edge, cut to the cell's width, the
+    mean height over the cell's floor, held between floor and ceiling."""
+    one, zero = F.lit(1.0), F.lit(0.0)
+    inside: Callable[[Column], Column] = lambda v: F.least(F.greatest(v, zero), one)
+    floor, left = F.col("ref_y") - 0.5, F.col("ref_x") - 0.5
+    total = zero
+    for (y1, x1), (y2, x2) in zip(quad, [*quad[1:], quad[0]]):
+        xa, xb = inside(x1 - left), inside(x2 - left)
+        slope = (y2 - y1) / (x2 - x1)
+        va, vb = y1 - floor + (xa + left - x1) * slope, y1 - floor + (xb + left - x1) * slope
+        low, high = F.least(va, vb), F.greatest(va, vb)
+        a, b = inside(low), inside(high)
+        mean = F.when(high - low < 1e-12, a).otherwise(((b - a) * (a + b) / 2 + F.greatest(high - F.greatest(low, one), zero)) / (high - low))
+        total = total + F.when(xa == xb, zero).otherwise((xb - xa) * mean)
+    return F.abs(total)
+
+
+def exact(
+    exposures: DataFrame, pixels: DataFrame, frame: Frame, width: int | None = None, *, values: tuple[str, ...] = ("value",), dq: str | None = "dq", threshold: float = 0.01
+) -> DataFrame:
+    """As ``interpolated``, the values being means of the detector pixels weighed by their areas in each reference pixel; ``foot`` is the area covered. Masks
+    are interpolated."""
+    dq = dq if dq in pixels.columns else None
+    rows = _few(exposures, frame, width)
+    placed = pixels.join(rows, "frame")
+    g = _matrix("g")
+    sides = {}
+    for k, (a, b) in enumerate(_CORNERS):
+        sides[f"_qy{k}"], sides[f"_qx{k}"] = _mapped(g, F.col("det_y") + a / 2, F.col("det_x") + b / 2)
+    quad = [(F.col(f"_qy{k}"), F.col(f"_qx{k}")) for k in range(4)]
+    y1, y2, x1, x2 = _bounded(quad)
+    near = _about(placed.withColumns(sides), frame, width, y1 - 0.5, y2 + 0.5, x1 - 0.5, x2 + 0.5)
+    near = near.select("frame", "ref_y", "ref_x", *values, overlap(quad).alias("_a")).where(F.col("_a") > SLIVER)
+    found = near.groupBy("frame", "ref_y", "ref_x").agg(*[(F.sum(F.col("_a") * F.col(v)) / F.sum("_a")).alias(v) for v in values], F.sum("_a").alias("foot"))
+    return _finished(found, rows, placed, frame, width, dq, threshold)
+
+
+def adaptive(
+    exposures: DataFrame, pixels: DataFrame, frame: Frame, width: int | None = None, *, values: tuple[str, ...] = ("value",), dq: str | None = "dq", threshold: float = 0.01,
+    conserve_flux: bool = False, least_foot: float = 0.5,
+) -> DataFrame:
+    """As ``interpolated``, the values being means under a Gaussian of the shape that a reference pixel has on the detector (DeForest, 2004).
+
+    The shape is the mapping's Jacobian with singular values under 1 taken as 1, so that no kernel is smaller than a pixel of either raster. The
+    Gaussian falls to exp(-2) at 1.3 pixels and ends at 2. ``foot`` is the part of the kernel that lies on detector pixels; below ``least_foot`` there is no
+    row. ``conserve_flux`` multiplies by the area of a reference pixel in detector pixels, so that sums of pixels are kept, not their mean."""
+    dq = dq if dq in pixels.columns else None
+    rows = _few(exposures, frame, width)
+    placed = pixels.join(rows, "frame")
+    g, h = _matrix("g"), _matrix("h")
+    placed = placed.withColumns(dict(zip(("_cy", "_cx"), _mapped(g, F.col("det_y"), F.col("det_x")))))
+    a, b, c, d = _derivatives(g, F.col("det_y"), F.col("det_x"), F.col("_cy"), F.col("_cx"))
+    # the largest singular value, and some room for its change over the kernel
+    placed = placed.withColumns({"_s": (a * a + b * b + c * c + d * d) / 2, "_t": a * d - b * c})
+    stretch = F.sqrt(F.col("_s") + F.sqrt(F.greatest(F.col("_s") * F.col("_s") - F.col("_t") * F.col("_t"), F.lit(0.0))))
+    placed = placed.withColumn("_reach", KERNEL_REACH * 1.02 * F.greatest(stretch, F.lit(1.0)))
+    near = _about(placed, frame, width, *[F.col(v) + s * F.col("_reach") for v in ("_cy", "_cx") for s in (-1, 1)])
+    near = near.withColumns(dict(zip(("_py", "_px"), _mapped(h, F.col("ref_y"), F.col("ref_x")))))
+    near = near.withColumns(dict(zip(("_yy", "_yx", "_xy", "_xx"), _derivatives(h, F.col("ref_y"), F.col("ref_x"), F.col("_py"), F.col("_px")))))
+    yy, yx, xy, xx = (F.col(v) for v in ("_yy", "_yx", "_xy", "_xx"))
+    # J J' has the squared singular values; 1 / max(1, .) of it is a I + b J J'
+    near = near.withColumns({"_p": yy * yy + yx * yx, "_q": yy * xy + yx * xx, "_r": xy * xy + xx * xx})
+    p, q, r = (F.col(v) for v in ("_p", "_q", "_r"))
+    near = near.withColumn("_rad", F.sqrt((p - r) * (p - r) / 4 + q * q))
+    big, little = (p + r) / 2 + F.col("_rad"), (p + r) / 2 - F.col("_rad")
+    near = near.withColumns({"_big": F.greatest(big, F.lit(1.0)), "_little": F.greatest(little, F.lit(1.0))})
+    slope = F.when(F.col("_rad") > 1e-12 * big, (1 / F.col("_big") - 1 / F.col("_little")) / (2 * F.col("_rad"))).otherwise(0.0)
+    dy, dx = F.col("_py") - F.col("det_y"), F.col("_px") - F.col("det_x")
+    near = near.withColumns({"_m": slope, "_dy": dy, "_dx": dx})
+    dy, dx = F.col("_dy"), F.col("_dx")
+    far = (1 / F.col("_big") - F.col("_m") * big) * (dy * dy + dx * dx) + F.col("_m") * (dy * dy * p + 2 * dy * dx * q + dx * dx * r)
+    near = near.withColumn("_far", far).where(F.col("_far") <= KERNEL_REACH**2)
+    whole = math.pi * KERNEL_WIDTH**2 / 2 * (1 - math.exp(-2 * KERNEL_REACH**2 / KERNEL_WIDTH**2))
+    near = near.select(
+        "frame", "ref_y", "ref_x", *values, F.exp(F.col("_far") * (-2 / KERNEL_WIDTH**2)).alias("_w"), (whole * F.sqrt(F.col("_big") * F.col("_little"))).alias("_whole"),
+        F.abs(yy * xx - yx * xy).alias("_area"),
+    )
+    scale = F.first("_area") if conserve_flux else F.lit(1.0)
+    means = [(F.sum(F.col("_w") * F.col(v)) / F.sum("_w") * scale).alias(v) for v in values]
+    found = near.groupBy("frame", "ref_y", "ref_x").agg(*means, (F.sum("_w") / F.first("_whole")).alias("foot")).where(F.col("foot") >= least_foot)
+    return _finished(found, rows, placed, frame, width, dq, threshold)
+
+
+METHODS = {"interp": interpolated, "exact": exact, "adaptive": adaptive}

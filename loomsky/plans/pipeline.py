@@ -67,14 +67,11 @@ class Reprojector:
         sinks.write_reference_frame(self.spark, frame, self.config.ref_path)
         return frame
 
-    def run(self, exposures: DataFrame, pixels: DataFrame, frame: Frame, width: int, *, method: str = "interp", replace_existing: bool = False) -> None:
-        """Reproject and store the frames that aren't stored yet."""
-        if method == "interp":
-            found = reproject.interpolated(exposures, pixels, frame, width)
-        elif method == "exact":
-            found = reproject.exact(exposures, pixels, frame)
-        else:
-            raise ValueError(f"method {method!r} is neither interp nor exact")
+    def run(self, exposures: DataFrame, pixels: DataFrame, frame: Frame, width: int, *, method: str = "interp", replace_existing: bool = False, **options) -> None:
+        """Reproject and store the frames that aren't stored yet: by ``interp``, ``exact`` or ``adaptive``, with its ``options``."""
+        if method not in reproject.METHODS:
+            raise ValueError(f"method {method!r} is none of {sorted(reproject.METHODS)}")
+        found = reproject.METHODS[method](exposures, pixels, frame, width, **options)
         sinks.write_frames(found, self.config.frames_path, replace_existing=replace_existing)
 
     def frames(self) -> DataFrame:

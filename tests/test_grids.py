@@ -153,11 +153,6 @@ def test_reprojection_of_an_aligned_exposure(spark):
     assert sum(r.foot for r in areas.values()) == pytest.approx(49, abs=0.01)
 
 
-def test_overlap_area():
-    assert reproject.overlap(np.array([[0.0, 0.0], [0.0, 1.0], [1.0, 1.0], [1.0, 0.0]]), 0, 0) == pytest.approx(0.25)
-    assert reproject.overlap(np.array([[5.0, 5.0], [5.0, 6.0], [6.0, 6.0], [6.0, 5.0]]), 0, 0) == 0
-
-
 def test_preparation_order(spark):
     rows = [(0, 0, 0, 5.0, 0, 0.0, 0.0, 0), (0, 0, 1, 6.0, 1, 0.0, 1.0, 1), (0, 0, 2, float("nan"), 0, 0.0, 1.0, 1)]
     df = spark.createDataFrame(rows, "frame int, ref_y int, ref_x int, value double, dq long, map_y double, map_x double, chunk long")
