@@ -8,7 +8,7 @@ column expressions, and one aggregation by reference pixel adds up: nothing is j
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,19 +99,26 @@ def _matrix(name: str) -> Matrix:
     return [[F.col(f"{name}{3 * i + j}") for j in range(3)] for i in range(3)]
 
 
-def _mapped(m: Matrix, y: Column, x: Column) -> tuple[Column, Column]:
-    """(y, x) through a homography; null where it is beyond the horizon."""
-    w = m[2][0] * x + m[2][1] * y + m[2][2]
-    w = F.when(w > 0, w)
-    return (m[1][0] * x + m[1][1] * y + m[1][2]) / w, (m[0][0] * x + m[0][1] * y + m[0][2]) / w
+def _mapped(df: DataFrame, name: str, points: dict[tuple[str, str], tuple[Column, Column]]) -> DataFrame:
+    """``df`` with places (y, x) taken through a homography, as columns of the names that ``points`` has for them; null beyond the horizon. The divisors come first,
+    for each to be worked out once."""
+    m = _matrix(name)
+    divisors = {f"_over_{y}": m[2][0] * at_x + m[2][1] * at_y + m[2][2] for (y, _), (at_y, at_x) in points.items()}
+    df = df.withColumns({k: F.when(w > 0, w) for k, w in divisors.items()})
+    forms = {}
+    for (y, x), (at_y, at_x) in points.items():
+        forms[y] = (m[1][0] * at_x + m[1][1] * at_y + m[1][2]) / F.col(f"_over_{y}")
+        forms[x] = (m[0][0] * at_x + m[0][1] * at_y + m[0][2]) / F.col(f"_over_{y}")
+    return df.withColumns(forms)
 
 
-def _derivatives(m: Matrix, y: Column, x: Column, to_y: Column, to_x: Column) -> tuple[Column, Column, Column, Column]:
-    """dy'/dy, dy'/dx, dx'/dy, dx'/dx of a homography at (y, x), which it takes to (to_y, to_x)."""
-    w = m[2][0] * x + m[2][1] * y + m[2][2]
-    return (
-        (m[1][1] - to_y * m[2][1]) / w, (m[1][0] - to_y * m[2][0]) / w, (m[0][1] - to_x * m[2][1]) / w, (m[0][0] - to_x * m[2][0]) / w,
-    )
+def _derivatives(df: DataFrame, name: str, y: str, x: str, out: Sequence[str]) -> DataFrame:
+    """``df`` with dy'/dy, dy'/dx, dx'/dy, dx'/dx of a homography, as columns ``out``, where ``_mapped`` took a place to (``y``, ``x``)."""
+    m, w = _matrix(name), F.col(f"_over_{y}")
+    return df.withColumns({
+        out[0]: (m[1][1] - F.col(y) * m[2][1]) / w, out[1]: (m[1][0] - F.col(y) * m[2][0]) / w,
+        out[2]: (m[0][1] - F.col(x) * m[2][1]) / w, out[3]: (m[0][0] - F.col(x) * m[2][0]) / w,
+    })
 
 
 def _few(exposures: DataFrame, frame: Frame, width: int | None) -> DataFrame:
@@ -133,9 +140,11 @@ def _about(placed: DataFrame, frame: Frame, width: int | None, y_from: Column, y
     return rows.withColumn("ref_x", F.explode(F.sequence("_x1", "_x2"))).drop("_y1", "_y2", "_x1", "_x2")
 
 
-def _bounded(points: Sequence[tuple[Column, Column]]) -> tuple[Column, Column, Column, Column]:
-    ys, xs = zip(*points)
-    return F.least(*ys), F.greatest(*ys), F.least(*xs), F.greatest(*xs)
+def _corners(placed: DataFrame, reach: float) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``placed`` with the corners of a square of ``reach`` about each pixel, in reference pixels, and their columns' names, in order."""
+    names = [(f"_qy{k}", f"_qx{k}") for k in range(4)]
+    points = {n: (F.col("det_y") + reach * a, F.col("det_x") + reach * b) for n, (a, b) in zip(names, _CORNERS)}
+    return _mapped(placed, "g", points), names
 
 
 _CORNERS = ((-1, -1), (-1, 1), (1, 1), (1, -1))
@@ -143,11 +152,11 @@ _CORNERS = ((-1, -1), (-1, 1), (1, 1), (1, -1))
 
 def _bilinear(placed: DataFrame, frame: Frame, width: int | None) -> DataFrame:
     """``placed`` pixels, a row for each reference pixel that interpolates with them, with their weight ``_w``."""
-    g = _matrix("g")
-    box = _bounded([_mapped(g, F.col("det_y") + a, F.col("det_x") + b) for a, b in _CORNERS])
-    near = _about(placed, frame, width, *box)
-    y, x = _mapped(_matrix("h"), F.col("ref_y"), F.col("ref_x"))
-    near = near.withColumns({"_v": 1 - F.abs(y - F.col("det_y")), "_u": 1 - F.abs(x - F.col("det_x"))}).where("_v > 0 and _u > 0")
+    placed, names = _corners(placed, 1.0)
+    ys, xs = zip(*names)
+    near = _about(placed, frame, width, F.least(*ys), F.greatest(*ys), F.least(*xs), F.greatest(*xs))
+    near = _mapped(near, "h", {("_py", "_px"): (F.col("ref_y"), F.col("ref_x"))})
+    near = near.withColumns({"_v": 1 - F.abs(F.col("_py") - F.col("det_y")), "_u": 1 - F.abs(F.col("_px") - F.col("det_x"))}).where("_v > 0 and _u > 0")
     return near.withColumn("_w", F.col("_v") * F.col("_u"))
 
 
@@ -162,8 +171,7 @@ def _masks(placed: DataFrame, frame: Frame, width: int | None, dq: str, threshol
 
 def _finished(found: DataFrame, rows: DataFrame, placed: DataFrame, frame: Frame, width: int | None, dq: str | None, threshold: float) -> DataFrame:
     """``found`` with the detector's places and the mask."""
-    y, x = _mapped(_matrix("h"), F.col("ref_y"), F.col("ref_x"))
-    out = found.join(rows, "frame").withColumns({"map_y": y, "map_x": x}).select(*found.columns, "map_y", "map_x")
+    out = _mapped(found.join(rows, "frame"), "h", {("map_y", "map_x"): (F.col("ref_y"), F.col("ref_x"))}).select(*found.columns, "map_y", "map_x")
     if dq:
         out = out.join(_masks(placed, frame, width, dq, threshold), ["frame", "ref_y", "ref_x"], "left").withColumn(dq, F.coalesce(dq, F.lit(0).cast("bigint")))
     return out
@@ -186,22 +194,30 @@ def interpolated(
     return _finished(found, rows, placed, frame, width, dq, threshold)
 
 
-def overlap(quad: Sequence[tuple[Column, Column]]) -> Column:
-    """Area of a quadrilateral, corners (y, x) in order, inside the cell about (``ref_y, ref_x``): under each edge, cut to the cell's width, the
-    mean height over the cell's floor, held between floor and ceiling."""
+def with_overlap(df: DataFrame, quad: Sequence[tuple[str, str]], name: str = "_a") -> DataFrame:
+    """``df`` with the area of a quadrilateral, corners (y, x) in order, inside the cell about (``ref_y, ref_x``): under each edge, cut to the cell's
+    width, the mean height over the cell's floor, held between floor and ceiling. In steps, for each to be worked out once."""
     one, zero = F.lit(1.0), F.lit(0.0)
-    inside: Callable[[Column], Column] = lambda v: F.least(F.greatest(v, zero), one)
+
+    def inside(v: Column) -> Column:
+        return F.least(F.greatest(v, zero), one)
+
     floor, left = F.col("ref_y") - 0.5, F.col("ref_x") - 0.5
+    edges = list(enumerate(zip(quad, [*quad[1:], quad[0]])))
+    c = F.col
+    df = df.withColumns({f"_l{k}": inside(c(x) - left) for k, (_, x) in enumerate(quad)})
+    ends = {k: (f"_l{k}", f"_l{(k + 1) % len(quad)}") for k, _ in edges}
+    df = df.withColumns({f"_t{k}": F.try_divide(c(q[0]) - c(p[0]), c(q[1]) - c(p[1])) for k, (p, q) in edges})
+    df = df.withColumns({f"_v{k}{e}": c(p[0]) - floor + (c(ends[k][e]) + left - c(p[1])) * c(f"_t{k}") for k, (p, _) in edges for e in (0, 1)})
+    df = df.withColumns({f"_n{k}": F.least(f"_v{k}0", f"_v{k}1") for k, _ in edges} | {f"_m{k}": F.greatest(f"_v{k}0", f"_v{k}1") for k, _ in edges})
+    df = df.withColumns({f"_i{k}": inside(c(f"_n{k}")) for k, _ in edges} | {f"_j{k}": inside(c(f"_m{k}")) for k, _ in edges})
     total = zero
-    for (y1, x1), (y2, x2) in zip(quad, [*quad[1:], quad[0]]):
-        xa, xb = inside(x1 - left), inside(x2 - left)
-        slope = (y2 - y1) / (x2 - x1)
-        va, vb = y1 - floor + (xa + left - x1) * slope, y1 - floor + (xb + left - x1) * slope
-        low, high = F.least(va, vb), F.greatest(va, vb)
-        a, b = inside(low), inside(high)
-        mean = F.when(high - low < 1e-12, a).otherwise(((b - a) * (a + b) / 2 + F.greatest(high - F.greatest(low, one), zero)) / (high - low))
-        total = total + F.when(xa == xb, zero).otherwise((xb - xa) * mean)
-    return F.abs(total)
+    for k, _ in edges:
+        low, high, a, b = c(f"_n{k}"), c(f"_m{k}"), c(f"_i{k}"), c(f"_j{k}")
+        over = F.greatest(high - F.greatest(low, one), zero)
+        mean = F.when(high - low < 1e-12, a).otherwise(((b - a) * (a + b) / 2 + over) / (high - low))
+        total = total + F.when(c(ends[k][0]) == c(ends[k][1]), zero).otherwise((c(ends[k][1]) - c(ends[k][0])) * mean)
+    return df.withColumn(name, F.abs(total))
 
 
 def exact(
@@ -212,15 +228,13 @@ def exact(
     dq = dq if dq in pixels.columns else None
     rows = _few(exposures, frame, width)
     placed = pixels.join(rows, "frame")
-    g = _matrix("g")
-    sides = {}
-    for k, (a, b) in enumerate(_CORNERS):
-        sides[f"_qy{k}"], sides[f"_qx{k}"] = _mapped(g, F.col("det_y") + a / 2, F.col("det_x") + b / 2)
-    quad = [(F.col(f"_qy{k}"), F.col(f"_qx{k}")) for k in range(4)]
-    y1, y2, x1, x2 = _bounded(quad)
-    near = _about(placed.withColumns(sides), frame, width, y1 - 0.5, y2 + 0.5, x1 - 0.5, x2 + 0.5)
-    near = near.select("frame", "ref_y", "ref_x", *values, overlap(quad).alias("_a")).where(F.col("_a") > SLIVER)
-    found = near.groupBy("frame", "ref_y", "ref_x").agg(*[(F.sum(F.col("_a") * F.col(v)) / F.sum("_a")).alias(v) for v in values], F.sum("_a").alias("foot"))
+    placed_at, quad = _corners(placed, 0.5)
+    ys, xs = zip(*quad)
+    near = _about(placed_at, frame, width, F.least(*ys) - 0.5, F.greatest(*ys) + 0.5, F.least(*xs) - 0.5, F.greatest(*xs) + 0.5)
+    near = with_overlap(near, quad).select("frame", "ref_y", "ref_x", "_a", *values)
+    # a filter before the sums would be pushed below the steps, and work them all out again
+    means = [F.try_divide(F.sum(F.when(F.col("_a") > SLIVER, F.col("_a") * F.col(v))), F.sum("_a")).alias(v) for v in values]
+    found = near.groupBy("frame", "ref_y", "ref_x").agg(*means, F.sum("_a").alias("foot")).where(F.col("foot") > SLIVER)
     return _finished(found, rows, placed, frame, width, dq, threshold)
 
 
@@ -236,16 +250,16 @@ def adaptive(
     dq = dq if dq in pixels.columns else None
     rows = _few(exposures, frame, width)
     placed = pixels.join(rows, "frame")
-    g, h = _matrix("g"), _matrix("h")
-    placed = placed.withColumns(dict(zip(("_cy", "_cx"), _mapped(g, F.col("det_y"), F.col("det_x")))))
-    a, b, c, d = _derivatives(g, F.col("det_y"), F.col("det_x"), F.col("_cy"), F.col("_cx"))
-    # the largest singular value, and some room for its change over the kernel
-    placed = placed.withColumns({"_s": (a * a + b * b + c * c + d * d) / 2, "_t": a * d - b * c})
-    stretch = F.sqrt(F.col("_s") + F.sqrt(F.greatest(F.col("_s") * F.col("_s") - F.col("_t") * F.col("_t"), F.lit(0.0))))
-    placed = placed.withColumn("_reach", KERNEL_REACH * 1.02 * F.greatest(stretch, F.lit(1.0)))
-    near = _about(placed, frame, width, *[F.col(v) + s * F.col("_reach") for v in ("_cy", "_cx") for s in (-1, 1)])
-    near = near.withColumns(dict(zip(("_py", "_px"), _mapped(h, F.col("ref_y"), F.col("ref_x")))))
-    near = near.withColumns(dict(zip(("_yy", "_yx", "_xy", "_xx"), _derivatives(h, F.col("ref_y"), F.col("ref_x"), F.col("_py"), F.col("_px")))))
+    box = _mapped(placed, "g", {("_cy", "_cx"): (F.col("det_y"), F.col("det_x"))})
+    box = _derivatives(box, "g", "_cy", "_cx", ("_gyy", "_gyx", "_gxy", "_gxx"))
+    # the kernel's half height and width in reference pixels are at most these, and some room for the mapping's change over it
+    reach = {
+        f"_reach_{v}": KERNEL_REACH * 1.02 * F.sqrt(1 + F.col(f"_g{v}y") * F.col(f"_g{v}y") + F.col(f"_g{v}x") * F.col(f"_g{v}x")) for v in ("y", "x")
+    }
+    box = box.withColumns(reach)
+    near = _about(box, frame, width, *[F.col(f"_c{v}") + s * F.col(f"_reach_{v}") for v in ("y", "x") for s in (-1, 1)])
+    near = _mapped(near, "h", {("_py", "_px"): (F.col("ref_y"), F.col("ref_x"))})
+    near = _derivatives(near, "h", "_py", "_px", ("_yy", "_yx", "_xy", "_xx"))
     yy, yx, xy, xx = (F.col(v) for v in ("_yy", "_yx", "_xy", "_xx"))
     # J J' has the squared singular values; 1 / max(1, .) of it is a I + b J J'
     near = near.withColumns({"_p": yy * yy + yx * yx, "_q": yy * xy + yx * xx, "_r": xy * xy + xx * xx})
@@ -258,10 +272,10 @@ def adaptive(
     near = near.withColumns({"_m": slope, "_dy": dy, "_dx": dx})
     dy, dx = F.col("_dy"), F.col("_dx")
     far = (1 / F.col("_big") - F.col("_m") * big) * (dy * dy + dx * dx) + F.col("_m") * (dy * dy * p + 2 * dy * dx * q + dx * dx * r)
-    near = near.withColumn("_far", far).where(F.col("_far") <= KERNEL_REACH**2)
+    near = near.withColumn("_far", far)
     whole = math.pi * KERNEL_WIDTH**2 / 2 * (1 - math.exp(-2 * KERNEL_REACH**2 / KERNEL_WIDTH**2))
     near = near.select(
-        "frame", "ref_y", "ref_x", *values, F.exp(F.col("_far") * (-2 / KERNEL_WIDTH**2)).alias("_w"), (whole * F.sqrt(F.col("_big") * F.col("_little"))).alias("_whole"),
+        "frame", "ref_y", "ref_x", *values, F.when(F.col("_far") <= KERNEL_REACH**2, F.exp(F.col("_far") * (-2 / KERNEL_WIDTH**2))).alias("_w"), (whole * F.sqrt(F.col("_big") * F.col("_little"))).alias("_whole"),
         F.abs(yy * xx - yx * xy).alias("_area"),
     )
     scale = F.first("_area") if conserve_flux else F.lit(1.0)

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import coadding, fitting, gridding, solving  # noqa: E402,F401
+from . import coadding, fitting, gridding, reprojecting, solving  # noqa: E402,F401
