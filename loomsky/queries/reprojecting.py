@@ -1,7 +1,7 @@
 """Queries of reprojection: every frame's pixels on a coarser reference frame, by each method.
 
 Exposures share the reference frame's centre and directions, and have pixels 0.625 times as wide, so that their places are affine; each is shifted
-by its own part of a pixel. Values come as whole units, of a hundred cents, feet as millionths, all after adding 0.34567, which ties don't survive.
+by its own part of a pixel. Values come as whole units, of a hundred cents, feet as millionths, all after adding 0.31234, which ties don't survive.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ masks AS (SELECT frame, ref_y, ref_x, CAST(sum(1 << b) AS BIGINT) AS dq FROM hea
 
 def _sql(found: str, reach: int) -> str:
     return f"""WITH {_PLACED.replace("REACH", str(reach))}, found AS ({found})
-SELECT frame, ref_y, ref_x, CAST(floor(value / 100 + 0.34567e0) AS BIGINT) AS units, CAST(floor(foot * 1000000 + 0.34567e0) AS BIGINT) AS foot, coalesce(dq, 0) AS dq,
-  CAST(floor((py + (ref_y - {CENTRE_Y}) / {STEP}e0) * 1000 + 0.34567e0) AS BIGINT) AS map_y, CAST(floor((px + (ref_x - {CENTRE_X}) / {STEP}e0) * 1000 + 0.34567e0) AS BIGINT) AS map_x
+SELECT frame, ref_y, ref_x, CAST(floor(value / 100 + 0.31234e0) AS BIGINT) AS units, CAST(floor(foot * 1000000 + 0.31234e0) AS BIGINT) AS foot, coalesce(dq, 0) AS dq,
+  CAST(floor((py + (ref_y - {CENTRE_Y}) / {STEP}e0) * 1000 + 0.31234e0) AS BIGINT) AS map_y, CAST(floor((px + (ref_x - {CENTRE_X}) / {STEP}e0) * 1000 + 0.31234e0) AS BIGINT) AS map_x
 FROM found JOIN shift USING (frame) LEFT JOIN masks USING (frame, ref_y, ref_x)"""
 
 
@@ -48,7 +48,7 @@ def _reprojected(spark, sf_dir, method: str):
     found = reproject.METHODS[method](exposures, pixels, REFERENCE)
 
     def whole(column: str, scale: float):
-        return F.floor(F.col(column) * scale + 0.34567)
+        return F.floor(F.col(column) * scale + 0.31234)
 
     return found.select(
         "frame", "ref_y", "ref_x", whole("value", 0.01).alias("units"), whole("foot", 1_000_000).alias("foot"), "dq", whole("map_y", 1000).alias("map_y"),
