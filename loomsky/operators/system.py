@@ -31,11 +31,11 @@ def outliers(obs: DataFrame, threshold: float, *, by: Sequence[str] = ("frame",)
 
 def dense_rows(obs: DataFrame, group: str, order: Sequence[str], name: str = "row") -> DataFrame:
     """``obs`` with numbers from 0 on without gaps, by ``group`` and then ``order``. No task numbers more than a group; ``group`` must have
-    few enough values for a list of their sizes."""
+    few enough values for a list of their sizes. The list is dealt by ``group`` as the observations are."""
     before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
     starts = obs.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint") - 1
-    return obs.withColumn("_within", within).join(F.broadcast(starts), group).withColumn(name, F.col("_start") + F.col("_within")).drop("_start", "_within")
+    return obs.withColumn("_within", within).join(starts, group).withColumn(name, F.col("_start") + F.col("_within")).drop("_start", "_within")
 
 
 def sky_column(nx: int, y: str = "ref_y", x: str = "ref_x") -> Column:

@@ -100,7 +100,7 @@ class Calibrator:
         n_sky, seen = self.ny * self.nx, self.obs.where("weight > 0")
         if outlier_threshold:
             seen = system.outliers(seen, outlier_threshold).where("not is_outlier").drop("median", "mad", "is_outlier")
-        order = [c for c in ("ref_y", "ref_x", "chunk") if c in seen.columns]
+        order = [c for c in ("ref_y", "ref_x", "chunk", "value", "weight") if c in seen.columns]  # what ties in all of these is the same row
         share = "share" if "share" in seen.columns else None
         if share:
             once = system.dense_rows(seen.select("frame", "ref_y", "ref_x").distinct(), "frame", ["ref_y", "ref_x"])
@@ -176,7 +176,7 @@ class Mosaicker:
             valid = masks.valid_offsets(self.offsets, threshold=threshold, normalize=normalize)
             preparation["offsets"] = valid.select("frame", "chunk", "value")
             mean_offset = F.lit(valid.agg(F.first("mean_offset")).first()[0])
-            obs = obs.join(F.broadcast(self.frames.select("frame")), "frame", "left_semi") if self.frames is not None else obs
+            obs = obs.join(self.frames.select("frame"), "frame", "left_semi") if self.frames is not None else obs
         kept = prepare.prepare(obs, **preparation).where("weight <> 0").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             passes = {"mean_map": coadd.coadd_mean(kept)}

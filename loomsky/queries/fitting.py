@@ -291,8 +291,8 @@ s AS (SELECT ref_y, ref_x, CAST(sum(w) AS DOUBLE) AS sw, CAST(sum(w * v) AS DOUB
 t AS (SELECT ref_y, ref_x, a / sw AS mean, sqrt(greatest(b / sw - (a / sw) * (a / sw), 0e0)) AS std FROM s)
 SELECT ref_y, ref_x, CASE WHEN sum(k) > 0 THEN CAST(sum(k * v) AS DOUBLE) / CAST(sum(k) AS DOUBLE) ELSE 0e0 END AS data, CAST(sum(k) AS BIGINT) AS weight
 FROM (SELECT ref_y, ref_x, v, CASE WHEN abs(v - mean) <= 2e0 * std THEN w ELSE 0 END AS k FROM d JOIN t USING (ref_y, ref_x)) GROUP BY ref_y, ref_x""")
-def calibrate_and_coadd(spark, sf_dir):
-    """The offsets' first guess, taken off, and the clipped mean of what is left."""
+def guess_and_coadd(spark, sf_dir):
+    """The offsets' first guess, taken off, and the clipped mean of what is left. ``calibrate_and_coadd`` solves."""
     good = obs(spark, sf_dir).where("(dq & 8) = 0")
     offsets = good.groupBy("frame", "chunk").agg(F.floor(F.sum("v") / F.count("*")).alias("off"))
     left = good.join(offsets, ["frame", "chunk"]).withColumn("v", F.col("v") - F.col("off"))

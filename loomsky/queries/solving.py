@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunks, solver, system
+from ..functions import masks
+from ..operators import chunks, coadd, solver, system
+from ..plans.pipeline import Calibrator
 from ..sources.views import CHUNKS, FRAMES_SQL, GRID_SQL, OBS_SQL, WIDTH, frames, grid, obs, table
 from . import query
 
@@ -108,12 +110,16 @@ k{n} AS MATERIALIZED (SELECT alpha, rho, beta / rho * alpha AS theta, rho_bar /
 t{n} AS MATERIALIZED (SELECT col, v / alpha AS v, v / alpha - theta / rho * w AS w, x + phi / rho * w AS x FROM r{n}, k{n})"""
 
 
-@query(f"""WITH {_ROWS}, {_A}, {_B}, norms AS MATERIALIZED (SELECT col, sqrt(CAST(sum(val * val) AS DOUBLE)) AS norm FROM a GROUP BY col),
+#: LSQR from 0 on the tables a and b, up to t0
+_LSQR_SQL = """norms AS MATERIALIZED (SELECT col, sqrt(CAST(sum(val * val) AS DOUBLE)) AS norm FROM a GROUP BY col),
 p AS MATERIALIZED (SELECT row, col, val / norm AS val FROM a JOIN norms USING (col)),
 s0 AS MATERIALIZED (SELECT sqrt(sum(CAST(val AS DOUBLE) * CAST(val AS DOUBLE))) AS beta FROM b), u0 AS MATERIALIZED (SELECT row, val / beta AS u FROM b, s0),
 r0 AS MATERIALIZED (SELECT col, sum(val * u) AS v FROM p JOIN u0 USING (row) GROUP BY col),
 k0 AS MATERIALIZED (SELECT sqrt(sum(v * v)) AS alpha, sqrt(sum(v * v)) AS rho_bar, (SELECT beta FROM s0) AS phi_bar FROM r0),
-t0 AS MATERIALIZED (SELECT col, v / alpha AS v, v / alpha AS w, 0e0 AS x FROM r0, k0),{",".join(map(_step_sql, (1, 2, 3)))}
+t0 AS MATERIALIZED (SELECT col, v / alpha AS v, v / alpha AS w, 0e0 AS x FROM r0, k0)"""
+
+
+@query(f"""WITH {_ROWS}, {_A}, {_B}, {_LSQR_SQL},{",".join(map(_step_sql, (1, 2, 3)))}
 SELECT CASE WHEN col < n_sky THEN 'sky' ELSE 'offset' END AS part, CASE WHEN col < n_sky THEN col // {WIDTH} ELSE (col - n_sky) // {CHUNKS} END AS i,
 CASE WHEN col < n_sky THEN col % {WIDTH} ELSE (col - n_sky) % {CHUNKS} END AS j, CAST(round(x / norm) AS BIGINT) AS cents FROM t3 JOIN norms USING (col), size""")
 def lsqr_3_iters(spark, sf_dir):
@@ -130,15 +136,64 @@ def _parts(found, n_sky):
     )
 
 
+#: of the joint calibration: outliers, weights of the adjacency's rows and of damping, coverage that an offset needs
+OUTLIER, REG, DAMP, COVERED = 1.6, 40.0, 0.25, 0.02
+
+
+@query(f"""WITH {OBS_SQL}, {GRID_SQL}, {FRAMES_SQL}, size AS (SELECT {NY_SQL} * {WIDTH} AS n_sky),
+good AS (SELECT * FROM obs WHERE (dq & 8) = 0), m AS (SELECT frame, median(v) AS med FROM good GROUP BY frame),
+d AS (SELECT frame, median(abs(v - med)) AS mad FROM good JOIN m USING (frame) GROUP BY frame),
+kept AS MATERIALIZED (SELECT g.*, row_number() OVER () AS row FROM good g JOIN m USING (frame) JOIN d USING (frame) WHERE NOT abs(v - med) > {OUTLIER}e0 * 1.4826e0 * mad),
+q AS (SELECT a.chunk % {CHUNKS} AS a, b.chunk % {CHUNKS} AS b FROM grid a JOIN grid b ON (a.det_y = b.det_y AND b.det_x = a.det_x + 1) OR (a.det_x = b.det_x AND b.det_y = a.det_y + 1)),
+pairs AS (SELECT DISTINCT least(a, b) AS i, greatest(a, b) AS j FROM q WHERE a <> b),
+reg AS (SELECT -1 - (frame * {CHUNKS**2} + i * {CHUNKS} + j) AS row, frame * {CHUNKS} + n_sky + (CASE WHEN e = 0 THEN i ELSE j END) AS col, CASE WHEN e = 0 THEN {REG}e0 ELSE -{REG}e0 END AS val
+  FROM (SELECT DISTINCT frame FROM kept) CROSS JOIN pairs CROSS JOIN size CROSS JOIN (SELECT unnest([0, 1]) AS e)),
+seen AS (SELECT row, pix AS col, CAST(w AS DOUBLE) AS val FROM kept UNION ALL SELECT row, n_sky + frame * {CHUNKS} + chunk, w FROM kept, size UNION ALL SELECT * FROM reg),
+counts AS MATERIALIZED (SELECT col, count(*) AS n FROM seen GROUP BY col),
+means AS (SELECT 1000000000000 + frame AS row, n_sky + frame * {CHUNKS} + c AS col, 10e0 AS val, 10e0 * {CHUNKS} * bias AS rhs FROM frames CROSS JOIN size CROSS JOIN (SELECT unnest(range({CHUNKS})) AS c)),
+damp AS (SELECT 2000000000000 + col AS row, col, sqrt({DAMP}e0 * CAST(n AS DOUBLE)) AS val FROM counts, size WHERE col < n_sky),
+a AS MATERIALIZED (SELECT * FROM seen UNION ALL SELECT row, col, val FROM means UNION ALL SELECT * FROM damp),
+b AS MATERIALIZED (SELECT row, CAST(w * v AS DOUBLE) AS val FROM kept UNION ALL SELECT DISTINCT row, rhs FROM means UNION ALL SELECT DISTINCT row, 0e0 FROM reg UNION ALL SELECT row, 0e0 FROM damp),
+{_LSQR_SQL},{",".join(map(_step_sql, (1, 2, 3)))},
+z AS (SELECT chunk % {CHUNKS} AS chunk, count(*) AS cells FROM grid GROUP BY 1),
+off AS (SELECT (col - n_sky) // {CHUNKS} AS frame, (col - n_sky) % {CHUNKS} AS chunk, x / norm AS value, coalesce(n, 0) AS n FROM t3 JOIN norms USING (col) LEFT JOIN counts USING (col), size WHERE col >= n_sky),
+valid AS (SELECT frame, off.chunk, value, CAST(n AS DOUBLE) / CAST(greatest(coalesce(cells, 1), 1) AS DOUBLE) >= {COVERED}e0 AS ok FROM off LEFT JOIN z ON z.chunk = off.chunk),
+taken AS (SELECT frame, chunk, CASE WHEN ok THEN CAST(round(value - (SELECT avg(value) FROM valid WHERE ok)) AS BIGINT) ELSE 0 END AS o FROM valid),
+left_over AS (SELECT ref_y, ref_x, w, v - coalesce(o, 0) AS v FROM good LEFT JOIN taken USING (frame, chunk)),
+s AS (SELECT ref_y, ref_x, CAST(sum(w) AS DOUBLE) AS sw, CAST(sum(w * v) AS DOUBLE) AS a, CAST(sum(w * v * v) AS DOUBLE) AS b FROM left_over GROUP BY ALL),
+t AS (SELECT ref_y, ref_x, a / sw AS mean, sqrt(greatest(b / sw - (a / sw) * (a / sw), 0e0)) AS std FROM s)
+SELECT ref_y, ref_x, CASE WHEN sum(k) > 0 THEN CAST(sum(k * v) AS DOUBLE) / CAST(sum(k) AS DOUBLE) ELSE 0e0 END AS data, CAST(sum(k) AS BIGINT) AS weight
+FROM (SELECT ref_y, ref_x, v, CASE WHEN abs(v - mean) <= 2e0 * std THEN w ELSE 0 END AS k FROM left_over JOIN t USING (ref_y, ref_x)) GROUP BY ref_y, ref_x""")
+def calibrate_and_coadd(spark, sf_dir):
+    """From observations to a map: outliers go, data, adjacency, mean and damping rows make the system, three steps of LSQR its solution, whose
+    offsets, those of enough coverage and without their mean, are taken off to the cent; then the clipped mean."""
+    seen, cells = obs(spark, sf_dir), grid(spark, sf_dir).withColumn("chunk", F.col("chunk") % CHUNKS)
+    good = seen.where("(dq & 8) = 0").select("frame", "ref_y", "ref_x", "chunk", F.col("v").alias("value"), F.col("w").alias("weight"))
+    job = Calibrator(good, _ny(spark, sf_dir), WIDTH, CHUNKS).setup(
+        outlier_threshold=OUTLIER, adjacency=chunks.chunk_adjacency(cells), reg_weight=REG, mean_offsets=frames(spark, sf_dir).withColumnRenamed("bias", "value"), damp_weight=DAMP,
+    )
+    job.apply(method="lsqr", guess=False, atol=0.0, btol=0.0, iterations=3)
+    valid = masks.valid_offsets(job.offsets(cells), threshold=COVERED, normalize=True)
+    taken = valid.select("frame", "chunk", F.round("value").cast("bigint").alias("off"))
+    left = good.join(taken, ["frame", "chunk"], "left").withColumn("value", F.col("value") - F.coalesce("off", F.lit(0)))
+    return coadd.coadd_sigma_clip(left, 2.0, value="value", weight="weight", exact=True)
+
+
+#: steps that the full solutions may take; they raise if these aren't enough
+MOST_STEPS = 100
+
+
 def _solved(spark, sf_dir, method):
     a, b, n_sky = _system(spark, sf_dir)
-    found = solver.solve(a, b, method=method, x0=system.first_guess(a, b, n_sky), damp=1e-3, atol=1e-6, btol=1e-6, iterations=12)
+    found = solver.solve(a, b, method=method, x0=system.first_guess(a, b, n_sky), damp=1e-3, atol=1e-6, btol=1e-6, iterations=MOST_STEPS)
+    if not found.converged:
+        raise RuntimeError(f"{method} did not converge in {found.iterations} steps")
     return _parts(found, n_sky)
 
 
 @query()
 def lsqr_full(spark, sf_dir):
-    """The sky and the offsets after at most 12 steps of LSQR; compared with a dense solution in the tests."""
+    """The sky and the offsets of LSQR, run until it converges; compared with a dense solution in the tests."""
     return _solved(spark, sf_dir, "lsqr")
 
 
