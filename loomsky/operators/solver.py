@@ -41,7 +41,7 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
-class _Store:
+class Store:
     """Tables of one solution in the shared folder. Only a session on one machine, as in tests, may name none."""
 
     def __init__(self, spark: SparkSession):
@@ -68,7 +68,7 @@ class _Store:
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again; nothing deletes it."""
-    return _Store(df.sparkSession).keep(df)
+    return Store(df.sparkSession).keep(df)
 
 
 def _norm(df: DataFrame, column: str = "v") -> float:
@@ -94,7 +94,7 @@ def solve(
     if method not in ("lsqr", "lsmr"):
         raise ValueError(f"method {method!r} is neither lsqr nor lsmr")
     a = a.select("row", "col", F.col("val").cast("double").alias("val"))
-    store = _Store(a.sparkSession)
+    store = Store(a.sparkSession)
     norms = store.keep(column_norms(a) if precondition else a.select("col").distinct().withColumn("norm", F.lit(1.0)), "norms")
     small = norms.count() <= SMALL
     if precondition:
@@ -133,7 +133,7 @@ def solve(
             by_col.unpersist()
 
 
-def _iterate(machine, times, back, store: _Store, u: DataFrame, size: float, atol: float, btol: float, limit: int):
+def _iterate(machine, times, back, store: Store, u: DataFrame, size: float, atol: float, btol: float, limit: int):
     """Golub and Kahan's bidiagonalisation, with a ``machine`` that turns its numbers into the next solution.
 
     The state is one table, ``col, v, x`` and the machine's own columns. A round writes two tables: the new u, and the state with

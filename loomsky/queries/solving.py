@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import masks
-from ..operators import chunks, coadd, solver, system
+from ..operators import chunks, coadd, gauges, solver, system
 from ..plans.pipeline import Calibrator
 from ..sources.views import CHUNKS, FRAMES_SQL, GRID_SQL, OBS_SQL, WIDTH, frames, grid, obs, table
 from . import query
@@ -136,6 +136,19 @@ def _parts(found, n_sky):
     )
 
 
+@query(f"""WITH RECURSIVE {OBS_SQL}, size AS (SELECT {NY_SQL} * {WIDTH} AS n_sky),
+e AS MATERIALIZED (SELECT DISTINCT pix AS u, n_sky + frame * {CHUNKS} + chunk AS v FROM obs, size WHERE w > 5 AND frame % 10 = pix % 10),
+b AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (SELECT DISTINCT u AS col, u AS root FROM b UNION SELECT b.v, r.root FROM reach r JOIN b ON b.u = r.col)
+SELECT col, min(root) AS gauge FROM reach GROUP BY col""")
+def gauge_groups(spark, sf_dir):
+    """The groups of a system in which a frame sees but the pixels that end with its own last digit."""
+    seen = _numbered(spark, sf_dir).where("frame % 10 = pix % 10")
+    n_sky = _ny(spark, sf_dir) * WIDTH
+    a, _ = system.data_rows(seen, n_sky // WIDTH, WIDTH, CHUNKS, value="v", weight="w")
+    return gauges.groups(gauges.links(a, n_sky))
+
+
 #: of the joint calibration: outliers, weights of the adjacency's rows and of damping, coverage that an offset needs
 OUTLIER, REG, DAMP, COVERED = 1.6, 40.0, 0.25, 0.02
 
