@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .solver import Store
+from .store import Store
 
 
 def links(a: DataFrame, n_sky: int) -> DataFrame:

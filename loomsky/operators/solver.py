@@ -9,15 +9,13 @@ they are; beyond that it is kept twice, dealt by row and by column, so that only
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import Store
 from .system import column_norms
 
 
@@ -36,36 +34,6 @@ class Solution:
 SMALL = 1_000_000
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-")
-
-
-class Store:
-    """Tables of one solution in the shared folder. Only a session on one machine, as in tests, may name none."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        self.root = (root or _own_folder()).rstrip("/")
-
-    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
-        """``df`` written and read again. The table that had this ``name`` before is deleted, as nothing reads it any more."""
-        path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        if name:
-            self.drop(name)
-            self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for path in filter(None, (self.paths.pop(n, None) for n in names)):
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again; nothing deletes it."""
     return Store(df.sparkSession).keep(df)

@@ -12,23 +12,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import selection
 from .coadd import ratio
 
 MAD_TO_STD = 1.4826
 MEAN_WEIGHT = 10
 
 
-def outliers(obs: DataFrame, threshold: float, *, by: Sequence[str] = ("frame",), value: str = "value") -> DataFrame:
+def outliers(obs: DataFrame, threshold: float, *, by: Sequence[str] = ("frame",), value: str = "value", spread: bool = False) -> DataFrame:
     """``obs`` with ``median, mad, is_outlier``: farther from its frame's median than ``threshold`` times 1.4826 times the median of such
-    distances. NaN and null values count for neither and are no outliers. Medians are exact; a frame's values must fit one task."""
+    distances. NaN and null values count for neither and are no outliers. Medians are exact. A frame's values must fit one task, unless they are ``spread``:
+    then medians are selected by passes over all values, and no task holds a frame."""
     v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
-    frame = Window.partitionBy(*by)
-    near = obs.withColumn("median", F.median(v).over(frame))
-    near = near.withColumn("mad", F.median(F.abs(v - F.col("median"))).over(frame))
+    if spread:
+        near = _beside(obs, selection.quantiles(obs, by, v, [0.5]), by, "median")
+        near = _beside(near, selection.quantiles(near, by, F.abs(v - F.col("median")), [0.5]), by, "mad")
+    else:
+        frame = Window.partitionBy(*by)
+        near = obs.withColumn("median", F.median(v).over(frame))
+        near = near.withColumn("mad", F.median(F.abs(v - F.col("median"))).over(frame))
     far = F.abs(v - F.col("median")) > F.lit(float(threshold)) * F.lit(MAD_TO_STD) * F.col("mad")
     return near.withColumn("is_outlier", F.coalesce(far, F.lit(False)))
 
 
+def _beside(obs: DataFrame, found: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """``obs`` with its group's quantile as ``name``."""
+    own = found.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("value").alias(name))
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_{b}"))
+    return obs.join(own, same, "left").drop(*[f"_{b}" for b in by])
+
+
 def dense_rows(obs: DataFrame, group: str, order: Sequence[str], name: str = "row") -> DataFrame:
     """``obs`` with numbers from 0 on without gaps, by ``group`` and then ``order``. No task numbers more than a group; ``group`` must have
     few enough values for a list of their sizes. The list is dealt by ``group`` as the observations are."""

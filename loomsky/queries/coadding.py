@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import masks
-from ..operators import coadd, system
+from ..operators import coadd, selection, system
 from ..sources.views import FRAMES_SQL, GRID_SQL, OBS_SQL, WIDTH, frames, grid, obs
 from . import query
 
@@ -76,6 +76,15 @@ def frame_outliers(spark, sf_dir):
     )
 
 
+@query(f"""WITH {OBS_SQL}, q AS (SELECT frame, quantile_cont(v, [0.25, 0.5, 0.9]) AS q FROM (SELECT -1 AS frame, v FROM obs UNION ALL SELECT frame, v FROM obs) GROUP BY frame)
+SELECT frame, unnest([0.25e0, 0.5e0, 0.9e0]) AS share, CAST(round(unnest(q) * 100) AS BIGINT) AS hundredths FROM q""")
+def frame_quantiles(spark, sf_dir):
+    """Quantiles of each frame, and of a frame -1 that has every observation, which no task holds."""
+    seen = obs(spark, sf_dir).select("frame", "v")
+    found = selection.quantiles(seen.withColumn("frame", F.lit(-1).cast("bigint")).union(seen), ["frame"], "v", [0.25, 0.5, 0.9])
+    return found.select("frame", "share", F.round(F.col("value") * 100).cast("bigint").alias("hundredths"))
+
+
 def _bright(p: float) -> str:
     return f"""WITH {OBS_SQL}, cut AS (SELECT frame, quantile_cont(v, {p}) AS c FROM obs GROUP BY frame)"""
 
