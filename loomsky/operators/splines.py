@@ -2,7 +2,7 @@
 
 A function with given means over bins is the derivative of one that passes through the running integral at the bins' edges. Between two edges that
 integral is a cubic fixed by its slopes there, so a kind of spline is a rule for the slopes. The rules of pchip and akima look at neighbouring
-bins and are window expressions; the cubic one solves a banded system for each series, in numpy, a series to a group.
+bins and are window expressions; the cubic one solves a banded system for each series, along an array.
 """
 
 from __future__ import annotations
@@ -99,14 +99,44 @@ def cubic_slopes(edges: np.ndarray, means: np.ndarray) -> np.ndarray:
 
 
 def _cubic(bins: DataFrame, by: Sequence[str], low: str, high: str, mean: str) -> DataFrame:
-    out = StructType([*bins.schema.fields, StructField("d0", DoubleType()), StructField("d1", DoubleType())])
+    """``bins`` with the not-a-knot slopes: a tridiagonal system for each series of bins, eliminated forward and solved backward along an array."""
+    rest = [c for c in bins.columns if c not in by]
+    series = bins.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(low).cast("double").alias("_low"), F.struct(*rest).alias("_bin")))).alias("_s"))
+    series = series.withColumns({
+        "_n": F.size("_s"), "_m": F.transform("_s", lambda e: e["_bin"][mean].cast("double")),
+        "_h": F.transform("_s", lambda e, i: F.coalesce(F.get("_s", i + 1)["_low"], e["_bin"][high].cast("double")) - e["_low"]),
+    })
+
+    def h(i: Column | int) -> Column:
+        return F.get("_h", i if isinstance(i, Column) else F.lit(i))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(low)
-        d = cubic_slopes(np.append(pdf[low].to_numpy(float), float(pdf[high].iloc[-1])), pdf[mean].to_numpy(float))
-        return pdf.assign(d0=d[:-1], d1=d[1:])
+    def m(i: Column | int) -> Column:
+        return F.get("_m", i if isinstance(i, Column) else F.lit(i))
 
-    return bins.groupBy(*by).applyInPandas(solve, out)
+    def row(a: Column, b: Column, c: Column, r: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), r.alias("r"))
+
+    n, zero = F.col("_n"), F.lit(0.0)
+    first = row(zero, h(1), h(0) + h(1), ((h(0) + 2 * (h(0) + h(1))) * h(1) * m(0) + h(0) * h(0) * m(1)) / (h(0) + h(1)))
+    last = row(
+        h(n - 1) + h(n - 2), h(n - 2), zero, (h(n - 1) * h(n - 1) * m(n - 2) + (2 * (h(n - 1) + h(n - 2)) + h(n - 1)) * h(n - 2) * m(n - 1)) / (h(n - 1) + h(n - 2))
+    )
+    inner = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: row(h(i), 2 * (h(i - 1) + h(i)), h(i - 1), 3 * (h(i) * m(i - 1) + h(i - 1) * m(i))))
+    series = series.withColumn("_rows", F.when(n > 2, F.concat(F.array(first), inner, F.array(last))))
+
+    def eliminate(done: Column, e: Column) -> Column:
+        c, r = F.coalesce(F.get(done, F.size(done) - 1)["c"], zero), F.coalesce(F.get(done, F.size(done) - 1)["r"], zero)
+        return F.concat(done, F.array(F.struct((e["c"] / (e["b"] - e["a"] * c)).alias("c"), ((e["r"] - e["a"] * r) / (e["b"] - e["a"] * c)).alias("r"))))
+
+    series = series.withColumn("_rows", F.aggregate("_rows", F.array().cast("array<struct<c: double, r: double>>"), eliminate))
+    solved = F.aggregate(
+        F.reverse("_rows"), F.array().cast("array<double>"), lambda done, e: F.concat(F.array(e["r"] - e["c"] * F.coalesce(F.get(done, F.lit(0)), zero)), done)
+    )
+    one = F.try_divide(h(0) * m(1) + h(1) * m(0), h(0) + h(1))
+    two = F.array(2 * m(0) - one, one, 2 * m(1) - one)  # a single parabola
+    series = series.withColumn("_d", F.when(n == 1, F.array(m(0), m(0))).when(n == 2, two).otherwise(solved))
+    each = series.select(*by, "_d", F.posexplode("_s").alias("_i", "_e")).select(*by, "_d", "_i", "_e._bin.*")
+    return each.select(*bins.columns, F.get("_d", F.col("_i")).alias("d0"), F.get("_d", F.col("_i") + 1).alias("d1"))
 
 
 def mean_preserving(at: Column, *, low: str = "low", high: str = "high", mean: str = "mean") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry
-from ..operators import coadd, spectral, splines
+from ..operators import chunks, coadd, spectral, splines
 from ..sources import readers, sinks
 from ..sources.views import GRID_SQL, OBS_SQL, grid, obs, table
 from ..streaming import coadd as stream
@@ -78,11 +78,18 @@ def spline_akima(spark, sf_dir):
     return slopes.select("det_y", "det_x", rounded(middle).alias("y"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BINS}, lines AS (SELECT *, count(*) OVER (PARTITION BY det_y) AS n FROM b),
+r AS (SELECT b.det_y, b.det_x AS i, b.m, CASE WHEN b.det_x = 0 THEN 0e0 ELSE 1e0 END AS a, CASE WHEN b.det_x = 0 THEN 1e0 ELSE 4e0 END AS d, CASE WHEN b.det_x = 0 THEN 2e0 ELSE 1e0 END AS c,
+  CASE WHEN b.det_x = 0 THEN (5e0 * b.m + p.m) / 2e0 ELSE 3e0 * (q.m + b.m) END AS r, b.n FROM lines b LEFT JOIN b p ON p.det_y = b.det_y AND p.det_x = 1 LEFT JOIN b q ON q.det_y = b.det_y AND q.det_x = b.det_x - 1
+  UNION ALL SELECT b.det_y, b.n, NULL, 2e0, 1e0, 0e0, (q.m + 5e0 * b.m) / 2e0, b.n FROM lines b JOIN b q ON q.det_y = b.det_y AND q.det_x = b.n - 2 WHERE b.det_x = b.n - 1),
+f AS (SELECT det_y, i, c / d AS c, r / d AS r FROM r WHERE i = 0 UNION ALL
+  SELECT r.det_y, r.i, r.c / (r.d - r.a * f.c), (r.r - r.a * f.r) / (r.d - r.a * f.c) FROM f JOIN r ON r.det_y = f.det_y AND r.i = f.i + 1),
+g AS (SELECT det_y, i, r AS s FROM f WHERE c = 0 UNION ALL SELECT f.det_y, f.i, f.r - f.c * g.s FROM g JOIN f ON f.det_y = g.det_y AND f.i = g.i - 1)
+SELECT b.det_y, b.det_x, {rounded_sql("1.5e0 * b.m - 0.25e0 * k.s - 0.25e0 * l.s")} AS y FROM b JOIN g k ON k.det_y = b.det_y AND k.i = b.det_x JOIN g l ON l.det_y = b.det_y AND l.i = b.det_x + 1""")
 def spline_cubic(spark, sf_dir):
-    """The not-a-knot cubic through the running integral of each raster line, at the middles; the tests compare bin means."""
+    """The not-a-knot cubic through the running integral of each raster line, at the middles."""
     slopes = splines.edge_slopes(_bins(spark, sf_dir), ["det_y"], "cubic")
-    return slopes.select("det_y", "det_x", splines.mean_preserving((F.col("low") + F.col("high")) / 2).alias("y"))
+    return slopes.select("det_y", "det_x", rounded(splines.mean_preserving((F.col("low") + F.col("high")) / 2)).alias("y"))
 
 
 def _offsets(spark, sf_dir):
@@ -153,16 +160,22 @@ def arc_fit_joint(spark, sf_dir):
     return spark.createDataFrame([(int(e), xc, yc, r) for e, r in sorted(radii.items())], "edge int, xc double, yc double, radius double")
 
 
-@query()
-def radial_offsets(spark, sf_dir):
-    """Frames' mean values by arc, smooth in the distance to the arcs' centre, at each raster cell; the tests compare means of arcs."""
-    from ..operators.chunks import arc_chunks
+RADII = [float(150 + 8 * i) for i in range(8)]
 
-    radii = [float(150 + 8 * i) for i in range(8)]
-    cells = arc_chunks(grid(spark, sf_dir).drop("chunk"), 25, 200, radii)
+
+@query(f"""WITH {GRID_SQL}, {OBS_SQL}, c AS (SELECT cell, sqrt(CAST((det_x - 25) * (det_x - 25) + (det_y - 200) * (det_y - 200) AS DOUBLE)) AS r, CAST(len(list_filter({RADII!r}, lambda q: q < r)) AS BIGINT) AS chunk FROM grid),
+v AS (SELECT frame, chunk, floor(CAST(sum(v) AS DOUBLE) / CAST(count(*) AS DOUBLE)) AS m FROM obs WHERE chunk BETWEEN 1 AND {len(RADII) - 1} GROUP BY ALL),
+n AS (SELECT *, lag(m) OVER w AS m1, lead(m) OVER w AS p1 FROM v WINDOW w AS (PARTITION BY frame ORDER BY chunk)),
+d AS (SELECT frame, chunk, m, CASE WHEN m1 IS NULL AND p1 IS NULL THEN m WHEN m1 IS NULL THEN {_end("m", "p1")} ELSE {_harmonic("m1", "m")} END AS d0,
+  CASE WHEN p1 IS NULL AND m1 IS NULL THEN m WHEN p1 IS NULL THEN {_end("m", "m1")} ELSE {_harmonic("m", "p1")} END AS d1 FROM n),
+s AS (SELECT frame, cell, m, d0, d1, (r - (142e0 + 8e0 * CAST(chunk AS DOUBLE))) / 8e0 AS s FROM c JOIN d USING (chunk))
+SELECT frame, cell, CAST(round(m * (6 * s - 6 * s * s) + d0 * (1 - 4 * s + 3 * s * s) + d1 * (3 * s * s - 2 * s)) AS BIGINT) AS cents FROM s""")
+def radial_offsets(spark, sf_dir):
+    """Frames' mean values by arc, smooth in the distance to the arcs' centre, at each raster cell, to the cent."""
+    cells = chunks.arc_chunks(grid(spark, sf_dir).drop("chunk"), 25, 200, RADII)
     cells = cells.withColumn("r", F.sqrt((F.col("det_x") - 25.0) ** 2 + (F.col("det_y") - 200.0) ** 2)).select("cell", "chunk", "r")
     means = obs(spark, sf_dir).where("chunk > 0").groupBy("frame", "chunk").agg(F.floor(F.sum("v") / F.count("*")).cast("double").alias("value"))
-    return splines.radial(means, radii, cells, kind="pchip").select("frame", "cell", "value")
+    return splines.radial(means, RADII, cells, kind="pchip").select("frame", "cell", F.round("value").cast("bigint").alias("cents"))
 
 
 @query()
