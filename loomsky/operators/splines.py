@@ -7,13 +7,12 @@ bins and are window expressions; the cubic one solves a banded system for each s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .chunks import run_bins
@@ -157,26 +156,21 @@ def weights(edges: np.ndarray, at: np.ndarray) -> np.ndarray:
 def surface(offsets: DataFrame, *, by: Sequence[str] = ("frame",), row: str = "sub", col: str = "col", value: str = "value", factor: int = 1, fill: bool = False) -> DataFrame:
     """``by, y, x, value``: offsets of a grid of bins as a smooth surface that keeps each bin's mean, at the centres of ``factor`` by
     ``factor`` parts of each bin. Zeros are missing; with ``fill`` they are filled first. The surface covers the box of those that aren't; a frame
-    without any gives no rows. A frame's grid is a group."""
-    out = StructType([*[f for f in offsets.schema.fields if f.name in by], *StructType.fromDDL("y DOUBLE, x DOUBLE, value DOUBLE").fields])
-
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(pdf[row].min()), int(pdf[col].min())
-        grid = np.zeros((int(pdf[row].max()) - r0 + 1, int(pdf[col].max()) - c0 + 1))
-        grid[pdf[row] - r0, pdf[col] - c0] = pdf[value]
-        ys, xs = np.nonzero(grid)
-        if not len(ys):
-            return pd.DataFrame({c: pdf[c].iloc[:0] for c in by} | {k: np.zeros(0) for k in ("y", "x", "value")})
-        if fill:
-            grid = fill_grid(grid)
-        grid = grid[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
-        py, px = ((np.arange(n * factor) + 0.5) / factor for n in grid.shape)
-        got = weights(np.arange(grid.shape[0] + 1.0), py) @ grid @ weights(np.arange(grid.shape[1] + 1.0), px).T
-        yy, xx = np.meshgrid(py + ys.min() + r0, px + xs.min() + c0, indexing="ij")
-        first = {c: pdf[c].iloc[0] for c in by}
-        return pd.DataFrame(first | {"y": yy.ravel(), "x": xx.ravel(), "value": got.ravel()})
-
-    return offsets.groupBy(*by).applyInPandas(spread, out)
+    without any gives no rows. The surface is a product: along each column of bins first, then along each line of parts."""
+    there = offsets.where(F.col(value) != 0)
+    box = there.groupBy(*by).agg(F.min(row).alias("_r0"), F.max(row).alias("_r1"), F.min(col).alias("_c0"), F.max(col).alias("_c1"))
+    every = box.select(*by, F.explode(F.sequence("_r0", "_r1")).alias(row), "_c0", "_c1").select(*by, row, F.explode(F.sequence("_c0", "_c1")).alias(col))
+    filled = fill_linear(offsets, by=by, row=row, col=col, value=value) if fill else offsets
+    cells = every.join(filled.select(*by, row, col, F.col(value).cast("double").alias("mean")), [*by, row, col], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    parts = F.explode(F.array(*[F.lit((k + 0.5) / factor) for k in range(factor)])).alias("_part")
+
+    def along(bins: DataFrame, lines: list[str], axis: str, out: str) -> DataFrame:
+        placed = bins.withColumns({"low": F.col(axis).cast("double"), "high": F.col(axis) + 1.0})
+        each = edge_slopes(placed, lines, "cubic").select("*", parts).withColumn(out, F.col("low") + F.col("_part"))
+        return each.select(*lines, out, mean_preserving(F.col(out)).alias("mean"))
+
+    tall = along(cells, [*by, col], row, "y")
+    return along(tall, [*by, "y"], col, "x").select(*by, "y", "x", F.col("mean").alias("value"))
 
 
 def radial(offsets: DataFrame, radii: Sequence[float], pixels: DataFrame, *, kind: str = "cubic", r: str = "r") -> DataFrame:
@@ -235,36 +229,58 @@ def triangles(points: np.ndarray) -> list[tuple[int, int, int]]:
     return [t for t, k in found.items() if max(t) < n and k is not None]
 
 
+def fill_weights(have: np.ndarray, lack: np.ndarray) -> list[tuple[int, int, float]]:
+    """Which of the points ``have`` fill each of ``lack``, and with what weights: the corners of the triangle that it is inside, or the nearest point
+    outside all triangles or where points lie on a line."""
+    out: list[tuple[int, int, float]] = []
+    todo = np.ones(len(lack), bool)
+    for t in triangles(have.astype(float)):
+        a, b, c = have[list(t)].astype(float)
+        w = (lack - a) @ np.linalg.inv(np.array([b - a, c - a]).T).T
+        inside = np.flatnonzero(todo & (w >= -1e-9).all(1) & (w.sum(1) <= 1 + 1e-9))
+        for i in inside.tolist():
+            out += [(i, t[0], 1 - float(w[i].sum())), (i, t[1], float(w[i, 0])), (i, t[2], float(w[i, 1]))]
+        todo[inside] = False
+    for i in np.flatnonzero(todo).tolist():
+        out.append((i, int(((lack[i] - have) ** 2).sum(-1).argmin()), 1.0))
+    return out
+
+
 def fill_grid(grid: np.ndarray) -> np.ndarray:
     """Zeros of ``grid`` filled linearly inside the points that aren't 0, by the nearest outside them or where they lie on a line."""
     have, lack = np.argwhere(grid != 0), np.argwhere(grid == 0)
     if not len(have) or not len(lack):
         return grid
-    out, known = grid.copy(), grid[tuple(have.T)]
-    nearest = ((lack[:, None, :] - have[None, :, :]) ** 2).sum(-1).argmin(1)
-    out[tuple(lack.T)] = known[nearest]
-    todo = np.ones(len(lack), bool)
-    for t in triangles(have.astype(float)):
-        a, b, c = have[list(t)].astype(float)
-        m = np.array([b - a, c - a]).T
-        w = (lack - a) @ np.linalg.inv(m).T
-        inside = todo & (w >= -1e-9).all(1) & (w.sum(1) <= 1 + 1e-9)
-        va, vb, vc = known[list(t)]
-        out[tuple(lack[inside].T)] = va + w[inside] @ np.array([vb - va, vc - va])
-        todo &= ~inside
+    out = grid.copy()
+    for i, k, w in fill_weights(have, lack):
+        out[tuple(lack[i])] += w * grid[tuple(have[k])]
     return out
 
 
 def fill_linear(offsets: DataFrame, *, by: Sequence[str] = ("frame",), row: str = "sub", col: str = "col", value: str = "value") -> DataFrame:
-    """``offsets`` with zeros filled as ``fill_grid`` does, a frame's grid to a group."""
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(pdf[row].min()), int(pdf[col].min())
-        grid = np.zeros((int(pdf[row].max()) - r0 + 1, int(pdf[col].max()) - c0 + 1))
-        grid[pdf[row] - r0, pdf[col] - c0] = pdf[value]
-        return pdf.assign(**{value: fill_grid(grid)[pdf[row] - r0, pdf[col] - c0]})
-
-    return offsets.groupBy(*by).applyInPandas(fill, offsets.schema)
+    """``offsets`` with zeros filled as ``fill_grid`` does. What fills a cell depends only on which cells are missing: weights are worked out once for each
+    distinct mask, however many frames have it, and joined to the frames. A frame without values keeps its zeros."""
+    low = offsets.groupBy(*by).agg(F.min(row).alias("_r0"), F.min(col).alias("_c0"))
+    placed = offsets.join(low, list(by)).withColumns({"_r": (F.col(row) - F.col("_r0")).cast("int"), "_c": (F.col(col) - F.col("_c0")).cast("int")})
+    cell = F.struct("_r", "_c", (F.col(value) != 0).alias("known"))
+    masks = placed.groupBy(*by).agg(F.sort_array(F.collect_list(cell)).alias("_cells"))  # a frame's grid of bins
+    masks = masks.withColumn("_mask", F.sha2(F.to_json("_cells"), 256))
+    distinct = masks.groupBy("_mask").agg(F.first("_cells").alias("_cells"))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for mask, cells in zip(pdf["_mask"], pdf["_cells"]):
+                at = np.array([(c["_r"], c["_c"], c["known"]) for c in cells], np.int64).reshape(-1, 3)
+                have, lack = at[at[:, 2] == 1, :2], at[at[:, 2] == 0, :2]
+                rows = [(mask, *lack[i].tolist(), *have[k].tolist(), w) for i, k, w in fill_weights(have, lack)] if len(have) and len(lack) else []
+                yield pd.DataFrame(rows, columns=["_mask", "_r", "_c", "_fr", "_fc", "_w"])
+
+    weights_ = distinct.mapInPandas(weigh, "_mask string, _r int, _c int, _fr int, _fc int, _w double")
+    known = placed.where(F.col(value) != 0).select(*by, F.col("_r").alias("_fr"), F.col("_c").alias("_fc"), F.col(value).alias("_v"))
+    lacking = placed.where(F.col(value) == 0).select(*by, "_r", "_c").join(masks.select(*by, "_mask"), list(by)).join(weights_, ["_mask", "_r", "_c"])
+    filled = lacking.join(known, [*by, "_fr", "_fc"]).groupBy(*by, "_r", "_c").agg(F.sum(F.col("_w") * F.col("_v")).alias("_filled"))
+    out = placed.join(filled, [*by, "_r", "_c"], "left").withColumn(value, F.when(F.col(value) == 0, F.coalesce("_filled", value)).otherwise(F.col(value)))
+    return out.select(*offsets.columns)
 
 
 def fill_nearest(offsets: DataFrame, *, by: Sequence[str] = ("frame",), row: str = "sub", col: str = "col", value: str = "value") -> DataFrame:

@@ -76,6 +76,33 @@ def test_surface_keeps_means_and_fills(spark):
     assert np.allclose(means, v, atol=0.05)
 
 
+@pytest.mark.parametrize("fill", [False, True])
+def test_surface_is_the_product_of_its_lines(spark, fill):
+    r = np.random.default_rng(1)
+    grids = {f: np.where(r.random((5, 4)) < (0.7 if fill else 1), r.normal(3, 1, (5, 4)), 0.0) for f in range(3)} | {8: np.pad(r.normal(3, 1, (1, 2)), 1)}
+    df = spark.createDataFrame([(f, y + 7, x, float(v)) for f, g in grids.items() for (y, x), v in np.ndenumerate(g)], "frame int, sub int, col int, value double")
+    got = {(w.frame, w.y, w.x): w.value for w in splines.surface(df, factor=3, fill=fill).collect()}
+    want = {}
+    for f, g in grids.items():
+        ys, xs = np.nonzero(g)
+        g = (splines.fill_grid(g) if fill else g)[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
+        py, px = ((np.arange(n * 3) + 0.5) / 3 for n in g.shape)
+        v = splines.weights(np.arange(g.shape[0] + 1.0), py) @ g @ splines.weights(np.arange(g.shape[1] + 1.0), px).T
+        want |= {(f, round(y + ys.min() + 7, 9), round(x + xs.min(), 9)): v[i, j] for i, y in enumerate(py) for j, x in enumerate(px)}
+    assert {(f, round(y, 9), round(x, 9)): v for (f, y, x), v in got.items()} == pytest.approx(want, abs=1e-9)
+
+
+def test_filling_by_masks(spark):
+    r = np.random.default_rng(6)
+    masks = [r.random((4, 6)) < 0.6, r.random((4, 6)) < 0.2, np.zeros((4, 6), bool), np.ones((4, 6), bool)]
+    grids = {f: np.where(masks[f % 4], r.normal(5, 1, (4, 6)), 0.0) for f in range(12)}
+    df = spark.createDataFrame([(f, y + f, x - 3, float(v), "k") for f, g in grids.items() for (y, x), v in np.ndenumerate(g)], "frame int, sub int, col int, value double, more string")
+    got = splines.fill_linear(df)
+    assert got.columns == df.columns
+    want = {(f, y + f, x - 3): v for f, g in grids.items() for (y, x), v in np.ndenumerate(splines.fill_grid(g))}
+    assert {(w.frame, w.sub, w.col): w.value for w in got.collect()} == pytest.approx(want)
+
+
 def test_filling_a_plane_is_exact_inside_and_nearest_outside():
     y, x = np.mgrid[0:5, 0:6]
     plane = 10 + 2.0 * y + 3.0 * x
