@@ -260,27 +260,33 @@ def fill_grid(grid: np.ndarray) -> np.ndarray:
 def fill_linear(offsets: DataFrame, *, by: Sequence[str] = ("frame",), row: str = "sub", col: str = "col", value: str = "value") -> DataFrame:
     """``offsets`` with zeros filled as ``fill_grid`` does. What fills a cell depends only on which cells are missing: weights are worked out once for each
     distinct mask, however many frames have it, and joined to the frames. A frame without values keeps its zeros."""
-    low = offsets.groupBy(*by).agg(F.min(row).alias("_r0"), F.min(col).alias("_c0"))
-    placed = offsets.join(low, list(by)).withColumns({"_r": (F.col(row) - F.col("_r0")).cast("int"), "_c": (F.col(col) - F.col("_c0")).cast("int")})
-    cell = F.struct("_r", "_c", (F.col(value) != 0).alias("known"))
-    masks = placed.groupBy(*by).agg(F.sort_array(F.collect_list(cell)).alias("_cells"))  # a frame's grid of bins
-    masks = masks.withColumn("_mask", F.sha2(F.to_json("_cells"), 256))
-    distinct = masks.groupBy("_mask").agg(F.first("_cells").alias("_cells"))
+    rest = [c for c in offsets.columns if c not in by]
+    frames = offsets.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(row).alias("r"), F.col(col).alias("c"), F.struct(*rest).alias("cell")))).alias("_s"))  # a frame's grid of bins
+    low_r, low_c = F.array_min(F.transform("_s", lambda e: e["r"])), F.array_min(F.transform("_s", lambda e: e["c"]))
+    frames = frames.withColumns({"_r0": low_r, "_c0": low_c})
+    cells = F.transform("_s", lambda e: F.array(e["r"] - F.col("_r0"), e["c"] - F.col("_c0"), (e["cell"][value] != 0).cast("bigint")).cast("array<bigint>"))
+    frames = frames.withColumn("_cells", cells).withColumn("_mask", F.sha2(F.to_json("_cells"), 256))
+    masks = frames.groupBy("_mask").agg(F.first("_cells").alias("_cells"))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for mask, cells in zip(pdf["_mask"], pdf["_cells"]):
-                at = np.array([(c["_r"], c["_c"], c["known"]) for c in cells], np.int64).reshape(-1, 3)
-                have, lack = at[at[:, 2] == 1, :2], at[at[:, 2] == 0, :2]
-                rows = [(mask, *lack[i].tolist(), *have[k].tolist(), w) for i, k, w in fill_weights(have, lack)] if len(have) and len(lack) else []
-                yield pd.DataFrame(rows, columns=["_mask", "_r", "_c", "_fr", "_fc", "_w"])
-
-    weights_ = distinct.mapInPandas(weigh, "_mask string, _r int, _c int, _fr int, _fc int, _w double")
-    known = placed.where(F.col(value) != 0).select(*by, F.col("_r").alias("_fr"), F.col("_c").alias("_fc"), F.col(value).alias("_v"))
-    lacking = placed.where(F.col(value) == 0).select(*by, "_r", "_c").join(masks.select(*by, "_mask"), list(by)).join(weights_, ["_mask", "_r", "_c"])
-    filled = lacking.join(known, [*by, "_fr", "_fc"]).groupBy(*by, "_r", "_c").agg(F.sum(F.col("_w") * F.col("_v")).alias("_filled"))
-    out = placed.join(filled, [*by, "_r", "_c"], "left").withColumn(value, F.when(F.col(value) == 0, F.coalesce("_filled", value)).otherwise(F.col(value)))
-    return out.select(*offsets.columns)
+            out = []
+            for cells in pdf["_cells"]:
+                at = np.array([list(c) for c in cells], np.int64)
+                have, lack = np.flatnonzero(at[:, 2]), np.flatnonzero(at[:, 2] == 0)
+                k, w = [[] for _ in cells], [[] for _ in cells]
+                for i, j, share in fill_weights(at[have, :2], at[lack, :2]) if len(have) and len(lack) else []:
+                    k[lack[i]].append(int(have[j]))
+                    w[lack[i]].append(share)
+                out.append((k, w))
+            yield pd.DataFrame({"_mask": pdf["_mask"], "_k": [k for k, _ in out], "_w": [w for _, w in out]})
+
+    known = masks.mapInPandas(weigh, "_mask string, _k array<array<int>>, _w array<array<double>>")
+    each = frames.join(known, "_mask").select(*by, "_s", F.posexplode(F.arrays_zip("_s", "_k", "_w")).alias("_i", "_e"))
+    shares = F.zip_with("_e._k", "_e._w", lambda k, w: w * F.get("_s", k)["cell"][value])
+    filled = F.when(F.size("_e._k") > 0, F.aggregate(shares, F.lit(0.0), lambda total, x: total + x))
+    out = each.withColumn("_filled", filled).select(*by, "_e._s.cell.*", "_filled")
+    return out.withColumn(value, F.coalesce("_filled", value)).select(*offsets.columns)
 
 
 def fill_nearest(offsets: DataFrame, *, by: Sequence[str] = ("frame",), row: str = "sub", col: str = "col", value: str = "value") -> DataFrame:
