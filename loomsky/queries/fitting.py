@@ -178,11 +178,27 @@ def radial_offsets(spark, sf_dir):
     return splines.radial(means, RADII, cells, kind="pchip").select("frame", "cell", F.round("value").cast("bigint").alias("cents"))
 
 
-@query()
+def _inner_sql(a: str, c: str, ha: str, hc: str) -> str:
+    w1, w2 = f"(2e0 * {hc} + {ha})", f"({hc} + 2e0 * {ha})"
+    return f"CASE WHEN {a} * {c} > 0 THEN ({w1} + {w2}) / ({w1} / {a} + {w2} / {c}) ELSE 0e0 END"
+
+
+def _end_sql(a: str, c: str, ha: str, hc: str) -> str:
+    d = f"(((2e0 * {ha} + {hc}) * {a} - {ha} * {c}) / ({ha} + {hc}))"
+    return f"CASE WHEN {c} IS NULL THEN {a} WHEN {d} * {a} <= 0 THEN 0e0 WHEN {a} * {c} <= 0 AND abs({d}) > 3e0 * abs({a}) THEN 3e0 * {a} ELSE {d} END"
+
+
+@query(f"""WITH {GRID_SQL}, g AS (SELECT det_y, det_x, chunk // 25 AS level, CAST(row_number() OVER w - 1 AS BIGINT) AS place, lag(chunk // 25) OVER w AS before FROM grid WINDOW w AS (PARTITION BY det_y ORDER BY det_x)),
+h AS (SELECT det_y, CAST(level AS DOUBLE) AS m, CAST(place AS DOUBLE) AS low, CAST(lead(place) OVER w AS DOUBLE) AS high, row_number() OVER w AS n FROM g WHERE place = 0 OR before <> level WINDOW w AS (PARTITION BY det_y ORDER BY place)),
+r AS (SELECT *, high - low AS h, lag(m) OVER w AS m1, lead(m) OVER w AS p1, lag(high - low) OVER w AS h1, lead(high - low) OVER w AS hp FROM h WHERE high IS NOT NULL AND n > 1 WINDOW w AS (PARTITION BY det_y ORDER BY low)),
+d AS (SELECT det_y, m, low, high, CASE WHEN m1 IS NULL THEN {_end_sql("m", "p1", "h", "hp")} ELSE {_inner_sql("m1", "m", "h1", "h")} END AS d0,
+  CASE WHEN p1 IS NULL THEN {_end_sql("m", "m1", "h", "h1")} ELSE {_inner_sql("m", "p1", "h", "hp")} END AS d1 FROM r),
+s AS (SELECT g.det_y, g.det_x, g.level, m, d0, d1, (place + 0.5e0 - low) / (high - low) AS s FROM g LEFT JOIN d ON g.det_y = d.det_y AND place + 0.5e0 > low AND place + 0.5e0 < high)
+SELECT det_y, det_x, level, {rounded_sql("m * (6 * s - 6 * s * s) + d0 * (1 - 4 * s + 3 * s * s) + d1 * (3 * s * s - 2 * s)")} AS smooth FROM s""")
 def smoothed_runs(spark, sf_dir):
-    """Raster lines of coarse values, smoothed between runs; the tests compare means of runs."""
+    """Raster lines of coarse values, smoothed between runs."""
     lines = grid(spark, sf_dir).select("det_y", "det_x", F.expr("chunk div 25").alias("level"))
-    return splines.by_runs(lines, ["det_y"], "det_x", "level")
+    return splines.by_runs(lines, ["det_y"], "det_x", "level").withColumn("smooth", rounded(F.col("smooth")))
 
 
 @query("""WITH t AS (SELECT l_suppkey % 6 AS k, CAST(sum(l_quantity) AS DOUBLE) AS s FROM lineitem GROUP BY 1), w AS (SELECT CAST(power(2, k) AS BIGINT) AS workers, s AS seconds FROM t)
