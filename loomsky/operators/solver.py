@@ -4,6 +4,9 @@ Vectors are tables keyed by row or column; an iteration is two join-aggregations
 Vectors are written to the shared folder (``spark.checkpoint.dir``) in each iteration, so that plans stay short and lost executors
 cost no more than the current step. Where the unknowns, counted first, are few enough to broadcast, A is dealt by row alone and products stay where
 they are; beyond that it is kept twice, dealt by row and by column, so that only vectors are shuffled.
+
+``solve_observed`` needs no A. Observations, each of one sky pixel and one offset, are a table of buckets by sky pixel, in which each carries its own
+part of u. The unknowns are a table of as many buckets, so neither observations nor u ever move again: a step shuffles sums by offset.
 """
 
 from __future__ import annotations
@@ -90,7 +93,7 @@ def solve(
             size = _norm(right, "u")
             right = right.select("row", F.col("left").alias("u"))
         machine = _Lsqr(damp) if method == "lsqr" else _Lsmr(damp)
-        state, n, trace, ok = _iterate(machine, times, back, store, right, size, atol, btol, iterations)
+        state, n, trace, ok = _iterate(machine, _Long(times, back, store, right), size, atol, btol, iterations)
         x = state.join(start.withColumnRenamed("v", "_start"), "col").join(norms, "col")
         x = x.select("col", ((F.col("x") + F.col("_start")) / F.col("norm")).alias("value"))
         return Solution(store.keep(x), n, trace[-1] if trace else 0.0, trace, ok)
@@ -101,26 +104,44 @@ def solve(
             by_col.unpersist()
 
 
-def _iterate(machine, times, back, store: Store, u: DataFrame, size: float, atol: float, btol: float, limit: int):
+class _Long:
+    """Products with A as a long table, and u as a table by row."""
+
+    def __init__(self, times, back, store: Store, u: DataFrame):
+        self.times, self.back, self.store = times, back, store
+        self.beta = _norm(u, "u")
+        self.u = u.select("row", (F.col("u") / (self.beta or 1.0)).alias("u"))
+
+    def first(self, columns: tuple[str, ...]) -> DataFrame:
+        return self.store.keep(self.back(self.u).select("col", F.col("atu").alias("v"), F.lit(0.0).alias("x"), *[F.lit(0.0).alias(c) for c in columns]), "state")
+
+    def forward(self, state: DataFrame, alpha: float) -> float:
+        u = self.times(state).join(self.u, "row", "full").select("row", (F.coalesce("av", F.lit(0.0)) - alpha * F.coalesce("u", F.lit(0.0))).alias("u"))
+        u = self.store.keep(u, "u")
+        beta = _norm(u, "u")
+        self.u = u.select("row", (F.col("u") / (beta or 1.0)).alias("u"))
+        return beta
+
+    def backward(self, state: DataFrame, beta: float) -> DataFrame:
+        state = state.join(self.back(self.u), "col", "left").withColumn("_v", F.coalesce("atu", F.lit(0.0)) - beta * F.col("v")).drop("atu")
+        return self.store.keep(state, "state")
+
+
+def _iterate(machine, system, size: float, atol: float, btol: float, limit: int):
     """Golub and Kahan's bidiagonalisation, with a ``machine`` that turns its numbers into the next solution.
 
-    The state is one table, ``col, v, x`` and the machine's own columns. A round writes two tables: the new u, and the state with
+    The state is one table, ``col, v, x`` and the machine's own columns. A round writes two tables: the ``system``'s new u, and the state with
     what A' u adds to v; those before them are deleted. Scaling by norms and the machine's updates are projections of what was written."""
-    beta = _norm(u, "u")
-    u = u.select("row", (F.col("u") / (beta or 1.0)).alias("u"))
-    state = store.keep(back(u).select("col", F.col("atu").alias("v"), F.lit(0.0).alias("x"), *[F.lit(0.0).alias(c) for c in machine.columns]), "state")
+    beta = system.beta
+    state = system.first(machine.columns)
     alpha = _norm(state)
     state = machine.begin(state.withColumn("v", F.col("v") / (alpha or 1.0)), alpha, beta)
     if alpha * beta == 0:
         return state, 0, [beta], True
     frobenius, trace = alpha**2, []
     for n in range(1, limit + 1):
-        u = times(state).join(u, "row", "full").select("row", (F.coalesce("av", F.lit(0.0)) - alpha * F.coalesce("u", F.lit(0.0))).alias("u"))
-        u = store.keep(u, "u")
-        beta = _norm(u, "u")
-        u = u.select("row", (F.col("u") / (beta or 1.0)).alias("u"))
-        state = state.join(back(u), "col", "left").withColumn("_v", F.coalesce("atu", F.lit(0.0)) - beta * F.col("v")).drop("atu")
-        state = store.keep(state, "state")
+        beta = system.forward(state, alpha)
+        state = system.backward(state, beta)
         alpha, x_norm = state.agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))), F.sqrt(F.sum(F.col("x") * F.col("x")))).first()
         frobenius += alpha**2 + beta**2
         state, residual, gradient = machine.step(state.withColumn("v", F.col("_v") / (alpha or 1.0)).drop("_v"), alpha, beta)
@@ -131,6 +152,138 @@ def _iterate(machine, times, back, store: Store, u: DataFrame, size: float, atol
     return state, limit, trace, False
 
 
+def solve_observed(
+    rows: DataFrame,
+    *,
+    more: tuple[DataFrame, DataFrame] | None = None,
+    method: str = "lsmr",
+    x0: DataFrame | None = None,
+    damp: float = 0.0,
+    atol: float = 1e-6,
+    btol: float = 1e-6,
+    iterations: int = 100,
+    precondition: bool = True,
+) -> Solution:
+    """As ``solve``, for a system that is never written out: ``rows`` (``sky, off, weight, value``) stand for weight (x[sky] + x[off]) = weight value.
+    ``sky`` and ``off`` are columns of their own numbers; a row without ``off`` is of its sky pixel alone, as damping is. Rows without a sky pixel,
+    weight or value (or with NaN as their value) count for nothing. ``more`` is A and b of rows of offsets alone, as regularisation and means are. Offsets are broadcast while they are
+    at most ``SMALL``, counted first; beyond that observations are joined with them by shuffling."""
+    if method not in ("lsqr", "lsmr"):
+        raise ValueError(f"method {method!r} is neither lsqr nor lsmr")
+    spark = rows.sparkSession
+    store, parts = Store(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = F.lit(1.0)
+    try:
+        given = rows.select(*[F.col(c).cast("bigint").alias(c) for c in ("sky", "off")], *[F.col(c).cast("double").alias(c) for c in ("weight", "value")])
+        given = given.where("sky is not null and weight is not null and value is not null and not isnan(value)")
+        given = store.keep_dealt(given.repartition(parts, "sky"), "sky", parts, "given")
+        square = F.sum(F.col("weight") * F.col("weight")).alias("_s")
+        offsets = given.where("off is not null").groupBy(F.col("off").alias("col")).agg(square)
+        beside = None
+        if more is not None:
+            beside = store.keep(more[0].select("row", F.col("col").cast("bigint").alias("col"), F.col("val").cast("double").alias("val")), "unscaled")
+            offsets = offsets.union(beside.select("col", F.col("val") * F.col("val"))).groupBy("col").agg(F.sum("_s").alias("_s"))
+        norm = F.when(F.col("_s") > 0, F.sqrt("_s")).otherwise(one) if precondition else one
+        is_sky = F.lit(True).alias("is_sky")
+        both = given.groupBy(F.col("sky").alias("col")).agg(square).select("col", norm.alias("norm"), is_sky).union(offsets.select("col", norm.alias("norm"), F.lit(False)))
+        norms = store.keep_dealt(both.repartition(parts, "col"), "col", parts, "norms")
+        small = norms.where("not is_sky").count() <= SMALL
+        start = norms.withColumn("v", F.lit(0.0))
+        if x0 is not None:
+            start = norms.join(x0.select("col", F.col("value").cast("double").alias("_x")), "col", "left")
+            start = start.select("col", "norm", "is_sky", (F.coalesce("_x", F.lit(0.0)) * F.col("norm")).alias("v"))
+        start = store.keep_dealt(start.repartition(parts, "col"), "col", parts, "start")
+        system = _Observed(store, parts, norms, small)
+        size = system.begin(given, start, beside, None if more is None else more[1])
+        machine = _Lsqr(damp) if method == "lsqr" else _Lsmr(damp)
+        state, n, trace, ok = _iterate(machine, system, size, atol, btol, iterations)
+        x = state.select("col", "x").join(start.select("col", "norm", F.col("v").alias("_start")), "col")
+        x = store.keep(x.select("col", ((F.col("x") + F.col("_start")) / F.col("norm")).alias("value")))
+        return Solution(x, n, trace[-1] if trace else 0.0, trace, ok)
+    finally:
+        store.drop("given", "unscaled", "norms", "start", "beside", "rows", "more", "state")
+
+
+class _Observed:
+    """Products with observations in buckets by sky pixel (``sky, off, s, o, u``: s and o are a row's two entries of A, scaled) and with rows of offsets
+    alone (``beside`` of A, ``more`` of u)."""
+
+    def __init__(self, store: Store, parts: int, norms: DataFrame, small: bool):
+        self.store, self.parts, self.norms, self.small = store, parts, norms, small
+        self.beside = self.more = None
+
+    def _split(self, table: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+        """``table`` of unknowns as sky (``sky``) and offsets (``off``), with ``columns`` renamed so that they don't clash."""
+        sky = table.where("is_sky").select(F.col("col").alias("sky"), *[F.col(c).alias(f"_sky_{c}") for c in columns])
+        off = table.where("not is_sky").select(F.col("col").alias("off"), *[F.col(c).alias(f"_off_{c}") for c in columns])
+        return sky.hint("shuffle_hash"), F.broadcast(off) if self.small else off
+
+    def begin(self, given: DataFrame, start: DataFrame, beside: DataFrame | None, right: DataFrame | None) -> float:
+        """Scale A, take the start off b, and return b's norm."""
+        sky, off = self._split(start, "norm", "v")
+        s, o = F.col("weight") / F.col("_sky_norm"), F.when(F.col("off").isNotNull(), F.col("weight") / F.col("_off_norm")).otherwise(0.0)
+        rows = given.join(sky, "sky").join(off, "off", "left").withColumns({"s": s, "o": o})
+        left = F.col("weight") * F.col("value") - F.col("s") * F.col("_sky_v") - F.col("o") * F.coalesce("_off_v", F.lit(0.0))
+        self.rows = self._written(rows.withColumn("u", left))
+        size = given.agg(F.sum((F.col("weight") * F.col("value")) ** 2)).first()[0] or 0.0
+        if beside is not None:
+            scaled = beside.join(off.withColumnRenamed("off", "col"), "col").withColumn("val", F.col("val") / F.col("_off_norm"))
+            at = scaled.groupBy("row").agg(F.sum(F.col("val") * F.col("_off_v")).alias("_av"))
+            right = right.groupBy("row").agg(F.sum(F.col("val").cast("double")).alias("_b"))
+            self.beside = self.store.keep(scaled.select("row", "col", "val"), "beside")
+            self.more = self.store.keep(at.join(right, "row", "full").select("row", F.coalesce("_b", F.lit(0.0)).alias("b"), (F.coalesce("_b", F.lit(0.0)) - F.coalesce("_av", F.lit(0.0))).alias("u")), "more")
+            size += self.more.agg(F.sum(F.col("b") * F.col("b"))).first()[0] or 0.0
+        self.beta = self._scale()
+        return math.sqrt(size)
+
+    def _written(self, rows: DataFrame) -> DataFrame:
+        return self.store.keep_dealt(rows.select("sky", "off", "s", "o", "u"), "sky", self.parts, "rows")
+
+    def _scale(self) -> float:
+        """The norm of u, which u is divided by from here on."""
+        beta = math.hypot(_norm(self.rows, "u"), _norm(self.more, "u") if self.more is not None else 0.0)
+        self.rows = self.rows.withColumn("u", F.col("u") / (beta or 1.0))
+        if self.more is not None:
+            self.more = self.more.select("row", (F.col("u") / (beta or 1.0)).alias("u"))
+        return beta
+
+    def product(self, state: DataFrame, alpha: float) -> DataFrame:
+        """Observations with A v - alpha u as their u."""
+        sky, off = self._split(state, "v")
+        met = self.rows.join(sky, "sky").join(off, "off", "left")
+        return met.withColumn("u", F.col("s") * F.col("_sky_v") + F.col("o") * F.coalesce("_off_v", F.lit(0.0)) - alpha * F.col("u"))
+
+    def added(self, state: DataFrame) -> DataFrame:
+        """``state`` with ``atu``, what A' u adds to each unknown."""
+        u = F.col("u")
+        sky = self.rows.groupBy(F.col("sky").alias("col")).agg(F.sum(F.col("s") * u).alias("_atu_s"))
+        off = self.rows.where("off is not null").groupBy(F.col("off").alias("col")).agg(F.sum(F.col("o") * u).alias("_atu_o"))
+        if self.more is not None:
+            beside = self.beside.join(self.more, "row").select("col", F.col("val") * u)
+            off = off.union(beside).groupBy("col").agg(F.sum("_atu_o").alias("_atu_o"))
+        met = state.join(sky.hint("shuffle_hash"), "col", "left").join(F.broadcast(off) if self.small else off, "col", "left")
+        return met.withColumn("atu", F.coalesce("_atu_s", "_atu_o", F.lit(0.0))).drop("_atu_s", "_atu_o")
+
+    def first(self, columns: tuple[str, ...]) -> DataFrame:
+        state = self.added(self.norms.select("col", "is_sky"))
+        state = state.select("col", "is_sky", F.col("atu").alias("v"), F.lit(0.0).alias("x"), *[F.lit(0.0).alias(c) for c in columns])
+        return self.store.keep_dealt(state, "col", self.parts, "state")
+
+    def forward(self, state: DataFrame, alpha: float) -> float:
+        met = self.product(state, alpha)
+        if self.more is not None:
+            v = state.where("not is_sky").select("col", "v")
+            at = self.beside.join(F.broadcast(v) if self.small else v, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("v")).alias("_av"))
+            more = self.more.join(at, "row", "left").select("row", (F.coalesce("_av", F.lit(0.0)) - alpha * F.col("u")).alias("u"))
+            self.more = self.store.keep(more, "more")
+        self.rows = self._written(met)
+        return self._scale()
+
+    def backward(self, state: DataFrame, beta: float) -> DataFrame:
+        state = self.added(state).withColumn("_v", F.col("atu") - beta * F.col("v")).drop("atu")
+        return self.store.keep_dealt(state, "col", self.parts, "state")
+
+
 class _Lsqr:
     columns = ("w",)
 

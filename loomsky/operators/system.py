@@ -83,6 +83,12 @@ def data_rows(
     return matrix, once.select("row", (F.col("w") * F.col("v")).alias("val"))
 
 
+def observed_rows(obs: DataFrame, ny: int, nx: int, n_chunks: int, *, value: str = "value", weight: str = "weight") -> DataFrame:
+    """The same system as that of ``data_rows`` without shares, a row for each observation: ``sky, off, weight, value``."""
+    seen = obs.where(F.col(weight) > 0).where(F.col("ref_y").between(0, ny - 1) & F.col("ref_x").between(0, nx - 1))
+    return seen.select(sky_column(nx).alias("sky"), offset_column(ny * nx, n_chunks).alias("off"), F.col(weight).alias("weight"), F.col(value).alias("value"))
+
+
 def regularisation_rows(frames: DataFrame, adjacency: DataFrame, weight: float, n_sky: int, n_chunks: int) -> DataFrame:
     """A of reg O[i] - reg O[j] = 0 for each frame with data and adjacent pair: ``frame, chunk_i, chunk_j, col, val``; number the rows by the
     first three. The pairs are a table of the instrument."""

@@ -119,9 +119,12 @@ k0 AS MATERIALIZED (SELECT sqrt(sum(v * v)) AS alpha, sqrt(sum(v * v)) AS rho_ba
 t0 AS MATERIALIZED (SELECT col, v / alpha AS v, v / alpha AS w, 0e0 AS x FROM r0, k0)"""
 
 
-@query(f"""WITH {_ROWS}, {_A}, {_B}, {_LSQR_SQL},{",".join(map(_step_sql, (1, 2, 3)))}
+_THREE_STEPS = f"""WITH {_ROWS}, {_A}, {_B}, {_LSQR_SQL},{",".join(map(_step_sql, (1, 2, 3)))}
 SELECT CASE WHEN col < n_sky THEN 'sky' ELSE 'offset' END AS part, CASE WHEN col < n_sky THEN col // {WIDTH} ELSE (col - n_sky) // {CHUNKS} END AS i,
-CASE WHEN col < n_sky THEN col % {WIDTH} ELSE (col - n_sky) % {CHUNKS} END AS j, CAST(round(x / norm) AS BIGINT) AS cents FROM t3 JOIN norms USING (col), size""")
+CASE WHEN col < n_sky THEN col % {WIDTH} ELSE (col - n_sky) % {CHUNKS} END AS j, CAST(round(x / norm) AS BIGINT) AS cents FROM t3 JOIN norms USING (col), size"""
+
+
+@query(_THREE_STEPS)
 def lsqr_3_iters(spark, sf_dir):
     """Three steps of LSQR from 0, to the cent."""
     a, b, n_sky = _system(spark, sf_dir)
@@ -129,6 +132,19 @@ def lsqr_3_iters(spark, sf_dir):
     return _parts(found, n_sky).select("part", "i", "j", F.round("value").cast("bigint").alias("cents"))
 
 
+def _observed(spark, sf_dir):
+    ny = _ny(spark, sf_dir)
+    return system.observed_rows(obs(spark, sf_dir).where("w > 5"), ny, WIDTH, CHUNKS, value="v", weight="w"), ny * WIDTH
+
+
+@query(_THREE_STEPS)
+def lsqr_observed(spark, sf_dir):
+    """As ``lsqr_3_iters``, on observations in buckets by sky pixel, without A."""
+    rows, n_sky = _observed(spark, sf_dir)
+    found = solver.solve_observed(rows, method="lsqr", atol=0.0, btol=0.0, iterations=3)
+    return _parts(found, n_sky).select("part", "i", "j", F.round("value").cast("bigint").alias("cents"))
+
+
 def _parts(found, n_sky):
     sky, offsets = solver.sky_and_offsets(found.x, WIDTH, n_sky, CHUNKS)
     return sky.select(F.lit("sky").alias("part"), F.col("ref_y").alias("i"), F.col("ref_x").alias("j"), "value").union(
