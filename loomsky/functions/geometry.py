@@ -9,6 +9,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .distortion import Sip
+
 
 def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     """Great-circle distance, by haversines."""
@@ -25,13 +27,14 @@ def cone(df: DataFrame, ra: float, dec: float, radius: float, *, ra_col: str = "
 
 @dataclass(frozen=True)
 class Frame:
-    """A tangent-plane frame: pixel centres count from 0, ``crpix`` from 1, as in its header."""
+    """A tangent-plane frame: pixel centres count from 0, ``crpix`` from 1, as in its header. With ``sip``, of a distorted detector."""
 
     crval: tuple[float, float]
     crpix: tuple[float, float]
     cd: tuple[tuple[float, float], tuple[float, float]]
     ny: int
     nx: int
+    sip: Sip | None = None
 
     def padded(self, pad: int) -> Frame:
         """Larger by ``pad`` pixels on each side."""
@@ -40,7 +43,7 @@ class Frame:
     def upscaled(self, f: float) -> Frame:
         """Pixels smaller by ``f``; crpix is scaled without a half-pixel shift."""
         cd = tuple(tuple(v / f for v in row) for row in self.cd)
-        return replace(self, crpix=(self.crpix[0] * f, self.crpix[1] * f), cd=cd, ny=round(self.ny * f), nx=round(self.nx * f))
+        return replace(self, crpix=(self.crpix[0] * f, self.crpix[1] * f), cd=cd, ny=round(self.ny * f), nx=round(self.nx * f), sip=self.sip and self.sip.scaled(f))
 
     def cropped(self, y_min: int, x_min: int, ny: int, nx: int) -> Frame:
         """The part that begins at a pixel of this frame."""
@@ -51,17 +54,22 @@ class Frame:
         xi, eta = plane(ra, dec, *self.crval)
         (a, b), (c, d) = self.cd
         det = a * d - b * c
-        return (d * xi - b * eta) / det + (self.crpix[0] - 1), (a * eta - c * xi) / det + (self.crpix[1] - 1)
+        u, v = (d * xi - b * eta) / det, (a * eta - c * xi) / det
+        if self.sip:
+            u, v = self.sip.distorted(u, v)
+        return u + (self.crpix[0] - 1), v + (self.crpix[1] - 1)
 
     def sky(self, x: Column, y: Column) -> tuple[Column, Column]:
         """(ra, dec) of a pixel."""
         dx, dy = x - (self.crpix[0] - 1), y - (self.crpix[1] - 1)
+        if self.sip:
+            dx, dy = self.sip.undistorted(dx, dy)
         (a, b), (c, d) = self.cd
         return from_plane(a * dx + b * dy, c * dx + d * dy, *self.crval)
 
 
 def map_pixels(x: Column, y: Column, source: Frame, target: Frame) -> tuple[Column, Column]:
-    """A pixel of one frame in another's pixels."""
+    """A pixel of one frame in another's pixels, distorted or not."""
     return target.pixel(*source.sky(x, y))
 
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distortion import Sip
 from ..functions.geometry import Frame, from_plane, plane
 
 #: bytes of exposures' rows, counted first, up to which they are broadcast
@@ -30,21 +31,25 @@ def _apply(cd: tuple[str, str, str, str], a: Column, b: Column) -> tuple[Column,
     return m[0] * a + m[1] * b, m[2] * a + m[3] * b
 
 
-def to_reference(pixels: DataFrame, frame: Frame, *, y: str = "det_y", x: str = "det_x", out: tuple[str, str] = ("ref_fy", "ref_fx")) -> DataFrame:
-    """Detector places in reference pixels. ``pixels`` have their exposure's ``ra0, dec0, px, py, cd11, cd12, cd21, cd22`` (px, py: the pixel at ra0, dec0)."""
-    xi, eta = _apply(("cd11", "cd12", "cd21", "cd22"), F.col(x) - F.col("px"), F.col(y) - F.col("py"))
+def to_reference(pixels: DataFrame, frame: Frame, *, y: str = "det_y", x: str = "det_x", out: tuple[str, str] = ("ref_fy", "ref_fx"), sip: Sip | None = None) -> DataFrame:
+    """Detector places in reference pixels. ``pixels`` have their exposure's ``ra0, dec0, px, py, cd11, cd12, cd21, cd22`` (px, py: the pixel at ra0, dec0);
+    ``sip`` is their detector's distortion."""
+    u, v = F.col(x) - F.col("px"), F.col(y) - F.col("py")
+    xi, eta = _apply(("cd11", "cd12", "cd21", "cd22"), *(sip.undistorted(u, v) if sip else (u, v)))
     ra, dec = from_plane(xi, eta, F.col("ra0"), F.col("dec0"))
     fx, fy = frame.pixel(ra, dec)
     return pixels.withColumns({out[0]: fy, out[1]: fx})
 
 
-def to_detector(targets: DataFrame, frame: Frame, *, y: str = "ref_y", x: str = "ref_x", out: tuple[str, str] = ("map_y", "map_x")) -> DataFrame:
+def to_detector(targets: DataFrame, frame: Frame, *, y: str = "ref_y", x: str = "ref_x", out: tuple[str, str] = ("map_y", "map_x"), sip: Sip | None = None) -> DataFrame:
     """Reference pixels in detector places, the inverse of ``to_reference``."""
     ra, dec = frame.sky(F.col(x), F.col(y))
     xi, eta = plane(ra, dec, F.col("ra0"), F.col("dec0"))
     det = F.col("cd11") * F.col("cd22") - F.col("cd12") * F.col("cd21")
     dx = (F.col("cd22") * xi - F.col("cd12") * eta) / det
     dy = (F.col("cd11") * eta - F.col("cd21") * xi) / det
+    if sip:
+        dx, dy = sip.distorted(dx, dy)
     return targets.withColumns({out[0]: dy + F.col("py"), out[1]: dx + F.col("px")})
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry
+from ..functions.distortion import Sip
 from ..operators import chunks, coadd, spectral, splines
 from ..sources import readers, sinks
 from ..sources.views import GRID_SQL, OBS_SQL, grid, obs, table
@@ -225,6 +228,34 @@ def map_pixels(spark, sf_dir):
     return cells.select("id", rounded(x, 4).alias("x"), rounded(y, 4).alias("y"))
 
 
+#: of the distorted detector: up to some percent at its corners, which are 30 pixels from the reference pixel
+SIP = Sip({(2, 0): 6e-4, (1, 1): -4e-4, (0, 2): 3e-4, (3, 0): 1e-5, (1, 2): -8e-6}, {(2, 0): -3e-4, (1, 1): 5e-4, (0, 2): 7e-4, (0, 3): -9e-6, (2, 1): 6e-6})
+
+
+def _polynomial_sql(terms, u: str, v: str) -> str:
+    return " + ".join("*".join([f"({c!r}::DOUBLE)", *[u] * p, *[v] * q]) for (p, q), c in terms.items())
+
+
+_A, _B = (_polynomial_sql(t, "u", "v") for t in (SIP.a, SIP.b))
+#: u and v by repeated substitution, each of which leaves a tenth of the error or less
+_SUBSTITUTED = ",".join(f"s{n} AS (SELECT id, x, y, {_A} AS fu, {_B} AS fv, x - 22.3e0 - fu AS u, y - 17.6e0 - fv AS v FROM (SELECT id, x, y, u, v FROM s{n - 1}))" for n in range(1, 19))
+
+
+@query(f"""WITH s0 AS (SELECT c_custkey AS id, CAST(c_custkey % 50 AS DOUBLE) AS x, CAST(c_custkey % 40 AS DOUBLE) AS y, x - 22.3e0 AS u, y - 17.6e0 AS v FROM customer), {_SUBSTITUTED},
+t AS (SELECT id, 20e0 + 2e0 * (u + {_A}) AS tx, 30e0 + 2e0 * (v + {_B}) AS ty FROM s0)
+SELECT id, {rounded_sql("tx", 4)} AS plain_x, {rounded_sql("ty", 4)} AS plain_y, {rounded_sql("22.3e0 + u", 4)} AS seen_x, {rounded_sql("17.6e0 + v", 4)} AS seen_y FROM t JOIN s18 USING (id)""")
+def distorted_pixels(spark, sf_dir):
+    """Pixels of a distorted detector in a plain frame of half its pixel size, and the detector pixels where plain ones are seen."""
+    plain = geometry.Frame((120.0, 10.0), (21.0, 31.0), ((-0.0005, 0.0), (0.0, 0.0005)), 80, 100)
+    same = geometry.Frame((120.0, 10.0), (23.3, 18.6), ((-0.001, 0.0), (0.0, 0.001)), 40, 50)
+    seen = replace(same, sip=SIP)
+    cells = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50).cast("double").alias("x"), (F.col("c_custkey") % 40).cast("double").alias("y")
+    )
+    there, back = geometry.map_pixels(F.col("x"), F.col("y"), seen, plain), geometry.map_pixels(F.col("x"), F.col("y"), same, seen)
+    return cells.select("id", *[rounded(c, 4).alias(n) for c, n in zip((*there, *back), ("plain_x", "plain_y", "seen_x", "seen_y"))])
+
+
 _PLACE = "CAST(c_custkey * 37 % 3600 AS DOUBLE) / 10e0 AS ra, CAST(c_custkey * 11 % 1600 AS DOUBLE) / 10e0 - 80e0 AS dec"
 
 
