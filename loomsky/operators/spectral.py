@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import Store
+
 
 def cube(maps: DataFrame, *, keys: Sequence[str] = ("ref_y", "ref_x"), layer: str = "layer") -> DataFrame:
     """``keys, data, wave``: each pixel's layers (``layer, value, wave``) as arrays in order. A pixel has as many rows as there are channels."""
@@ -90,29 +92,118 @@ def kasa(sums: DataFrame) -> DataFrame:
     return out.withColumn("radius", F.sqrt(F.greatest(c + F.col("xc") ** 2 + F.col("yc") ** 2, F.lit(0.0))))
 
 
-def fit_arcs(points: DataFrame, start: tuple[float, float], *, edge: str = "edge", x: str = "x", y: str = "y", rounds: int = 50, tolerance: float = 1e-10):
-    """One centre for the arcs of all edges, and a radius for each: ((xc, yc), {edge: radius}), by Gauss-Newton.
+def _round_sums(x: Column, y: Column, xc: Column, yc: Column) -> dict[str, Column]:
+    """What a round of a geometric fit needs of points about (xc, yc): counts and sums of the distances, of the directions from them and of products."""
+    dx, dy = xc - x, yc - y
+    d = F.sqrt(dx * dx + dy * dy)
+    u, v = F.when(d > 0, dx / d).otherwise(0.0), F.when(d > 0, dy / d).otherwise(0.0)
+    terms = {"d": d, "u": u, "v": v, "dd": d * d, "uu": u * u, "uv": u * v, "vv": v * v, "ud": u * d, "vd": v * d}
+    return {"n": F.count("*")} | {f"s{k}": F.sum(t) for k, t in terms.items()}
+
+
+#: of Levenberg and Marquardt's damping: at the start, what a step that helps or doesn't multiplies it by, and where it gives up
+DAMPING, EASED, RAISED, HOPELESS = 1e-3, 0.1, 10.0, 1e12
+
+
+def fit_circles(points: DataFrame, *, by: Sequence[str], x: str = "x", y: str = "y", rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """``by, xc, yc, radius, rms, converged``: for each group the circle with the least squares of distances to its points, by Levenberg and Marquardt's
+    method from the algebraic circle, which is biased where arcs are short and noisy.
 
-    At a given centre the best radius of an edge is the mean distance of its points. So a round needs of each edge the means of the
-    distances and directions and their products, which is all that leaves Spark."""
-    xc, yc = start
+    At a given centre the best radius is the mean distance. So a round needs of each group ten sums at the centre on trial; groups are as many as sums, and
+    their state, a row each, is written to the shared folder in each round. Groups that have settled aren't summed again. A group whose points lie on a line, or are fewer than
+    three, is null and not converged, as is the flag of one that hasn't settled after ``rounds``. Points without a place or a group don't count."""
+    own = F.lit(True)
+    for c in (x, y):
+        own &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    for c in by:
+        own &= F.col(c).isNotNull()
+    points = points.where(own).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).persist()
+    store = Store(points.sparkSession)
+    try:
+        # about the points' mean, so that large coordinates lose no digits
+        means = points.groupBy(*by).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+        means = store.keep(means, "means")
+        few = F.broadcast if means.count() <= 1_000_000 else lambda df: df
+        moved = points.join(few(means), list(by)).withColumns({"_x": F.col("_x") - F.col("_mx"), "_y": F.col("_y") - F.col("_my")}).drop("_mx", "_my")
+        first = kasa(circle_sums(moved, x="_x", y="_y", by=by))
+        none = F.lit(None).cast("double")
+        state = first.select(*by, F.col("n").alias("_n"), F.when(F.col("n") >= 3, F.col("xc")).alias("tx"), F.when(F.col("n") >= 3, F.col("yc")).alias("ty"), *[none.alias(c) for c in _STATE], F.lit(DAMPING).alias("damp"))
+        state = store.keep(state.withColumn("done", F.col("tx").isNull()).withColumn("converged", F.lit(False)), "state")
+        for _ in range(rounds):
+            trial = few(state.where("not done").select(*by, "tx", "ty"))
+            sums = moved.join(trial, list(by)).groupBy(*by).agg(*[c.alias(k) for k, c in _round_sums(F.col("_x"), F.col("_y"), F.col("tx"), F.col("ty")).items()])
+            state = store.keep(_tried(state.join(few(sums), list(by), "left"), tolerance).select(state.columns), "state")
+            if state.where("not done").isEmpty():
+                break
+        out = state.join(few(means), list(by)).select(
+            *by, (F.col("xc") + F.col("_mx")).alias("xc"), (F.col("yc") + F.col("_my")).alias("yc"), F.col("r").alias("radius"), F.sqrt(F.greatest(F.col("cost"), F.lit(0.0)) / F.col("_n")).alias("rms"), "converged",
+        )
+        return store.keep(out)
+    finally:
+        points.unpersist()
+        store.drop("means", "state")
+
+
+#: of a group: its centre so far, with the radius, the cost and the normal equations there
+_STATE = ("xc", "yc", "r", "cost", "auu", "auv", "avv", "gu", "gv")
+
+
+def _tried(met: DataFrame, tolerance: float) -> DataFrame:
+    """Groups after a trial: it is taken where it costs no more, and the next one is found with less damping, otherwise with more."""
+    c, n = F.col, F.col("n")
+    met = met.withColumns({
+        "_r": c("sd") / n, "_cost": c("sdd") - c("sd") * c("sd") / n, "_auu": c("suu") - c("su") * c("su") / n, "_auv": c("suv") - c("su") * c("sv") / n,
+        "_avv": c("svv") - c("sv") * c("sv") / n, "_gu": c("sud") - c("su") * c("sd") / n, "_gv": c("svd") - c("sv") * c("sd") / n,
+    })
+    active = ~c("done")
+    better = active & (c("cost").isNull() | (c("_cost") <= c("cost")))
+    new = {"xc": c("tx"), "yc": c("ty"), **{k: c(f"_{k}") for k in _STATE[2:]}}
+    first = c("cost").isNull()
+    met = met.withColumns({"_better": better, "_first": first, "_step": F.greatest(F.abs(c("tx") - c("xc")), F.abs(c("ty") - c("yc")))})
+    met = met.withColumns({k: F.when(c("_better"), v).otherwise(c(k)) for k, v in new.items()} | {
+        "damp": F.when(c("done") | c("_first"), c("damp")).when(c("_better"), c("damp") * EASED).otherwise(c("damp") * RAISED),
+    })
+    a, d, b = c("auu") * (1 + c("damp")), c("avv") * (1 + c("damp")), c("auv")
+    det = F.when(a * d - b * b > 0, a * d - b * b)
+    met = met.withColumns({"_su": (b * c("gv") - d * c("gu")) / det, "_sv": (b * c("gu") - a * c("gv")) / det})
+    size = F.greatest(F.lit(1.0), F.abs(c("xc")), F.abs(c("yc")))
+    still = F.greatest(F.abs(c("_su")), F.abs(c("_sv"))) <= tolerance * size
+    settled = F.coalesce(still, F.lit(False))
+    stuck = c("_su").isNull() | (c("damp") > HOPELESS)
+    return met.withColumns({
+        "converged": c("converged") | (active & settled), "tx": F.when(active, c("xc") + c("_su")).otherwise(c("tx")), "ty": F.when(active, c("yc") + c("_sv")).otherwise(c("ty")),
+        "done": c("done") | settled | stuck,
+    })
+
+
+def fit_arcs(points: DataFrame, start: tuple[float, float], *, edge: str = "edge", x: str = "x", y: str = "y", rounds: int = 100, tolerance: float = 1e-10):
+    """One centre for the arcs of all edges, and a radius for each: ((xc, yc), {edge: radius}), by Levenberg and Marquardt's method, so that a start may be far off.
+
+    At a given centre the best radius of an edge is the mean distance of its points. So a round needs of each edge ten sums about the centre on trial, which
+    is all that leaves Spark. It's an error if the centre doesn't settle."""
     points = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).persist()
+    (xc, yc), damp, cost, trial = start, DAMPING, None, start
     try:
         for _ in range(rounds):
-            dx, dy = F.lit(float(xc)) - F.col(x), F.lit(float(yc)) - F.col(y)
-            d = F.sqrt(dx * dx + dy * dy)
-            u, v = dx / d, dy / d
-            rows = points.groupBy(edge).agg(F.count("*"), *[F.sum(t) for t in (d, u, v, u * u, u * v, v * v, u * d, v * d)]).collect()  # the edges
+            terms = _round_sums(F.col(x), F.col(y), F.lit(float(trial[0])), F.lit(float(trial[1])))
+            rows = points.groupBy(edge).agg(*[t.alias(k) for k, t in terms.items()]).collect()  # the edges
             if not rows:
                 raise ValueError("no points to fit")
-            a, g = np.zeros((2, 2)), np.zeros(2)
-            for _, n, sd, su, sv, suu, suv, svv, sud, svd in rows:
-                a += [[suu - su * su / n, suv - su * sv / n], [suv - su * sv / n, svv - sv * sv / n]]
-                g += [sud - su * sd / n, svd - sv * sd / n]
-            step = np.linalg.lstsq(a, -g, rcond=None)[0]
-            xc, yc = xc + step[0], yc + step[1]
+            tried = sum(r.sdd - r.sd * r.sd / r.n for r in rows)
+            if cost is None or tried <= cost:
+                damp = damp if cost is None else damp * EASED
+                (xc, yc), cost = trial, tried
+                radii = {r[edge]: r.sd / r.n for r in rows}
+                a = sum(np.array([[r.suu - r.su * r.su / r.n, r.suv - r.su * r.sv / r.n], [r.suv - r.su * r.sv / r.n, r.svv - r.sv * r.sv / r.n]]) for r in rows)
+                g = sum(np.array([r.sud - r.su * r.sd / r.n, r.svd - r.sv * r.sd / r.n]) for r in rows)
+            else:
+                damp *= RAISED
+            step = np.linalg.lstsq(a + damp * np.diag(np.diag(a)), -g, rcond=None)[0]
             if np.abs(step).max() <= tolerance * max(1.0, abs(xc), abs(yc)):
-                return (float(xc), float(yc)), {r[0]: r[2] / r[1] for r in rows}
+                return (float(xc), float(yc)), radii
+            if damp > HOPELESS:
+                break
+            trial = (xc + step[0], yc + step[1])
         raise RuntimeError(f"the arcs' centre did not settle in {rounds} rounds")
     finally:
         points.unpersist()

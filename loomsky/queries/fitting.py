@@ -154,6 +154,32 @@ def arc_fit(spark, sf_dir):
     return found.select("edge", *[rounded(F.col(c), 4).alias(c) for c in ("xc", "yc", "radius")])
 
 
+def _circle_sql(n: int) -> str:
+    """A step of Gauss and Newton's method from the centres c{n - 1}."""
+    return f"""
+d{n} AS (SELECT edge, sqrt((xc - x) * (xc - x) + (yc - y) * (yc - y)) AS d, (xc - x) / d AS u, (yc - y) / d AS v FROM p JOIN c{n - 1} USING (edge)),
+q{n} AS (SELECT edge, covar_pop(u, u) AS a, covar_pop(u, v) AS b, covar_pop(v, v) AS c, covar_pop(u, d) AS gu, covar_pop(v, d) AS gv FROM d{n} GROUP BY edge),
+c{n} AS MATERIALIZED (SELECT edge, xc + (b * gv - c * gu) / (a * c - b * b) AS xc, yc + (b * gu - a * gv) / (a * c - b * b) AS yc FROM c{n - 1} JOIN q{n} USING (edge))"""
+
+
+#: steps of the SQL, many more than are needed
+_CIRCLE_STEPS = 25
+
+
+@query(f"""WITH {GRID_SQL}, p AS MATERIALIZED (SELECT chunk % 5 AS edge, CAST(det_x AS DOUBLE) AS x, 80e0 - sqrt((60e0 + 5e0 * CAST(chunk % 5 AS DOUBLE)) * (60e0 + 5e0 * CAST(chunk % 5 AS DOUBLE)) - (det_x - 25e0) * (det_x - 25e0)) + CAST(raster % 101 - 50 AS DOUBLE) / 100e0 AS y FROM grid),
+c0 AS MATERIALIZED (SELECT DISTINCT edge, 25e0 AS xc, 80e0 AS yc FROM p),{",".join(_circle_sql(n) for n in range(1, _CIRCLE_STEPS + 1))}
+SELECT edge, {rounded_sql("any_value(xc)", 4)} AS xc, {rounded_sql("any_value(yc)", 4)} AS yc, {rounded_sql("avg(sqrt((xc - x) * (xc - x) + (yc - y) * (yc - y)))", 4)} AS radius, true AS converged
+FROM p JOIN c{_CIRCLE_STEPS} USING (edge) GROUP BY edge""")
+def arc_fit_geometric(spark, sf_dir):
+    """A circle for each edge with the least squares of distances, to rows planted on arcs of the raster and moved by up to half a cell."""
+    edge = F.col("chunk") % 5
+    radius = 60.0 + 5.0 * edge.cast("double")
+    y = 80.0 - F.sqrt(radius * radius - (F.col("det_x") - 25.0) * (F.col("det_x") - 25.0)) + (F.col("raster") % 101 - 50).cast("double") / 100.0
+    points = grid(spark, sf_dir).select(edge.alias("edge"), F.col("det_x").cast("double").alias("x"), y.alias("y"))
+    found = spectral.fit_circles(points, by=["edge"])
+    return found.select("edge", *[rounded(F.col(c), 4).alias(c) for c in ("xc", "yc", "radius")], "converged")
+
+
 @query()
 def arc_fit_joint(spark, sf_dir):
     """One centre and a radius for each edge, fitted to rows planted on arcs of the raster; the tests compare with them."""
