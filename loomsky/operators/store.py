@@ -24,9 +24,13 @@ class Store:
             raise ValueError("spark.checkpoint.dir names no shared folder")
         self.root = (root or _own_folder()).rstrip("/")
 
+    def place(self) -> str:
+        """A path of its own in the shared folder."""
+        return f"{self.root}/{uuid.uuid4().hex}"
+
     def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """``df`` written and read again. The table that had this ``name`` before is deleted, as nothing reads it any more."""
-        path = f"{self.root}/{uuid.uuid4().hex}"
+        path = self.place()
         df.write.parquet(path)
         if name:
             self.drop(name)

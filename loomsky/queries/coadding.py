@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import masks
 from ..operators import coadd, selection, system
+from ..operators.store import Store
+from ..sources import tiled
 from ..sources.views import FRAMES_SQL, GRID_SQL, OBS_SQL, WIDTH, frames, grid, obs
 from . import query
 
@@ -53,6 +55,17 @@ def coadd_cache(spark, sf_dir):
     return coadd.coadd(weighed, "cache", weight="w").select("frame", "ref_y", "ref_x", "v", "w")
 
 
+@query(f"""WITH {OBS_SQL}, side AS (SELECT max(ref_y) AS last FROM obs) SELECT frame, ref_y, ref_x, ord, line, v, w FROM obs, side WHERE w <> 0 AND (dq & 1) = 0 AND ref_y BETWEEN last // 4 AND last // 2 AND ref_x BETWEEN 10 AND 29""")
+def cached_box(spark, sf_dir):
+    """A part of the sky from a cache that is stored in the order of the sky: only files whose boxes meet it are opened."""
+    seen = obs(spark, sf_dir)
+    weighed = seen.withColumn("w", F.when(masks.is_flagged(F.col("dq"), range(1, 32)), 0).otherwise(F.col("w")))
+    path = Store(spark).place()
+    tiled.write_tiled(weighed.select("frame", "ref_y", "ref_x", "ord", "line", "v", "w"), path, files=16, tile=8, weight="w")
+    last = seen.agg(F.max("ref_y")).first()[0]
+    return tiled.read_box(spark, path, last // 4, last // 2, 10, 29)
+
+
 @query(f"""WITH {OBS_SQL},
 joined AS (SELECT ref_y, ref_x, w * p_size AS k, CAST(round(p_retailprice * 100) AS BIGINT) AS c, CAST(p_size AS BIGINT) AS s FROM obs JOIN part ON pix = p_partkey),
 sums AS (SELECT ref_y, ref_x, CAST(sum(k) AS DOUBLE) AS w0, CAST(sum(k * c) AS DOUBLE) AS c0, sum(k * (s * s / 12e0 + c * c)) AS q0, CAST(sum(k) AS BIGINT) AS weight FROM joined WHERE k > 0 GROUP BY ALL)
