@@ -439,6 +439,30 @@ def test_wrappers_find_articles_that_nothing_names(spark):
     assert got[100] == "list " * 9 + "0" and got[200] == got[201] == ""
 
 
+def test_wrappers_are_inferred_from_all_pages_of_a_host(spark):
+    # A layout of few of a host's pages, and copies that would make an article's text look like the template's.
+    rows = [(n, f"http://h.net/{n}", neutral(n)) for n in range(5)] + [(1000 + n, f"http://h.net/c{n}", neutral(4)) for n in range(40)]
+    rows += [(100 + n, f"http://h.net/l{n}", f"<html><body><table><tr><td>{'list ' * 9}{n}</td></tr></table></body></html>") for n in range(300)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in [*range(5), *range(1000, 1040)]:
+        k = min(n, 4)
+        text = f"story {k} " + " ".join(f"w{k * k + i}" for i in range(12))
+        assert got[n] == "\n".join([f"Head {k}", text, *[f"{text} more {i}" for i in range(k % 3)]])
+    assert all(got[100 + n] == f"{'list ' * 9}{n}" for n in range(300))
+
+
+def test_streams_are_aligned_in_rounds_to_the_same_wrappers(spark, monkeypatch):
+    rows = [("h.net", n, neutral(n) if n % 3 else neutral(n).replace("<div class=d>", f"<div class=e{n}><p>extra {n}</p></div><div class=d>")) for n in range(60)]
+    pages = spark.createDataFrame(rows, "host string, page_id long, html string")
+    at_once = wrappers.inferred(pages).collect()
+    monkeypatch.setattr(wrappers, "FAN", 4)
+    in_rounds = wrappers.inferred(pages).collect()
+    assert len(at_once) == len(in_rounds) == 1
+    (one,), (other,) = wrappers._read(at_once[0].wrappers), wrappers._read(in_rounds[0].wrappers)
+    assert one == other and one[0] == "/html/body/div.b/div.c"
+    assert {wrappers.number(t) for t in ("Welcome to our fine site", "Join our mailing list", "Printed by us")} == one[1]
+
+
 def test_names_that_only_look_like_those_of_other_places():
     for name in ("social-science", "side effects", "related-work", "share-price", "comment-on-law", "form-of-government", "header-image-caption"):
         assert wrappers.main_text(f"<main><p>a</p><div class='{name}'>kept</div></main>") == "a\nkept"
