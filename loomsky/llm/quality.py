@@ -25,6 +25,8 @@ from .words import C1, mix
 ORDER = 5
 #: rows of a file that form a block, and characters that are looked at together
 BLOCK_ROWS, AT_ONCE = 1 << 17, 1 << 20
+#: characters that are hashed together, so that they stay in a core's cache, and bits of a number's place in a table
+STRIP, SLOTS = 1 << 14, 20
 #: one trusted document in so many is kept from training, to set thresholds
 FOLDS = 5
 BLOCK, SCORE = "_block_of_rows", "_perplexity"
@@ -51,11 +53,52 @@ def _chunks(texts: list[str | None], order: int) -> Iterator[tuple[int, np.ndarr
 
 def hashed(windows: list[np.ndarray]) -> np.ndarray:
     """A 64-bit number for each row of ``windows``, the code points at each place."""
-    total = np.zeros(len(windows[0]), np.uint64)
-    for points in windows:
-        total = (total ^ points) * C1
-        total ^= total >> np.uint64(29)
-    return mix(total)
+    out = np.zeros(len(windows[0]), np.uint64)
+    for at in range(0, len(out), STRIP):
+        total = out[at : at + STRIP]
+        for points in windows:
+            total ^= points[at : at + STRIP]
+            total *= C1
+            total ^= total >> np.uint64(29)
+        total[:] = mix(total)
+    return out
+
+
+class Seen:
+    """A set of numbers. A table by their last bits tells most that are in it; the others are sorted and looked up."""
+
+    def __init__(self) -> None:
+        self.table = ~np.arange(1 << SLOTS, dtype=np.uint64)  # of numbers that have other last bits than those of their place
+        self.sorted = np.zeros(0, np.uint64)
+
+    def new(self, number: np.ndarray) -> np.ndarray:
+        """Where the numbers that weren't in the set lie in ``number``, a place for each; they are in it from now on."""
+        slot = np.uint64((1 << SLOTS) - 1)
+        left = np.flatnonzero(self.table[number & slot] != number)
+        other, first = np.unique(number[left], return_index=True)
+        self.table[other & slot] = other
+        if len(self.sorted):
+            fresh = self.sorted[np.minimum(np.searchsorted(self.sorted, other), len(self.sorted) - 1)] != other
+            other, first = other[fresh], first[fresh]
+        if len(other):
+            self.sorted = np.sort(np.concatenate([self.sorted, other]), kind="stable")
+        return left[first]
+
+
+class Costs:
+    """The bits of numbers, ``known`` ascending. A table by their last bits tells where most are; the others are looked up."""
+
+    def __init__(self, known: np.ndarray, bits: np.ndarray):
+        self.known, self.bits = known, bits
+        self.slot = np.uint64((1 << (4 * len(known)).bit_length()) - 1)
+        self.table = np.zeros(int(self.slot) + 1, np.int32)
+        self.table[known & self.slot] = np.arange(len(known), dtype=np.int32)
+
+    def of(self, number: np.ndarray) -> np.ndarray:
+        at = self.table[number & self.slot]
+        left = np.flatnonzero(self.known[at] != number)
+        at[left] = np.searchsorted(self.known, number[left])
+        return self.bits[at]
 
 
 def grams(points: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,18 +139,14 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 def _lister(order: int):
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, np.zeros(0, np.uint64)
+        now, seen = None, Seen()
         for batch in batches:
             for block, rows in _runs(batch):
                 if block != now:
-                    now, seen = block, np.zeros(0, np.uint64)
+                    now, seen = block, Seen()
                 for _, points, lengths in _chunks(rows.column("text").to_pylist(), order):
                     at, number = grams(points, lengths, order)
-                    number, first = np.unique(number, return_index=True)
-                    if len(seen):
-                        new = seen[np.minimum(np.searchsorted(seen, number), len(seen) - 1)] != number
-                        number, first = number[new], first[new]
-                    seen = np.union1d(seen, number)
+                    first = seen.new(number)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block), pa.int64()), spelled(points, at[first], order)], [BLOCK, "gram"])
 
     return distinct
@@ -172,14 +211,14 @@ def in_blocks(docs: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=1)
-def _costs(folder: str, block: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of a block's n-grams, ascending, and their bits; the table is kept until the next block."""
+def _costs(folder: str, block: int, order: int) -> Costs:
+    """The bits of a block's n-grams; the table is kept until the next block."""
     store, root = fs.FileSystem.from_uri(folder)
     table = pq.read_table(f"{root}/block={block}", filesystem=store, columns=["gram", "bits"])
     points = np.array(table["gram"].to_pylist(), f"<U{order}").view(np.uint32).reshape(-1, order)
     number = hashed(list(points.T))
     by = np.argsort(number)
-    return number[by], table["bits"].to_numpy()[by]
+    return Costs(number[by], table["bits"].to_numpy()[by])
 
 
 def _scorer(folder: str, order: int, kept: list[str]):
@@ -192,8 +231,7 @@ def _scorer(folder: str, order: int, kept: list[str]):
                     own = lengths - (order - 1)
                     total = np.zeros(1)
                     if len(number):
-                        known, bits = _costs(folder, block, order)
-                        total = np.concatenate([total, np.cumsum(bits[np.searchsorted(known, number)], dtype=np.float64)])
+                        total = np.concatenate([total, np.cumsum(_costs(folder, block, order).of(number), dtype=np.float64)])
                     ends = np.cumsum(own)
                     with np.errstate(over="ignore"):
                         ppl = np.exp2((total[ends] - total[ends - own]) / np.maximum(own, 1))

@@ -386,6 +386,22 @@ def test_toxicity_edges(spark):
 
 # HTML
 
+def test_tables_of_numbers_equal_sorting(monkeypatch):
+    monkeypatch.setattr(quality, "SLOTS", 4)  # so few that most places are shared
+    r = np.random.default_rng(3)
+    numbers = [r.integers(0, 300, 500).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(5)] + [np.zeros(0, np.uint64)]
+    seen, had = quality.Seen(), set()
+    for number in numbers:
+        at = seen.new(number)
+        assert sorted(number[at].tolist()) == sorted(set(number.tolist()) - had)
+        had |= set(number.tolist())
+    known = np.unique(np.concatenate(numbers))
+    bits = r.random(len(known)).astype(np.float32)
+    costs = quality.Costs(known, bits)
+    for number in numbers:
+        assert (costs.of(number) == bits[np.searchsorted(known, number)]).all()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Home of everything</a></header><nav><ul>{menu}</ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="ad">Buy &amp; save {n}</div><article><h1>Title {n}</h1><p>First <b>bold</b>&nbsp;{n} &lt;x&gt;<br>line.<p>Second
