@@ -36,7 +36,7 @@ from .common import shared_dir, stored
 HEAD = struct.Struct("<4sIIIQ")
 BLOCK = 1 << 16
 #: ids in a shard before the next is begun, and remembered pieces of a worker
-SHARD_IDS, REMEMBERED = 1 << 23, 500_000
+SHARD_IDS, REMEMBERED = 1 << 23, 1_000_000
 #: text that a writing task takes, about
 PART_BYTES = 256 << 20
 
@@ -143,8 +143,8 @@ class Encoder:
         self.added = any(not t.special for t in self.tokenizer.get_added_tokens_decoder().values())
         #: by pieces only where the pre-tokenizer is known to allow it
         self.by_pieces = self.tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and not self.added
-        self.memory: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # a word behind a space is a piece too
+        self.marks: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.led = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that begin with a space, as byte-level vocabularies write it
         self.led[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True
@@ -159,26 +159,31 @@ class Encoder:
         for run, raw in zip(runs, self._encode([" " + " ".join(r) for r in runs])):
             cut = (4 * np.flatnonzero(self.led[np.frombuffer(raw, "<u4")])).tolist()
             if len(cut) == len(run):
-                self.memory.update(zip(run, [raw[a:b] for a, b in zip(cut, [*cut[1:], len(raw)])]))
+                self.pieces.update(zip(run, [raw[a:b] for a, b in zip(cut, [*cut[1:], len(raw)])]))
             else:
-                self.memory.update(zip(run, self._encode([" " + w for w in run])))
+                self.pieces.update(zip(run, self._encode([" " + w for w in run])))
 
     def _learn(self, pieces: list[str]) -> None:
-        parted, other = [], []
+        bare, parted, other = [], [], []
         for p in pieces:
             word = p.rstrip(_MARKS)
             marks = p[len(word) :]
-            if word.isalpha() and (len(marks) < 2 or "<" not in marks):
+            if not word.isalpha() or (len(marks) > 1 and "<" in marks):
+                other.append(p)
+            elif marks:
                 parted.append((p, word, marks))
             else:
-                other.append(p)
-        new = {w for _, w, _ in parted}.difference(self.memory)
-        marks = {m for _, _, m in parted if m}.difference(self.memory)
-        self._words(list(new))
-        self.memory.update(zip(marks, self._encode(list(marks))))
-        known = self.memory
-        self.pieces.update([(p, known[w] + known[m] if m else known[w]) for p, w, m in parted])
-        self.pieces.update(zip(other, self._encode([p if p[:1] == "\n" else " " + p for p in other])))
+                bare.append(p)
+        known = self.pieces
+        bare += {w for _, w, _ in parted}.difference(known, bare)
+        if bare:
+            self._words(bare)
+        if new := {m for _, _, m in parted}.difference(self.marks):
+            self.marks.update(zip(new, self._encode(list(new))))
+        marked = self.marks
+        known.update([(p, known[w] + marked[m]) for p, w, m in parted])
+        if other:
+            known.update(zip(other, self._encode([p if p[:1] == "\n" else " " + p for p in other])))
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of ``text``, without special tokens."""
@@ -186,10 +191,9 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if not self.by_pieces:
             return np.frombuffer(self._encode([text])[0], "<u4")
-        if len(self.pieces) > REMEMBERED:
+        if len(self.pieces) + len(self.marks) > REMEMBERED:
             self.pieces.clear()
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+            self.marks.clear()
         if not plain(text):
             if _OPEN.search(text):
                 return np.frombuffer(self._encode([text])[0], "<u4")

@@ -73,6 +73,17 @@ test_encoder_equals_the_library.encode = tf.Encoder(vocabulary())
 test_encoder_equals_the_library.library = Tokenizer.from_file(vocabulary())
 
 
+def test_encoder_remembers_a_word_once(monkeypatch):
+    encode, library = tf.Encoder(vocabulary()), Tokenizer.from_file(vocabulary())
+    texts = ["plain words of letters", "words, of letters.", "\nplain 12 <|x", "letters *** of words", "Ärger words,"]
+    ids = lambda: [encode(t).tolist() for t in texts]
+    assert ids() == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    held = [k for v in vars(encode).values() if isinstance(v, dict) for k in v]
+    assert len(held) == len(set(held)) and {"words", "words,", ","} < set(held)
+    monkeypatch.setattr(tf, "REMEMBERED", 3)
+    assert ids() == [library.encode(t, add_special_tokens=False).ids for t in texts] and len(encode.pieces) < 5
+
+
 def test_query_against_the_library(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     rows = {r.doc_id: r for r in QUERIES["op7_packed_token_ids"](spark, SF).collect()}
