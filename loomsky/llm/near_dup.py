@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_up_to, components, stored
 from .linking import linked_components
-from .words import C1, C2, hash_words, in_chunks, mix, shingles
+from .words import C1, C2, hash_words, in_chunks, in_slices, mix, shingles
 
+#: documents whose sets a task holds at once
+SETS = 1000
 SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, signature array<long>"
 
 
 def _text_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row of the batch, distinct shingle hashes, sorted)."""
-    for start, texts in in_chunks(batch.column("text").to_pylist()):
+    for start, texts in in_chunks(in_slices(batch.column("text")), 1 << 18):
         words, bounds = hash_words(texts)
         for i in range(len(texts)):
             yield start + i, np.unique(shingles(words[bounds[i] : bounds[i + 1]], n))
@@ -95,7 +97,7 @@ def _keys(chunks: int, width: int, errors: int, bits: int) -> Column:
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, SETS) for b in batches for low in range(0, len(b), SETS)):
             parts = [hashes for _, hashes in _text_sets(batch, n)]
             prints = [pa.array([p[k] for p in map(_prints, parts)], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), *prints, _list_array(parts)], ["node", "fp1", "fp2", "items"])

@@ -8,11 +8,12 @@ and an n-gram is looked up once however often it occurs. A task holds the n-gram
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.errors import AnalysisException
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_up_to, shared_dir, stored
-from .words import C1, mix
+from .words import C1, in_slices, mix
 
 ORDER = 5
 #: rows of a file that form a block, and characters that are looked at together
@@ -32,7 +33,7 @@ FOLDS = 5
 BLOCK, SCORE = "_block_of_rows", "_perplexity"
 
 
-def _chunks(texts: list[str | None], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _chunks(texts: Iterable[str | None], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, code points, text lengths) of runs of texts, each led by ``order - 1`` line ends."""
     start, held, size = 0, [], 0
     lead = "\n" * (order - 1)
@@ -111,6 +112,15 @@ def grams(points: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarr
     return np.flatnonzero(inside), number[inside]
 
 
+def code_points(grams: pa.ChunkedArray, order: int) -> np.ndarray:
+    """The code points of n-grams, a row for each, none of which becomes a Python object; zeros behind shorter ones."""
+    text = b"".join(pc.binary_join(pa.ListArray.from_arrays([0, len(c)], c), "").cast(pa.binary())[0].as_py() for c in grams.chunks if len(c))
+    flat = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+    if len(flat) == order * len(grams):
+        return flat.reshape(-1, order)
+    return np.array(grams.to_pylist(), f"<U{order}").view(np.uint32).reshape(-1, order)
+
+
 def spelled(points: np.ndarray, at: np.ndarray, order: int) -> pa.Array:
     """The n-grams that begin at ``at``, as strings."""
     flat = np.ascontiguousarray(points[at[:, None] + np.arange(order)])
@@ -120,7 +130,7 @@ def spelled(points: np.ndarray, at: np.ndarray, order: int) -> pa.Array:
 def _counter(order: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, points, lengths in _chunks(batch.column("text").to_pylist(), order):
+            for _, points, lengths in _chunks(in_slices(batch.column("text")), order):
                 at, number = grams(points, lengths, order)
                 _, first, n = np.unique(number, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([spelled(points, at[first], order), pa.array(n, pa.int64())], ["gram", "n"])
@@ -144,7 +154,7 @@ def _lister(order: int):
             for block, rows in _runs(batch):
                 if block != now:
                     now, seen = block, Seen()
-                for _, points, lengths in _chunks(rows.column("text").to_pylist(), order):
+                for _, points, lengths in _chunks(in_slices(rows.column("text")), order):
                     at, number = grams(points, lengths, order)
                     first = seen.new(number)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block), pa.int64()), spelled(points, at[first], order)], [BLOCK, "gram"])
@@ -215,8 +225,7 @@ def _costs(folder: str, block: int, order: int) -> Costs:
     """The bits of a block's n-grams; the table is kept until the next block."""
     store, root = fs.FileSystem.from_uri(folder)
     table = pq.read_table(f"{root}/block={block}", filesystem=store, columns=["gram", "bits"])
-    points = np.array(table["gram"].to_pylist(), f"<U{order}").view(np.uint32).reshape(-1, order)
-    number = hashed(list(points.T))
+    number = hashed(list(code_points(table["gram"], order).T))
     by = np.argsort(number)
     return Costs(number[by], table["bits"].to_numpy()[by])
 
@@ -226,7 +235,7 @@ def _scorer(folder: str, order: int, kept: list[str]):
         for batch in batches:
             for block, rows in _runs(batch):
                 found: list[float | None] = []
-                for _, points, lengths in _chunks(rows.column("text").to_pylist(), order):
+                for _, points, lengths in _chunks(in_slices(rows.column("text")), order):
                     _, number = grams(points, lengths, order)
                     own = lengths - (order - 1)
                     total = np.zeros(1)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -65,7 +68,13 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
-def in_chunks(texts: list[str | None], limit: int = 1 << 20):
+def in_slices(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The texts of ``column``, of which only so many rows are Python's at once."""
+    for low in range(0, len(column), rows):
+        yield from column.slice(low, rows).to_pylist()
+
+
+def in_chunks(texts: Iterable[str | None], limit: int = 1 << 20):
     """(first index, encoded texts) with about ``limit`` bytes each, so that buffers stay small; a null is empty."""
     start, held, size = 0, [], 0
     for i, t in enumerate(texts):

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomsky.llm import decontaminate, mixing, quality, toxicity, urls, wrappers
+from loomsky.llm import decontaminate, mixing, near_dup, quality, toxicity, urls, wrappers
 from loomsky.llm.queries import MIX_LEVELS, MIX_WEIGHTS, QUERIES, URL_RULES, with_domain
 
 from ..conftest import SF
@@ -505,3 +505,33 @@ def test_query_gives_the_articles(spark):
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         parts = re.split(r"</?(?:p|h1)[^>]*>", re.sub(r"</?b>", "", inner).replace("<br>", " "))
         assert got[r.page_id] == "\n".join(filter(None, (" ".join(html.unescape(p).split()) for p in parts)))
+
+
+def test_texts_become_objects_a_few_at_a_time(monkeypatch):
+    class Column:
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, low, rows):
+            return Column(self.values[low : low + rows])
+
+        def to_pylist(self):
+            most.append(len(self.values))
+            return self.values
+
+    class Batch:
+        def column(self, name):
+            return texts
+
+    most, texts = [], Column(["a b c d", None, "", "Ä b"] * 1000)
+    assert [len(s) for _, s in near_dup._text_sets(Batch(), 2)] == [3, 0, 0, 1] * 1000
+    assert sum(most) == 4000 and max(most) <= 256
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*range(4000)], "node": [*range(4000)], "text": texts.values})
+    got = list(near_dup._sets(2)([batch]))
+    assert [len(x) for b in got for x in b.column("items").to_pylist()] == [3, 0, 0, 1] * 1000 and max(map(len, got)) <= 1000
+    grams = pa.chunked_array([["abcde", "Äö€𝄞x"], [], ["中文字符号"]], pa.string())
+    assert quality.code_points(grams, 5).tolist() == [[ord(c) for c in g] for g in grams.to_pylist()]
+    assert quality.code_points(pa.chunked_array([["abc", "abcdefg"[:5]]]), 5).tolist() == [[97, 98, 99, 0, 0], [97, 98, 99, 100, 101]]
