@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomsky.llm import line_dedup, near_dup
+from loomsky.llm import line_dedup, linking, near_dup
 from loomsky.llm.common import components
 from loomsky.llm.fingerprints import with_next
 from loomsky.llm.linking import linked_components
@@ -100,6 +100,20 @@ def test_linking_loses_no_pair_of_a_bucket(spark):
     assert {i: got.get(i, i) for i in s} == expected
 
 
+def test_small_buckets_need_no_centre(spark, monkeypatch):
+    r = random.Random(5)
+    sets = {i: sorted({*range(k := i // 4 * 3, k + 12), *r.sample(range(200), i % 4)}) for i in range(80)}
+    rows = [(i // 8 if i < 64 else 100 + i % 3, i, 8 if i < 64 else 5 + (i % 3 < 1)) for i in sets]
+    met = spark.createDataFrame([*rows, (200, 0, 2), (200, 79, 2)], "key long, rep long, members long")
+    table = spark.createDataFrame(list(sets.items()), "id long, items array<long>")
+    monkeypatch.setattr(linking, "compared", None)  # what compares with centres
+    got = {x.node: x.component for x in linked_components(met, table, 80).collect()}
+    s, key = {i: set(v) for i, v in sets.items()}, {i: k for k, i, _ in rows}
+    links = [(a, b) for a in s for b in s if a < b and (key[a] == key[b] or (a, b) == (0, 79)) and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    expected = closure(s, links)
+    assert links and {i: got.get(i, i) for i in s} == expected
+
+
 def lines_brute(texts, n=10):
     first, sets = {}, {}
     for d in sorted(texts):
