@@ -171,6 +171,33 @@ def test_linking_where_few_are_alike_to_the_centre(spark):
         assert {i: got.get(i, i) for i in s} == expected
 
 
+def test_group_of_near_copies_has_few_centres_and_entries(spark, monkeypatch):
+    r = random.Random(12)
+    sets = {}
+    for i in range(240):  # each lacks some items of the base and has as many of its own; few are alike to any other
+        gone = r.sample(range(100), r.choice([2, 9, 14, 16]))
+        sets[i] = sorted({*range(100)} - {*gone} | {1000 + 20 * i + k for k in range(len(gone))})
+    # Six buckets that overlap, so that each could elect a centre of its own.
+    met = spark.createDataFrame([(k, i, 120) for i in sets for k in range(6) if (i + 40 * k) % 240 < 120], "key long, rep long, members long")
+    table = spark.createDataFrame(list(sets.items()), "id long, items array<long>")
+    kept, stored = [], linking.stored
+
+    def spy(df):
+        out = stored(df)
+        if {"item", "place"} <= set(df.columns):
+            kept.append((out.select("centre").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(linking, "stored", spy)
+    got = {x.node: x.component for x in linked_components(met, table, 80).collect()}
+    s = {i: set(v) for i, v in sets.items()}
+    share = lambda a, b: any((a + 40 * k) % 240 < 120 and (b + 40 * k) % 240 < 120 for k in range(6))
+    links = [(a, b) for a in s for b in s if a < b and share(a, b) and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    expected = closure(s, links)
+    assert 20 < len(set(expected.values())) < 200 and {i: got.get(i, i) for i in s} == expected
+    assert kept and all(centres <= 3 and rows <= 40 * len(sets) for centres, rows in kept), kept
+
+
 def test_neighbours_across_buckets(spark):
     r = np.random.default_rng(0)
     ids = sorted({int(x) for x in np.concatenate([r.integers(0, 50, 20), r.integers(10**12, 10**12 + 5000, 900)])})
