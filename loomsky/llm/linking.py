@@ -3,7 +3,8 @@
 Distance is one less the Jaccard similarity, and sets are alike within a limit of it. Four steps, each on what the ones before left in
 different components:
 
-* **Small buckets.** Of buckets of up to ``FEW`` members all pairs are given, some for each entry, and those whose sizes allow it are compared, exactly.
+* **Small buckets.** Members of buckets of up to ``FEW`` are compared with the least one, and then all pairs of those that aren't in one component by
+  that: so a group of near copies gives entries in proportion to its members. Pairs are given where bits of their items allow that they are alike, and then compared, exactly.
 * **Centres.** Each larger bucket elects a member that meets most others in all its buckets, and takes the centre of the most famous bucket
   in which that member lies. All members are compared with it, exactly. By the triangle inequality a member within the limit can't be alike
   to one beyond twice the limit. So where some are that far, they and those between go into the next round and elect a centre among the
@@ -30,6 +31,8 @@ from .common import broadcast_up_to, components, gathered, stored
 ROUNDS = 2
 #: members of a bucket of which all pairs are compared
 FEW = 64
+#: longs of bits by which sets are told apart before they are compared
+WORDS = 16
 #: an item is usual around a centre where more than one in so many have it
 USUAL = 32
 
@@ -50,20 +53,52 @@ def compared(pairs: DataFrame, sets: DataFrame, expand: Callable[[Column], Colum
     return met.withColumn("away", 2 * differ / (F.col("n_a") + F.col("n_b") + differ))
 
 
-def alike_in_small(met: DataFrame, sets: DataFrame, percent: int, expand: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The pairs (a, b) that meet in a bucket of ``met`` and are alike; all pairs of a bucket are given."""
-    items = F.col("items")
-    sizes = broadcast_up_to(stored(sets.select("id", F.size(expand(items) if expand else items).alias("n"))))
-    buckets = met.groupBy("key").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
-    pairs = buckets.select("reps", F.posexplode("reps").alias("i", "a")).select("a", F.explode(F.expr("slice(reps, i + 2, size(reps))")).alias("b")).distinct()
-    pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    pairs = stored(pairs.where(f"{percent} * greatest(n_a, n_b) <= 100 * least(n_a, n_b)"))
-    asked = broadcast_up_to(stored(pairs.select("b").distinct()))
-    one = sets.select(F.col("id").alias("a"), items.alias("items_a")).join(broadcast_up_to(pairs), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), items.alias("items_b")).join(asked, "b"), "b")
-    shared = F.size(F.array_intersect(*[expand(F.col(c)) if expand else F.col(c) for c in ("items_a", "items_b")]))
-    both = both.select("a", "b", "n_a", "n_b", shared.alias("shared"))
-    return stored(both.where(f"{100 + percent} * shared >= {percent} * (n_a + n_b)").select("a", "b"))
+def prints(sets: DataFrame, spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``id``, ``most``, which is at least the size of its set, and ``w0, w1, ...``: bits, each set where some item of the set falls on it."""
+    each = spread(sets) if spread else sets.select("id", F.explode("items").alias("item"))
+    each = each.select("id", F.xxhash64("item").alias("h")).select("id", F.expr(f"cast(h & {WORDS - 1} as int)").alias("word"), F.expr("shiftleft(1L, cast(shiftright(h, 6) & 63 as int))").alias("bit"))
+    each = each.groupBy("id", "word").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
+    words = [F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0)).alias(f"w{k:x}") for k in range(WORDS)]
+    return each.groupBy("id").agg(F.sum("n").alias("most"), *words)
+
+
+def alike_in_small(
+    met: DataFrame,
+    sets: DataFrame,
+    percent: int,
+    expand: Callable[[Column], Column] | None = None,
+    spread: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Pairs (a, b) whose components are those of all pairs that meet in a bucket of ``met`` and are alike.
+
+    All members are compared with the least of their bucket. Then those of a bucket that aren't in one component by now are compared, all with all.
+    """
+    known = broadcast_up_to(stored(prints(sets, spread)))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` that are alike. A bit that only one of them has is that of an item that only it has."""
+        both = pairs.join(second(known.withColumnRenamed("id", "b"), "b"), "b").join(known.withColumnRenamed("id", "a"), "a")
+        differ = sum((F.bit_count(F.col(f"w{k:x}").bitwiseXOR(F.col(f"w{k:x}2"))) for k in range(WORDS)), F.lit(0))
+        both = stored(both.where((100 + percent) * differ <= (100 - percent) * (F.col("most") + F.col("most2"))).select("a", "b"))
+        asked = broadcast_up_to(stored(both.select("b").distinct()))
+        one = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")).join(broadcast_up_to(both), "a")
+        met = one.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")).join(asked, "b"), "b")
+        if expand:
+            met = met.select("a", "b", *[expand(F.col(c)).alias(c) for c in ("items_a", "items_b")])
+        shared = F.size(F.array_intersect("items_a", "items_b"))
+        # Stored before it is asked for, so that sets are made once.
+        met = stored(met.select("a", "b", ((100 + percent) * shared >= percent * (F.size("items_a") + F.size("items_b"))).alias("alike")))
+        return met.where("alike").select("a", "b")
+
+    small = met.select("key", "rep")
+    buckets = small.groupBy("key").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps"))
+    star = confirmed(buckets.select("b", F.explode("reps").alias("a")).where("a <> b").distinct())
+    found = stored(components(star))
+    seats = named(small, found).groupBy("key").agg(F.min("rep").alias("low"), F.array_sort(F.collect_set(F.struct("c", "rep"))).alias("seats"))
+    seats = seats.where("seats[0].c <> seats[size(seats) - 1].c").select("low", "seats", F.explode("seats").alias("one")).where("one.rep <> low")
+    others = F.filter("seats", lambda x: (x.c > F.col("one.c")) & (x.rep != F.col("low")))
+    rest = seats.select(F.col("one.rep").alias("rep"), F.explode(others).alias("other")).select(F.greatest("rep", "other.rep").alias("a"), F.least("rep", "other.rep").alias("b"))
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirmed(rest.distinct()))
 
 
 def named(df: DataFrame, found: DataFrame) -> DataFrame:
@@ -82,16 +117,17 @@ def linked_components(
     percent: int,
     *,
     expand: Callable[[Column], Column] | None = None,
+    spread: Callable[[DataFrame], DataFrame] | None = None,
     rounds: int = ROUNDS,
 ) -> DataFrame:
     """``node, component`` of all nodes linked with another.
 
     ``met`` is ``key, rep, members``: the entries of buckets with at least two members. ``sets`` is ``id, items``: the set, of distinct items, of
-    each node in ``met``. With ``expand``, ``items`` holds what it makes the set from, and only that is shuffled. Nodes are linked where
-    ``percent`` hundredths of the union are shared.
+    each node in ``met``. With ``expand``, ``items`` holds what it makes the set from, and only that is shuffled; ``spread`` then gives rows (id, item)
+    of such a table, in which an item may be repeated. Nodes are linked where ``percent`` hundredths of the union are shared.
     """
     limit, slight = 1 - percent / 100, 1e-9
-    in_small = alike_in_small(met.where(F.col("members") <= FEW), sets, percent, expand)
+    in_small = alike_in_small(met.where(F.col("members") <= FEW), sets, percent, expand, spread)
     met = met.where(F.col("members") > FEW)
     if met.isEmpty():
         return components(in_small)

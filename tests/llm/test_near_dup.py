@@ -114,6 +114,31 @@ def test_small_buckets_need_no_centre(spark, monkeypatch):
     assert links and {i: got.get(i, i) for i in s} == expected
 
 
+def test_near_copies_in_small_buckets_are_compared_in_proportion_to_members(spark, monkeypatch):
+    r = random.Random(13)
+    sets = {i: sorted({*range(100)} - {*r.sample(range(100), 3)} | {1000 + i}) for i in range(60)}  # near copies
+    sets |= {i: sorted({*range(30)} | {5000 + 100 * i + k for k in range(70)}) for i in range(60, 120)}  # these meet, but aren't alike
+    sets |= {120 + i: [*range(20_000 + 40 * (i // 2), 20_037 + 40 * (i // 2) + i % 2 * 3)] for i in range(20)}  # pairs of their own
+    rows = [(k, i, 40) for i in range(60) for k in range(6) if (i + 10 * k) % 60 < 40] + [(10 + i // 20, i, 20) for i in range(60, 120)] + [(20, i, 20) for i in range(120, 140)]
+    met = spark.createDataFrame(rows, "key long, rep long, members long")
+    table = spark.createDataFrame(list(sets.items()), "id long, items array<long>")
+    kept, stored = [], linking.stored
+
+    def spy(df):
+        out = stored(df)
+        if {"a", "b"} <= set(df.columns):
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(linking, "stored", spy)
+    got = {x.node: x.component for x in linked_components(met, table, 80).collect()}
+    s, keys = {i: set(v) for i, v in sets.items()}, {i: {k for k, j, _ in rows if j == i} for i in sets}
+    links = [(a, b) for a in s for b in s if a < b and keys[a] & keys[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    expected = closure(s, links)
+    assert len(set(expected.values())) == 71 and {i: got.get(i, i) for i in s} == expected
+    assert sum(kept) < 6 * len(sets), kept
+
+
 def lines_brute(texts, n=10):
     first, sets = {}, {}
     for d in sorted(texts):
