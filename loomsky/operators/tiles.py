@@ -100,18 +100,23 @@ def shares(targets: DataFrame, chunk_map: DataFrame, *, y: str = "map_y", x: str
     return rows.select("*", "_e.chunk", "_e.share").drop("_e")
 
 
-def mask(targets: DataFrame, raster: DataFrame, dq: str = "dq", *, threshold: float = 0.01, y: str = "map_y", x: str = "map_x", scale: int = 1) -> DataFrame:
-    """``targets`` with ``dq``: a bit is set where the bilinear weight of the cells that have it is over ``threshold``.
-
-    A bit that just some corners have is in their masks' conjunction, so the mask is the disjunction over the sets of corners that weigh enough."""
-    met = corners(targets, raster, [dq], y=y, x=x, scale=scale)
-    words = [F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF)) for c in met.cells(dq)]
-    weights = [F.coalesce(w, F.lit(0)) for w in met.weights]
+def heavy_bits(words: Sequence[Column], weights: Sequence[Column], threshold: float) -> Column:
+    """The bits that are set in ``words`` of a weight over ``threshold`` together: a bit that just some words have is in their conjunction, so these are the
+    disjunction over the sets of words that weigh enough."""
     found = F.lit(0).cast("bigint")
-    for chosen in range(1, 16):
-        some = [k for k in range(4) if chosen >> k & 1]
+    for chosen in range(1, 1 << len(words)):
+        some = [k for k in range(len(words)) if chosen >> k & 1]
         both, weight = words[some[0]], weights[some[0]]
         for k in some[1:]:
             both, weight = both.bitwiseAND(words[k]), weight + weights[k]
-        found = found.bitwiseOR(F.when(weight > threshold * scale * scale, both).otherwise(F.lit(0).cast("bigint")))
+        found = found.bitwiseOR(F.when(weight > threshold, both).otherwise(F.lit(0).cast("bigint")))
+    return found
+
+
+def mask(targets: DataFrame, raster: DataFrame, dq: str = "dq", *, threshold: float = 0.01, y: str = "map_y", x: str = "map_x", scale: int = 1) -> DataFrame:
+    """``targets`` with ``dq``: a bit is set where the bilinear weight of the cells that have it is over ``threshold``."""
+    met = corners(targets, raster, [dq], y=y, x=x, scale=scale)
+    words = [F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF)) for c in met.cells(dq)]
+    weights = [F.coalesce(w, F.lit(0)) for w in met.weights]
+    found = heavy_bits(words, weights, threshold * scale * scale)
     return met.rows.select(*[t for t in targets.columns if t != dq], found.alias(dq))

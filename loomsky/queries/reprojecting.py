@@ -47,12 +47,12 @@ def _reprojected(spark, sf_dir, method: str):
     )
     found = reproject.METHODS[method](exposures, pixels, REFERENCE)
 
-    def whole(column: str, scale: float):
-        return F.floor(F.col(column) * scale + 0.31234)
+    def whole(scaled):
+        return F.floor(scaled + 0.31234)
 
     return found.select(
-        "frame", "ref_y", "ref_x", whole("value", 0.01).alias("units"), whole("foot", 1_000_000).alias("foot"), "dq", whole("map_y", 1000).alias("map_y"),
-        whole("map_x", 1000).alias("map_x"),
+        "frame", "ref_y", "ref_x", whole(F.col("value") / 100).alias("units"), whole(F.col("foot") * 1_000_000).alias("foot"), "dq",
+        whole(F.col("map_y") * 1000).alias("map_y"), whole(F.col("map_x") * 1000).alias("map_x"),
     )
 
 

@@ -184,3 +184,17 @@ def test_methods_of_the_job(spark, case, tmp_path):
         assert job.frames().count() == first > 300 and {"map_y", "map_x", "dq", "foot"} <= set(job.frames().columns)
     with pytest.raises(ValueError, match="adaptive"):
         job.run(exposures, pixels, REF, 30, method="other")
+
+
+def test_places_keep_their_digits_far_from_the_first_pixel(spark):
+    frame = Frame((30.0, 10.0), (31.0, 21.0), ((-0.016, 0.0), (0.0, 0.016)), 1_000_000, 60)
+    exposure = spark.createDataFrame([(1, 30.0, 10.0, 20.5137, 10.2571, -0.01, 0.0, 0.0, 0.01)], PLACE)
+    rows = spark.range(3, 40_000, 7).select(F.lit(1).alias("frame"), F.col("id").cast("int").alias("det_y"), F.lit(20).alias("det_x"), F.lit(1e7).alias("value"), F.lit(5).alias("dq"))
+    got = reproject.interpolated(exposure, rows, frame).collect()
+    assert len(got) > 7_000
+    for r in got:
+        assert r.dq == (5 if r.foot > 0.01 else 0)
+        y, x = 10.2571 + (r.ref_y - 20) / 0.625, 20.5137 + (r.ref_x - 30) / 0.625
+        assert (r.map_y, r.map_x) == (y, x)
+        seen = 3 + 7 * round((y - 3) / 7)  # the one pixel near enough
+        assert r.foot == (1 - abs(y - seen)) * (1 - abs(x - 20))
