@@ -42,7 +42,7 @@ def _reprojected(spark, sf_dir, method: str):
         one.alias("frame"), F.lit(30.0).alias("ra0"), F.lit(10.0).alias("dec0"), (20.0137 + one % 8 / 8).alias("px"), (10.0071 + one % 5 / 8).alias("py"),
         F.lit(-0.01).alias("cd11"), F.lit(0.0).alias("cd12"), F.lit(0.0).alias("cd21"), F.lit(0.01).alias("cd22"),
     )
-    pixels = obs(spark, sf_dir).groupBy("frame", F.col("ref_y").alias("det_y"), F.col("ref_x").alias("det_x")).agg(
+    pixels = reproject.by_frame(obs(spark, sf_dir)).groupBy("frame", F.col("ref_y").alias("det_y"), F.col("ref_x").alias("det_x")).agg(
         F.min("v").cast("double").alias("value"), F.bit_or("dq").alias("dq")
     )
     found = reproject.METHODS[method](exposures, pixels, REFERENCE)

@@ -198,3 +198,16 @@ def test_places_keep_their_digits_far_from_the_first_pixel(spark):
         assert (r.map_y, r.map_x) == (y, x)
         seen = 3 + 7 * round((y - 3) / 7)  # the one pixel near enough
         assert r.foot == (1 - abs(y - seen)) * (1 - abs(x - 20))
+
+
+def test_pixels_dealt_by_frame_are_summed_where_they_are(spark, case, tmp_path):
+    exposures, pixels, _, _ = case
+    pixels.write.parquet(f"{tmp_path}/pixels")
+    dealt = reproject.by_frame(spark.read.parquet(f"{tmp_path}/pixels"), 50)
+    for method in (reproject.interpolated, reproject.adaptive):
+        got = method(exposures, dealt, REF, 30)
+        # one exchange, that of the pixels; masks come with the sums
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        key = ["frame", "ref_y", "ref_x"]
+        for a, b in zip(got.orderBy(*key).collect(), method(exposures, pixels, REF, 30).orderBy(*key).collect(), strict=True):
+            assert (*a[:3], a.dq) == (*b[:3], b.dq) and (a.value, a.foot) == pytest.approx((b.value, b.foot), rel=1e-12)
