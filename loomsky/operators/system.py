@@ -35,6 +35,20 @@ def outliers(obs: DataFrame, threshold: float, *, by: Sequence[str] = ("frame",)
     return near.withColumn("is_outlier", F.coalesce(far, F.lit(False)))
 
 
+def outlier_bounds(obs: DataFrame, *, by: Sequence[str] = ("frame",), value: str = "value") -> DataFrame:
+    """``by, median, mad`` as ``outliers`` has them, one row each: values alone are shuffled, once."""
+    v = F.col(value).cast("double")
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n > 0, F.get(s, F.floor((n - 1) / 2).cast("int")) * 0.5 + F.get(s, F.floor(n / 2).cast("int")) * 0.5)
+
+    # a null isn't collected
+    groups = obs.groupBy(*by).agg(F.sort_array(F.collect_list(F.when(~F.isnan(v), v))).alias("_s")).withColumn("median", middle(F.col("_s")))
+    away = groups.withColumn("_s", F.array_sort(F.transform("_s", lambda x: F.abs(x - F.col("median")))))
+    return away.select(*by, "median", middle(F.col("_s")).alias("mad"))
+
+
 def _beside(obs: DataFrame, found: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     """``obs`` with its group's quantile as ``name``."""
     own = found.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("value").alias(name))
@@ -136,6 +150,18 @@ def first_guess(a: DataFrame, b: DataFrame, n_sky: int) -> DataFrame:
     return sums.select("col", ratio(F.col("p"), F.col("q")).alias("value"))
 
 
+def observed_guess(rows: DataFrame, more: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """As ``first_guess``, from ``observed_rows`` and the A and b of rows of offsets alone; rows of A that b lacks don't count."""
+    w, v = F.col("weight").cast("double"), F.col("value").cast("double")
+    known = rows.where(F.col("off").isNotNull() & w.isNotNull() & v.isNotNull() & ~F.isnan(v))
+    sums = known.groupBy(F.col("off").alias("col")).agg(F.sum(w * (w * v)).alias("p"), F.sum(w * w).alias("q"))
+    if more is not None:
+        met = more[0].join(more[1].withColumnRenamed("val", "_b"), "row")
+        sums = sums.unionByName(met.select("col", (F.col("val") * F.col("_b")).alias("p"), (F.col("val") * F.col("val")).alias("q")))
+        sums = sums.groupBy("col").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return sums.select("col", ratio(F.col("p"), F.col("q")).alias("value"))
+
+
 def chunk_means(obs: DataFrame, frames: DataFrame, n_chunks: int, *, good: Column | None = None, value: str = "value") -> DataFrame:
     """``frame, chunk, value``: mean of good observations of each chunk (0 and up) in each frame, every pair present, 0 where there are none."""
     kept = obs.where("chunk >= 0")

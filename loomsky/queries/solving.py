@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import masks
-from ..operators import chunks, coadd, gauges, solver, system
+from ..operators import blocks, chunks, coadd, gauges, solver, system
 from ..plans.pipeline import Calibrator
 from ..sources.views import CHUNKS, FRAMES_SQL, GRID_SQL, OBS_SQL, WIDTH, frames, grid, obs, table
 from . import query
@@ -213,8 +213,9 @@ MOST_STEPS = 100
 
 
 def _solved(spark, sf_dir, method):
-    a, b, n_sky = _system(spark, sf_dir)
-    found = solver.solve(a, b, method=method, x0=system.first_guess(a, b, n_sky), damp=1e-3, atol=1e-6, btol=1e-6, iterations=MOST_STEPS)
+    rows, n_sky = _observed(spark, sf_dir)
+    width = blocks.width_of(obs(spark, sf_dir), n_sky)
+    found = blocks.solve_blocks(rows, width, method=method, x0=system.observed_guess(rows), damp=1e-3, atol=1e-6, btol=1e-6, iterations=MOST_STEPS)
     if not found.converged:
         raise RuntimeError(f"{method} did not converge in {found.iterations} steps")
     return _parts(found, n_sky)
