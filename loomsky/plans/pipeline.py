@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masks
 from ..functions.geometry import Frame, optimal_frame
-from ..operators import coadd, prepare, reproject, solver, system
+from ..operators import blocks, coadd, prepare, reproject, solver, system
 from ..sources import readers, sinks
 
 
@@ -86,6 +87,7 @@ class Calibrator:
     def __init__(self, obs: DataFrame, ny: int, nx: int, n_chunks: int, config: Config | None = None):
         self.obs, self.ny, self.nx, self.n_chunks, self.config = obs, ny, nx, n_chunks, config
         self.a = self.b = self.counts = self.found = None
+        self.rows = self.beside = None
 
     def setup(
         self,
@@ -99,7 +101,10 @@ class Calibrator:
         """Build A and b: data rows without outliers, then regularisation, mean-offset and damping rows where they are asked for."""
         n_sky, seen = self.ny * self.nx, self.obs.where("weight > 0")
         if outlier_threshold:
-            seen = system.outliers(seen, outlier_threshold).where("not is_outlier").drop("median", "mad", "is_outlier")
+            bounds = self.small(system.outlier_bounds(seen))
+            far = F.abs(F.col("value") - F.col("median")) > F.lit(float(outlier_threshold)) * F.lit(system.MAD_TO_STD) * F.col("mad")
+            known = ~F.isnan(F.col("value").cast("double"))
+            seen = seen.join(bounds, "frame").where(~F.coalesce(known & far, F.lit(False))).drop("median", "mad")
         order = [c for c in ("ref_y", "ref_x", "chunk", "value", "weight") if c in seen.columns]  # what ties in all of these is the same row
         share = "share" if "share" in seen.columns else None
         if share:
@@ -115,24 +120,50 @@ class Calibrator:
 
         a = a.select("row", "col", F.col("val").cast("double"))
         b = b.select("row", F.col("val").cast("double"))
+        beside, right = [], []
         if adjacency is not None and reg_weight > 0:
             reg = system.regularisation_rows(seen, adjacency, float(reg_weight), n_sky, self.n_chunks)
-            a = a.unionByName(reg.select(key("reg", "frame", "chunk_i", "chunk_j").alias("row"), "col", "val"))
-        self.counts = system.entry_counts(a)
+            beside.append(reg.select(key("reg", "frame", "chunk_i", "chunk_j").alias("row"), "col", "val"))
+            a = a.unionByName(beside[0])
+        if share:
+            self.counts = system.entry_counts(a)
+        else:
+            self.rows = system.observed_rows(seen, self.ny, self.nx, self.n_chunks).where(~F.isnan(F.col("value").cast("double")))
+            each = self.rows.select(F.col("sky").alias("col")).unionAll(self.rows.select("off"))
+            self.counts = solver.kept(system.entry_counts(each.unionAll(beside[0].select("col")) if beside else each))
         if mean_offsets is not None:
-            more, right = system.mean_rows(mean_offsets, n_sky, self.n_chunks, mean="value")
-            a = a.unionByName(more.select(key("mean", "row").alias("row"), "col", F.col("val").cast("double")))
-            b = b.unionByName(right.select(key("mean", "row").alias("row"), F.col("val").cast("double")))
+            more, means = system.mean_rows(mean_offsets, n_sky, self.n_chunks, mean="value")
+            beside.append(more.select(key("mean", "row").alias("row"), "col", F.col("val").cast("double")))
+            right.append(means.select(key("mean", "row").alias("row"), F.col("val").cast("double")))
+            a, b = a.unionByName(beside[-1]), b.unionByName(right[0])
         if damp_weight > 0:
             damp = system.damping_rows(self.counts, damp_weight, n_sky)
             a = a.unionByName(damp.select(key("damp", "row").alias("row"), "col", "val"))
+            if self.rows is not None:
+                lone = damp.select(F.col("col").alias("sky"), F.lit(None).cast("long").alias("off"), F.col("val").alias("weight"), F.lit(0.0).alias("value"))
+                seen_rows = self.rows.select("sky", "off", F.col("weight").cast("double"), F.col("value").cast("double"))
+                self.rows = seen_rows.unionByName(lone)
+        if beside:
+            none = b.limit(0).select("row", "val")
+            self.beside = reduce(DataFrame.unionByName, beside), reduce(DataFrame.unionByName, right, none)
         self.a, self.b = a, b
         return self
 
+    def small(self, df: DataFrame) -> DataFrame:
+        """``df``, a table of frames, written once and broadcast where it, counted, is small."""
+        kept = solver.kept(df)
+        return F.broadcast(kept) if kept.count() * (24 + 16 * len(kept.columns)) <= reproject.SMALL else kept
+
     def apply(self, *, resume: bool = False, guess: bool = True, **options) -> solver.Solution:
         """Solve; ``resume`` starts from the last solution, else ``guess`` from the offsets' mean residuals."""
-        x0 = self.found.x if resume and self.found else system.first_guess(self.a, self.b, self.ny * self.nx) if guess else None
-        self.found = solver.solve(self.a, self.b, x0=x0, **options)
+        n_sky = self.ny * self.nx
+        x0 = self.found.x if resume and self.found else None
+        if self.rows is None:
+            x0 = system.first_guess(self.a, self.b, n_sky) if x0 is None and guess else x0
+            self.found = solver.solve(self.a, self.b, x0=x0, **options)
+        else:
+            x0 = system.observed_guess(self.rows, self.beside) if x0 is None and guess else x0
+            self.found = blocks.solve_blocks(self.rows, blocks.width_of(self.obs, n_sky), more=self.beside, x0=x0, **options)
         return self.found
 
     def sky(self) -> DataFrame:

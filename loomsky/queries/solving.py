@@ -203,8 +203,11 @@ def calibrate_and_coadd(spark, sf_dir):
     )
     job.apply(method="lsqr", guess=False, atol=0.0, btol=0.0, iterations=3)
     valid = masks.valid_offsets(job.offsets(cells), threshold=COVERED, normalize=True)
-    taken = valid.select("frame", "chunk", F.round("value").cast("bigint").alias("off"))
-    left = good.join(taken, ["frame", "chunk"], "left").withColumn("value", F.col("value") - F.coalesce("off", F.lit(0)))
+    # a row for each frame, to be broadcast where they are few
+    whole = [F.max(F.when(F.col("chunk") == c, F.round("value").cast("bigint"))).alias(f"o{c}") for c in range(CHUNKS)]
+    taken = job.small(valid.groupBy("frame").agg(*whole))
+    own = F.coalesce(*[F.when(F.col("chunk") == c, F.col(f"o{c}")) for c in range(CHUNKS)], F.lit(0))
+    left = good.join(taken, "frame", "left").withColumn("value", F.col("value") - own)
     return coadd.coadd_sigma_clip(left, 2.0, value="value", weight="weight", exact=True)
 
 

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomsky.operators import blocks, solver
+from loomsky.operators import blocks, solver, system
+from loomsky.plans.pipeline import Calibrator
 
-from .test_observed import CHUNKS, FRAMES, N_SKY, observed, plan, system_of  # noqa: F401
+from .test_observed import CHUNKS, FRAMES, N_SKY, NX, NY, observed, plan, system_of  # noqa: F401
 
 
 @pytest.mark.parametrize("method, precondition, width", [("lsqr", True, 3), ("lsmr", False, 100)])
@@ -43,3 +44,24 @@ def test_blocks_stay_where_they_are(observed, spark):  # noqa: F811
     finally:
         store.drop("blocks", "seats", "norms")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_calibration_needs_no_a(observed, spark):  # noqa: F811
+    pairs = spark.createDataFrame([(0, 1), (1, 2)], "chunk_i long, chunk_j long")
+    means = spark.createDataFrame([(f, 0.5) for f in range(FRAMES)], "frame long, value double")
+    cal = Calibrator(observed, NY, NX, CHUNKS).setup(outlier_threshold=1.5, adjacency=pairs, reg_weight=0.7, mean_offsets=means, damp_weight=0.3)
+    options = dict(method="lsqr", atol=0.0, btol=0.0, iterations=3)
+    guess = system.first_guess(cal.a, cal.b, N_SKY)
+    expected = solver.solve(cal.a, cal.b, x0=guess, **options)
+    cal.a = cal.b = None
+    found = cal.apply(**options)
+    assert np.allclose(found.residuals, expected.residuals)
+    want, got = ({r.col: r.value for r in s.x.collect()} for s in (expected, found))
+    assert want.keys() == got.keys() and all(abs(got[c] - v) < 1e-9 for c, v in want.items())
+
+
+def test_bounds_of_outliers(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, 1.0), (0, 4.0), (0, nan), (0, None), (0, 2.5), (0, 9.0), (1, 3.0), (2, nan)], "frame int, value double")
+    want = {(r.frame, r.median, r.mad) for r in system.outliers(df, 3.0).select("frame", "median", "mad").distinct().collect()}
+    assert {(r.frame, r.median, r.mad) for r in system.outlier_bounds(df).collect()} == want == {(0, 3.25, 1.5), (1, 3.0, 0.0), (2, None, None)}
